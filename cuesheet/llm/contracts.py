@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, media
+from cuesheet.llm import decontaminate, lm_score, media
 
-_MODULES = (media, decontaminate)
+_MODULES = (media, decontaminate, lm_score)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
