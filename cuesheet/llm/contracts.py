@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, lm_score, media
+from cuesheet.llm import decontaminate, license_scan, lm_score, media, secret_scan
 
-_MODULES = (media, decontaminate, lm_score)
+_MODULES = (media, decontaminate, lm_score, secret_scan, license_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
