@@ -84,15 +84,15 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     values = ", ".join(f"('{name}', {n}, '{text}')" for n, (name, text) in enumerate(TEMPLATES))
-    words = "list_filter(regexp_split_to_array({}, '[^a-z0-9]+'), w -> w <> '')"
-    pairs = "list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]))"
+    words = "list_filter(regexp_split_to_array({}, '[^a-z0-9]+'), lambda w: w <> '')"
+    pairs = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH t0 AS (SELECT license, template, {words.format(lower.format("body"))} AS ws FROM (VALUES {values}) v(license, template, body)),
 t AS (SELECT license, template, {pairs} AS tp FROM t0),
 s0 AS (SELECT doc_id, unnest(string_split(regexp_replace({lower.format("text")}, '[.!?][ \\t\\r\\n]+', chr(10), 'g'), chr(10))) AS s,
   generate_subscripts(string_split(regexp_replace({lower.format("text")}, '[.!?][ \\t\\r\\n]+', chr(10), 'g'), chr(10)), 1) AS n FROM documents),
-s1 AS (SELECT doc_id, n, {words.format("s")} AS ws FROM s0 WHERE s LIKE '%licen%' OR s LIKE '%permission%' OR s LIKE '%copyright%' OR s LIKE '%public%' OR s LIKE '%license%'),
+s1 AS (SELECT doc_id, n, {words.format("s")} AS ws FROM s0),
 s AS (SELECT doc_id, n, {pairs} AS sp FROM s1),
 d AS (SELECT doc_id, n, license, 2.0::DOUBLE * len(list_intersect(sp, tp)) / (len(sp) + len(tp)) AS dice FROM s, t),
 b AS (SELECT doc_id, n, license, dice, row_number() OVER (PARTITION BY doc_id, n ORDER BY dice DESC, license) AS r FROM d WHERE dice >= {THRESHOLD})
