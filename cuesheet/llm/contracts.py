@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, language_id, license_scan, lm_score, media, secret_scan
+from cuesheet.llm import decontaminate, language_id, license_scan, lm_score, media, secret_scan, simhash
 
-_MODULES = (media, decontaminate, lm_score, secret_scan, license_scan, language_id)
+_MODULES = (media, decontaminate, lm_score, secret_scan, license_scan, language_id, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
