@@ -25,7 +25,8 @@ counts in an equi-join, where no word is frequent.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from cuesheet.llm.common import crc_mod, cut, table
 
 END = "\n"
-FREQUENT = 1 << 18
-COUNTED = 400_000
+FREQUENT = 1 << 17
+COUNTED = 150_000
 BASE = 1.5
 WEIGHT = 0.4
 PROBES = 4
@@ -46,7 +47,9 @@ LEVELS = 96
 MAX_FILTER_MB = 256
 #: Training tokens for each block of the filter, about.
 BLOCK_TOKENS = 1_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 17
+#: Texts looked at together.
+GROUP = 200
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 START_KEY = np.uint64(0x1234567)
@@ -64,27 +67,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash; a bounded memo."""
+class Words(dict):
+    """word -> number, with the hash of each numbered word; a memo that is emptied between texts when it is full."""
+
+    def __init__(self, describe: Callable[[list[bytes], np.ndarray], dict[str, np.ndarray]] = lambda new, hashes: {}):
+        super().__init__()
+        self.words: list[bytes] = []
+        self.hashes = np.zeros(0, np.uint64)
+        self.describe, self.more = describe, describe([], self.hashes)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= COUNTED:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
+
+    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The number of each token of the texts, each followed by its end mark."""
+        if len(self) > COUNTED:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
+            self.words.clear()
+            self.hashes = self.hashes[:0]
+            self.more = {k: x[:0] for k, x in self.more.items()}
+        mark = [END.encode()]
+        out = np.fromiter(map(self.__getitem__, chain.from_iterable(chain.from_iterable((ws, mark) for ws in texts))), np.int64, sum(map(len, texts)) + len(texts))
+        new = self.words[len(self.hashes) :]
+        hashes = mix(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in new), np.uint64, len(new)))
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.more = {k: np.concatenate([self.more[k], x]) for k, x in self.describe(new, hashes).items()}
+        return out
+
+
+def firsts_of(texts: list[list[bytes]]) -> np.ndarray:
+    """Where the first token of each text stands among all of theirs."""
+    return np.cumsum([0, *(len(ws) + 1 for ws in texts[:-1])]) if texts else np.zeros(0, np.int64)
+
 
+def shifted(values: np.ndarray, firsts: np.ndarray, start: object) -> np.ndarray:
+    """Of each token the value of the one before it; ``start`` for the first of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[firsts] = start
+    return out
 
-def keys_of(texts: list[list[bytes]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token of the texts and their end marks: its key, that of its history, and that of the pair."""
-    end = hashes[END.encode()]
-    flat = np.fromiter((h for ws in texts for h in (*map(hashes.__getitem__, ws), end)), np.uint64)
-    word = mix(flat)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    ends = np.cumsum([len(ws) + 1 for ws in texts], dtype=np.int64)
-    if len(ends):
-        before[np.concatenate([[0], ends[:-1]])] = START_KEY
-    return word, before, mix(before * _MIX[2] + word)
+
+def pair_keys(word: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    return mix(shifted(word, firsts, START_KEY) * _MIX[2] + word)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -101,20 +128,27 @@ def _values() -> np.ndarray:
 VALUES = _values()
 
 
-def places(keys: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np.ndarray:
-    """The bit of (key, level) in its block, for one of the hash functions."""
-    return (mix(keys + np.uint64(level * PROBES + probe + 1) * _MIX[2]) % sizes.astype(np.uint64)).astype(np.int64)
+def bit_hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each key, from which ``bit_place`` makes as many as are needed."""
+    return mix(keys ^ _MIX[1]), mix(keys ^ _MIX[2]) | np.uint64(1)
+
+
+def bit_place(one: np.ndarray, two: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    """The bit of hash function ``n`` in a block of ``sizes`` bits."""
+    return (((one + np.uint64(n) * two) >> np.uint64(11)) * (2.0**-53 * sizes)).astype(np.int64)
 
 
 def block_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """The filter's block for these n-grams and counts."""
     levels = levels_of(counts)
-    size = np.int64(-(-max(1, int(levels.sum()) * BITS_PER_ENTRY) // 64) * 64)
+    size = -(-max(1, int(levels.sum()) * BITS_PER_ENTRY) // 64) * 64
     bits = np.zeros(size, bool)
+    one, two = bit_hashes(keys)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        keys, levels = keys[levels >= level], levels[levels >= level]
+        more = levels >= level
+        one, two, levels = one[more], two[more], levels[more]
         for probe in range(PROBES):
-            bits[places(keys, level, probe, size)] = True
+            bits[bit_place(one, two, level * PROBES + probe, size)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -129,16 +163,19 @@ class BloomCounts:
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The count that each key's level stands for."""
         levels = np.zeros(len(keys), np.int64)
-        block = (keys % np.uint64(len(self.sizes))).astype(np.int64)
-        alive = np.arange(len(keys))
-        for level in range(1, LEVELS + 1):
-            for probe in range(PROBES):
-                b = block[alive]
-                at = self.starts[b] + places(keys[alive], level, probe, self.sizes[b])
-                alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            if not alive.size:
-                break
-            levels[alive] = level
+        for lo in range(0, len(keys), CHUNK):
+            part = keys[lo : lo + CHUNK]
+            block = (part % np.uint64(len(self.sizes))).astype(np.int64)
+            alive, starts, sizes = np.arange(lo, lo + len(part)), self.starts[block], self.sizes[block]
+            one, two = bit_hashes(part)
+            for level in range(1, LEVELS + 1):
+                for probe in range(PROBES):
+                    at = starts + bit_place(one, two, level * PROBES + probe, sizes)
+                    hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    alive, starts, sizes, one, two = alive[hit], starts[hit], sizes[hit], one[hit], two[hit]
+                if not alive.size:
+                    break
+                levels[alive] = level
         return VALUES[levels]
 
 
@@ -179,7 +216,7 @@ def pair_shares(texts: DataFrame, n_blocks: int, text_col: str = "text") -> Data
     """(block, keys, counts): the n-grams of each task's texts with their counts, packed, by block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
+        words, held, size = Words(), [], 0
 
         def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -194,12 +231,14 @@ def pair_shares(texts: DataFrame, n_blocks: int, text_col: str = "text") -> Data
             )
 
         for b in batches:
-            texts = [tokens_of(t) for t in b.column(0).to_pylist()]
-            for lo in range(0, len(texts), 500):
-                word, _, pair = keys_of(texts[lo : lo + 500], hashes)
-                held += [word, pair, np.full(len(texts[lo : lo + 500]), START_KEY)]
+            raw = b.column(0).to_pylist()
+            for lo in range(0, len(raw), GROUP):
+                texts = [tokens_of(t) for t in raw[lo : lo + GROUP]]
+                number = words.numbers(texts)
+                word = words.hashes[number]
+                held += [word, pair_keys(word, firsts_of(texts)), np.full(len(texts), START_KEY)]
                 size += 2 * len(word)
-                if size > 8 * CHUNK:
+                if size > 2 * BLOCK_TOKENS:
                     yield flush()
                     size = 0
         if held:
@@ -274,32 +313,42 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, frequent = shared.value
-        logs = {w: np.log10(c + 1) for w, c in frequent.items()}
-        hashes, end = _Hashes(), logs.get(b"\n")
+
+        def describe(new: list[bytes], hashes: np.ndarray) -> dict[str, np.ndarray]:
+            logs = np.log10(np.fromiter((frequent.get(w, np.nan) for w in new), float, len(new)) + 1)
+            return {"log": logs, "count": filter_.counts(hashes) if fits else np.zeros(len(new))}
+
+        words = Words(describe)
+        started = filter_.counts(np.array([START_KEY]))[0]
         for b in batches:
             head, raw = b.drop_columns(["text"]), b.column("text").to_pylist()
-            rids = b.column("rid").to_pylist()
-            for lo in range(0, len(raw), 500):
-                texts = [tokens_of(t) for t in raw[lo : lo + 500]]
-                word, before, pair = keys_of(texts, hashes)
+            rids = np.asarray(b.column("rid"))
+            for lo in range(0, len(raw), GROUP):
+                texts = [tokens_of(t) for t in raw[lo : lo + GROUP]]
+                number, firsts = words.numbers(texts), firsts_of(texts)
+                sizes = np.array([len(ws) + 1 for ws in texts])
                 scores = np.zeros(len(texts))
                 if fits:
-                    logp = np.concatenate([log_probabilities(*(filter_.counts(x[i : i + CHUNK]) for x in (word, before, pair)), n, v) for i in range(0, len(word), CHUNK)])
-                    scores = np.add.reduceat(logp, np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in texts])[:-1]]))
-                row, cols = [], {k: [] for k in kinds}
-                for i, ws in enumerate(texts):
-                    found = [logs.get(w) for w in ws] + [end]
-                    rare = Counter(w for w, x in zip(ws, found, strict=False) if x is None)
-                    if end is None:
-                        rare[b"\n"] += 1
-                    for k, x in zip(kinds, (len(ws) + 1, len(ws) + 1 - rare.total(), sum(x for x in found if x is not None), scores[i], f" {rids[lo + i]}", 0), strict=True):
-                        cols[k].append([x])
-                    m = len(rare)
-                    for k, x in zip(kinds, ([0] * m, [0] * m, [0.0] * m, [0.0] * m, [w.decode() for w in rare], list(rare.values())), strict=True):
-                        cols[k].append(x)
-                    row += [lo + i] * (m + 1)
-                kept = head.take(pa.array(row, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([x for part in cols[k] for x in part], t) for k, t in kinds.items())], [*head.schema.names, *kinds])
+                    count = words.more["count"][number]
+                    pair = filter_.counts(pair_keys(words.hashes[number], firsts))
+                    scores = np.add.reduceat(log_probabilities(count, shifted(count, firsts, started), pair, n, v), firsts)
+                logs = words.more["log"][number]
+                rare = np.isnan(logs)
+                # each rare word of a text once, with how often it stands there
+                each, times = np.unique(np.repeat(np.arange(len(texts)), sizes)[rare] << 32 | number[rare], return_counts=True)
+                missing = np.add.reduceat(rare.astype(np.int64), firsts)
+                base = np.add.reduceat(np.where(rare, 0.0, logs), firsts)
+                none, no = np.zeros(len(each), np.int64), np.zeros(len(each))
+                cols = {
+                    "n_tokens": np.concatenate([sizes, none]),
+                    "n_known": np.concatenate([sizes - missing, none]),
+                    "base": np.concatenate([base, no]),
+                    "score": np.concatenate([scores, no]),
+                    "word": [f" {i}" for i in rids[lo : lo + GROUP]] + [words.words[k].decode() for k in (each & 0xFFFFFFFF).tolist()],
+                    "times": np.concatenate([np.zeros(len(texts), np.int64), times]),
+                }
+                kept = head.take(pa.array(np.concatenate([np.arange(len(texts)), each >> 32]) + lo))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(cols[k], t) for k, t in kinds.items())], [*head.schema.names, *kinds])
 
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (~train).alias("held_out"), _raw(text_col).alias("text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
@@ -327,11 +376,13 @@ def joined_scores(slim: DataFrame, counts: DataFrame, n: int, v: int) -> DataFra
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        words = Words()
         for b in batches:
             for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
-                keys = keys_of([tokens_of(text)], hashes)
-                each, times = np.unique(np.stack(keys), axis=1, return_counts=True)
+                texts = [tokens_of(text)]
+                number, firsts = words.numbers(texts), firsts_of(texts)
+                word = words.hashes[number]
+                each, times = np.unique(np.stack([word, shifted(word, firsts, START_KEY), pair_keys(word, firsts)]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(times), rid)), *(pa.array(k.view(np.int64)) for k in each), pa.array(times)], ["rid", "word", "before", "pair", "times"])
 
     out = slim.select("rid", "text").mapInArrow(spread, "rid long, word long, before long, pair long, times long")
