@@ -67,7 +67,8 @@ def find_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     """(rid, id, sentence, license, dice): each sentence's best license at ``threshold`` or more."""
     bounds = templates.agg(F.min("low"), F.max("high")).first()
     cut_up = F.split(F.regexp_replace(_lower(F.col(text_col)), r"[.!?][ \t\r\n]+", "\n"), "\n")
-    sentences = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.posexplode(cut_up).alias("sentence", "s"))
+    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), cut_up.alias("cut_up"))
+    sentences = slim.select("rid", "id", F.posexplode("cut_up").alias("sentence", "s"))
     paired = sentences.select("rid", "id", "sentence", _pairs(F.col("s")).alias("pairs")).withColumn("size", F.size("pairs"))
     fit = paired.where(F.col("size").between(bounds[0] or 0.0, bounds[1] or 0.0))
     shared = fit.select("rid", "id", "sentence", "size", F.explode("pairs").alias("pair")).join(templates, "pair").where((F.col("size") >= F.col("low")) & (F.col("size") <= F.col("high")))

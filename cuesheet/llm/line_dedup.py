@@ -38,7 +38,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, id, pos, h1, h2, words): each line with 128 bits of its hash and its number of words."""
-    split = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    # numbered in a projection of its own: beside the generator it would number lines
+    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    split = slim.select("rid", "id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return split.select("rid", "id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words"))
 
 
