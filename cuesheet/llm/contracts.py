@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, language_id, license_scan, line_dedup, lm_score, media, secret_scan, simhash
+from cuesheet.llm import decontaminate, language_id, license_scan, line_dedup, lm_score, media, secret_scan, simhash, toxicity
 
-_MODULES = (media, decontaminate, lm_score, secret_scan, license_scan, language_id, simhash, line_dedup)
+_MODULES = (media, decontaminate, lm_score, secret_scan, license_scan, language_id, simhash, line_dedup, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
