@@ -34,15 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import crc_mod, cut, table
+from cuesheet.llm.common import crc_mod, cut, table, text_batches
 
 END = "\n"
 FREQUENT = 1 << 17
 COUNTED = 150_000
 BASE = 1.5
 WEIGHT = 0.4
-PROBES = 4
-BITS_PER_ENTRY = 8
+PROBES = 3
+BITS_PER_ENTRY = 6
 LEVELS = 96
 MAX_FILTER_MB = 256
 #: Training tokens for each block of the filter, about.
@@ -231,9 +231,8 @@ def pair_shares(texts: DataFrame, n_blocks: int, text_col: str = "text") -> Data
             )
 
         for b in batches:
-            raw = b.column(0).to_pylist()
-            for lo in range(0, len(raw), GROUP):
-                texts = [tokens_of(t) for t in raw[lo : lo + GROUP]]
+            for lo in range(0, b.num_rows, GROUP):
+                texts = [tokens_of(t) for t in b.column(0).slice(lo, GROUP).to_pylist()]
                 number = words.numbers(texts)
                 word = words.hashes[number]
                 held += [word, pair_keys(word, firsts_of(texts)), np.full(len(texts), START_KEY)]
@@ -296,11 +295,12 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     ``train`` tells which rows the model learns from; the others are held out.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     trained = docs.where(train)
     vocabulary = cut(word_counts(trained, text_col), "words")
     n, v = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
     n_blocks = max(1, -(-n // BLOCK_TOKENS))
-    shares = cut(pair_shares(trained, n_blocks, text_col), "ngrams")
+    shares = pair_shares(trained, n_blocks, text_col)
     blocks = cut(filter_blocks(shares), "filter")
     size = blocks.agg(F.sum(F.length("bits"))).first()[0] or 0
     fits = size <= max_filter_mb << 20
@@ -321,10 +321,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         words = Words(describe)
         started = filter_.counts(np.array([START_KEY]))[0]
         for b in batches:
-            head, raw = b.drop_columns(["text"]), b.column("text").to_pylist()
-            rids = np.asarray(b.column("rid"))
-            for lo in range(0, len(raw), GROUP):
-                texts = [tokens_of(t) for t in raw[lo : lo + GROUP]]
+            head, rids = b.drop_columns(["text"]), np.asarray(b.column("rid"))
+            for lo in range(0, b.num_rows, GROUP):
+                texts = [tokens_of(t) for t in b.column("text").slice(lo, GROUP).to_pylist()]
                 number, firsts = words.numbers(texts), firsts_of(texts)
                 sizes = np.array([len(ws) + 1 for ws in texts])
                 scores = np.zeros(len(texts))
