@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from cuesheet.plans.queries import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
