@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,20 +35,22 @@ def largest_remainder(lengths: DataFrame, stride: int, frames: int, group: str =
 
 
 def min_one(shares: DataFrame, group: str = "group_id") -> DataFrame:
-    """Shares under one take one from the currently largest share, first one on ties, if that has more than one."""
-
-    def repair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", ignore_index=True)
-        share = rows["share"].to_numpy().copy()
-        for i in range(len(share)):
-            if share[i] < 1:
-                most = int(share.argmax())
-                if share[most] > 1:
-                    share[most] -= 1
-                    share[i] = 1
-        return rows.assign(share=share)
-
-    return shares.groupBy(group).applyInPandas(repair, shares.schema)
+    """Shares under one take one from the currently largest share, first one on ties, if that has more than one.
+
+    The steps of a group depend on one another, so they are a fold over its array of shares.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("pos", "length", "share")))
+    by = shares.groupBy(group).agg(rows.alias("x"))
+
+    def step(acc: Column, i: Column) -> Column:
+        most = F.array_position(acc, F.array_max(acc)) - 1
+        moved = F.transform(acc, lambda v, j: F.when(j == i, F.lit(1).cast("long")).when(j == most, v - 1).otherwise(v))
+        return F.when((F.get(acc, i) < 1) & (F.array_max(acc) > 1), moved).otherwise(acc)
+
+    start = F.transform("x", lambda r: r["share"])
+    mended = F.when(F.array_min(start) < 1, F.aggregate(F.sequence(F.lit(0), F.size("x") - 1), start, step)).otherwise(start)
+    out = by.withColumn("share", mended).select(group, F.posexplode("x").alias("i", "r"), "share")
+    return out.select(group, "r.pos", "r.length", F.get("share", F.col("i")).alias("share"))
 
 
 def equal_lengths(groups: DataFrame, frames: int, group: str = "group_id") -> DataFrame:
