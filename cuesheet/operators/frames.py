@@ -52,8 +52,7 @@ def first_last(wanted: DataFrame, files: DataFrame, transition: Column) -> DataF
 
     Without any files both are null.
     """
-    n = files.agg(F.count("*").alias("n_files"))
-    at = wanted.crossJoin(F.broadcast(n))  # a single row
+    at = wanted.withColumn("n_files", files.agg(F.count("*")).scalar())
     at = at.withColumns({"a": F.when(F.col("n_files") > 0, F.pmod("i", F.col("n_files"))), "b": F.when(F.col("n_files") > 0, F.pmod(F.when(transition, F.col("j")).otherwise(F.col("i")), F.col("n_files")))})
     one = files.select(F.col("pos").alias("a"), F.col("name").alias("first_name"))
     two = files.select(F.col("pos").alias("b"), F.col("name").alias("last_name"))

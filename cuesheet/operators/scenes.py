@@ -99,16 +99,14 @@ def or_own(index: Column, row: Column) -> Column:
 
 def wrap_lookup(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Each wanted i with the file at ``i`` modulo the number of files (numbered ``pos`` from 0)."""
-    n = files.agg(F.count("*").alias("n_files"))
-    at = wanted.crossJoin(F.broadcast(n)).withColumn("at", F.pmod("i", "n_files"))  # n is a single row
+    at = wanted.withColumn("n_files", files.agg(F.count("*")).scalar()).withColumn("at", F.pmod("i", "n_files"))
     return at.join(files.withColumnRenamed("pos", "at"), "at")
 
 
 def strict_lookup(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Each wanted i with the file at that position; an index out of range is an error."""
-    n = files.agg(F.count("*").alias("n_files"))
     ok = (F.col("i") >= 0) & (F.col("i") < F.col("n_files"))
-    at = wanted.crossJoin(F.broadcast(n)).withColumn("at", F.when(ok, F.col("i")).otherwise(F.raise_error(F.lit("index out of range")).cast("long")))
+    at = wanted.withColumn("n_files", files.agg(F.count("*")).scalar()).withColumn("at", F.when(ok, F.col("i")).otherwise(F.raise_error(F.lit("index out of range")).cast("long")))
     return at.join(files.withColumnRenamed("pos", "at"), "at")
 
 
