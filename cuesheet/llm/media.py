@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuesheet.llm.common import fresh, table
+from cuesheet.llm.common import fresh, table, text_batches
 
 RATE = 8000
 FRAME = 576
@@ -97,6 +97,7 @@ def store_wav(df: DataFrame, payload: Column, wav_col: str = "wav", rate: int =
     def encode(values: pa.Array) -> pa.Array:
         return pa.array([to_wav(v or b"", rate) for v in values.to_pylist()], pa.binary())
 
+    text_batches(df.sparkSession)
     return df.withColumn(wav_col, encode(payload))
 
 
@@ -119,6 +120,7 @@ def read_wav(df: DataFrame, wav_col: str = "wav", samples_col: str = "samples",
             pairs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, type=arrow.field("pairs").type)
             yield pa.StructArray.from_arrays([pa.array(samples, pa.binary()), pairs], fields=list(arrow))
 
+    text_batches(df.sparkSession)
     (both,) = fresh(df.columns + [samples_col, pairs_col], "_read")
     out = df.withColumn(both, decode(F.col(wav_col)))
     return out.withColumns({samples_col: F.col(f"{both}.samples"), pairs_col: F.col(f"{both}.pairs")}).drop(both)
