@@ -104,8 +104,9 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cover = sized.join(head, ["level", "rid", "start"]).withColumn("tail", F.expr("start + size - shiftleft(1, level)"))
     named = cut(cover.join(tail, ["level", "rid", "tail"]).select("rid", "id", "start", "size", "r1", "r2"), "intervals")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "rid", "start")
+    # written, so that its rows reach the join by an exchange of their own: the join of a frequent run can then be split
     first = named.groupBy("size", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("size", "r1", "r2", F.col("first.rid").alias("f_rid"), F.col("first.start").alias("f_start"))
-    copies = named.join(first, ["size", "r1", "r2"]).where("rid <> f_rid or start <> f_start")
+    copies = named.join(cut(first, "firsts"), ["size", "r1", "r2"]).where("rid <> f_rid or start <> f_start")
     gone = copies.select("rid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos"))
     return gone.groupBy("rid").agg(F.collect_set("pos").alias("gone"))
 
