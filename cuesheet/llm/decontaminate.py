@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import cut, fresh, table
+from cuesheet.llm.common import cut, fresh, table, text_batches
 
 WINDOW = 10
 BITS = 20
@@ -171,7 +171,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     ``monotonically_increasing_id``; ``c0``... are its columns ``carry``.
     """
     windows = cut(item_windows(benchmark, window, id_col, item_text_col), "windows")
-    counts = word_counts(docs, _bitmap(windows.select(F.explode("words").alias("word")), "word"), text_col)
+    text_batches(docs.sparkSession)
+    counts = cut(word_counts(docs, _bitmap(windows.select(F.explode("words").alias("word")), "word"), text_col), "counts")
     prefixes = cut(rare_prefixes(windows, counts), "prefixes").withColumnRenamed("word", "prefix")
     found = places(docs, _bitmap(prefixes, "prefix"), window, text_col, carry)
     start = F.col("place") - F.col("offset")
