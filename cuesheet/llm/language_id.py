@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import crc_mod, fresh, table
+from cuesheet.llm.common import crc_mod, fresh, table, text_batches
 
 UNKNOWN = "und"
 SLOTS = 1 << 20
@@ -67,7 +67,7 @@ def trigrams(text: str | None) -> Iterator[np.ndarray]:
 
 def slots_of(codes: np.ndarray, k: int) -> np.ndarray:
     """The slot of each trigram under hash function ``k``."""
-    x = codes.astype(np.uint64) + np.uint64(k + 1) * _MIX[2]
+    x = codes.astype(np.uint64) + np.uint64((k + 1) * int(_MIX[2]) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
     return ((x ^ (x >> np.uint64(31))) & np.uint64(SLOTS - 1)).astype(np.int64)
@@ -114,6 +114,7 @@ def trigram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 codes, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     return slim.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
@@ -148,6 +149,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
 
 def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Add the predicted language of each text and its score."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
