@@ -10,8 +10,8 @@ The filter has one slot for each hash value and one bit for each language in a
 slot; the AND of a trigram's slots is the set of languages that contain it, so
 one lookup serves all languages. A text's score for a language is the number
 of its trigrams in that language, less those expected by false positives; the
-largest wins, equal ones by the order of the names, and ``score`` is its share
-of all scores.
+largest wins, equal ones by the order of the names. ``score`` is that number's
+share of the text's trigrams, so it is low for what is in no learned language.
 
 Texts are lower-cased; what is no letter is a space. A null text, or one
 without a letter, is ``und`` with score 0; so is a text that has letters but no
@@ -84,7 +84,7 @@ class LanguageFilter:
         self.false = (filled / len(masks)) ** HASHES
 
     def scores(self, text: str | None) -> np.ndarray | None:
-        """Corrected counts by language, or None for a text without letters."""
+        """Corrected shares of the text's trigrams by language, or None for a text without letters."""
         hits, n = np.zeros(len(self.names)), 0
         for codes in trigrams(text):
             found = self.masks[slots_of(codes, 0)]
@@ -92,14 +92,14 @@ class LanguageFilter:
                 found &= self.masks[slots_of(codes, k)]
             hits += np.concatenate([np.bincount(found[:, j], minlength=256) @ self.bits for j in range(found.shape[1])])[: len(self.names)]
             n += len(codes)
-        return np.maximum(0, (hits - n * self.false) / (1 - self.false)) if n else None
+        return np.maximum(0, (hits / n - self.false) / (1 - self.false)) if n else None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = self.scores(text)
         if found is None or not self.names:
             return UNKNOWN, 0.0
         best = int(found.argmax())
-        return self.names[best], float(found[best] / found.sum()) if found.sum() > 0 else 0.0
+        return self.names[best], float(min(1.0, found[best]))
 
 
 def trigram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
