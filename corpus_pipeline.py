@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from cuesheet.llm import decontaminate, language_id, line_dedup, mixing, simhash
 from cuesheet.llm.common import cut, table
 
-#: Documents whose language is unknown, or less certain than this, are rejected.
-MIN_LANGUAGE_SCORE = 0.3
+#: Documents without letters, or with a smaller share of trigrams in any learned language, are rejected.
+MIN_LANGUAGE_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
