@@ -56,10 +56,8 @@ def sanitized(name: Column | str) -> Column:
 
 
 def unquoted(path: Column | str) -> Column:
-    """Trimmed, and without one pair of like quotes around it."""
-    p = F.trim(_col(path))
-    quoted = p.rlike(r"""^(".*"|'.*')$""") & (F.length(p) >= 2)
-    return F.when(quoted, p.substr(F.lit(2), F.length(p) - 2)).otherwise(p)
+    """Without white space and one double quote at either end."""
+    return F.regexp_replace(F.regexp_replace(F.trim(_col(path)), '^"', ""), '"$', "")
 
 
 def extension(name: Column | str) -> Column:

@@ -78,6 +78,12 @@ def parse_keyframes(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
     return both.select(*keys, F.posexplode("_a").alias("pos", "sec")).where("sec is not null").select(*keys, F.col("pos").cast("long").alias("pos"), F.greatest("sec", F.lit(0.0)).alias("sec"))
 
 
+def input_problem(file: Column, found: Column, keyframes: Column) -> Column:
+    """What is wrong with a run's inputs before it begins; null where nothing is. No file and no keyframes are fine."""
+    unread = (F.trim(F.coalesce(keyframes, F.lit(""))) != "") & F.try_parse_json(keyframes).isNull()
+    return F.when((F.coalesce(file, F.lit("")) != "") & ~found, "the file is not found").when(unread, "the keyframes are no JSON")
+
+
 def reduced(row: Column, reuse: Column) -> Column:
     """The row that is looked up where rows are used again every ``reuse``."""
     return F.when(reuse > 1, F.pmod(row, reuse)).when(reuse == 1, F.lit(0).cast("long")).otherwise(row)

@@ -548,3 +548,39 @@ def prompt_options(spark: SparkSession, d: str) -> DataFrame:
     system = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("say "), F.col("event_id").cast("string"), F.lit("s: "), F.col("event_type"))).otherwise(F.col("event_type"))
     kind: Column = library.mime_kind(F.when(F.col("event_id") % 3 == 0, F.lit("audio/wav")).otherwise(F.lit("text/plain")))
     return e.select(system.alias("system_text"), "event_id", kind.isNotNull().alias("media_kind_known"))
+
+
+# bounds, paths and checks --------------------------------------------------
+
+
+@query("SELECT event_id, greatest(0, event_id - 50)::BIGINT AS first, greatest(event_id - 60 + event_id % 40, greatest(0, event_id - 50) + 1)::BIGINT AS last FROM events")
+def slice_bounds(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    first, last = segments.slice_bounds(k - 50, k - 60 + k % 40)
+    return t.table(spark, d, "events").select("event_id", first.alias("first"), last.alias("last"))
+
+
+@query(ORACLES["token_ranges"].replace("SELECT group_id, pos, (2 + upto - n)::BIGINT AS first, (2 + upto)::BIGINT AS last FROM u", "SELECT group_id, max(2 + upto)::BIGINT AS most_tokens FROM u GROUP BY 1"))
+def most_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return token_ranges(spark, d).groupBy("group_id").agg(F.max("last").alias("most_tokens"))
+
+
+@query(f"WITH {_WINDOWS}, r AS (SELECT conv_id AS group_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) SELECT group_id, pos, mid, win FROM w JOIN r USING (group_id, pos)")
+def zip_by_position(spark: SparkSession, d: str) -> DataFrame:
+    windows = relay.segment_windows(relay.largest_remainder(t.order_lengths(spark, d), 8, 31))
+    return windows.join(_turns(spark, d).select(F.col("conv_id").alias("group_id"), "pos"), ["group_id", "pos"]).select("group_id", "pos", "mid", "win")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '/abs/' || p_name ELSE 'input/' || p_name END AS first_candidate, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS n_candidates FROM part""")
+def resolve_paths(spark: SparkSession, d: str) -> DataFrame:
+    quoted = F.concat(F.lit(' "'), F.when(F.col("p_partkey") % 2 == 0, F.lit("/abs/")).otherwise(F.lit("")), "p_name", F.lit('" '))
+    found = library.resolved(quoted, ["input/", "more"])
+    return t.table(spark, d, "part").select("p_partkey", F.get(found, F.lit(0)).alias("first_candidate"), F.size(found).cast("long").alias("n_candidates"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 AND event_id % 3 <> 0 THEN 'the file is not found' WHEN event_id % 5 = 0 THEN 'the keyframes are no JSON' END AS problem FROM events""")
+def input_problems(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    file = F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("a.wav"))
+    keyframes = F.when(k % 5 == 0, F.lit("[1,")).otherwise(F.col("props"))
+    return t.table(spark, d, "events").select("event_id", scenes.input_problem(file, k % 4 != 0, keyframes).alias("problem"))
