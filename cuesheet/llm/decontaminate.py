@@ -221,4 +221,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ORACLE = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+bw AS (SELECT item_id, ws, least({WINDOW}, len(ws)) AS size FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM bw)),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+dw AS (SELECT doc_id, size, p, array_to_string(ws[p:p + size - 1], ' ') AS w FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM d, (SELECT DISTINCT size FROM win))),
+hit AS (SELECT doc_id, p, size, item_id FROM dw JOIN win USING (size, w)),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY 1)
+SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+ORACLES = {"op6_decontaminate": _ORACLE}
 QUERIES = {"op6_decontaminate": op6_decontaminate}
