@@ -137,4 +137,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, deleted_col="deleted").select("doc_id", F.size("deleted").cast("long").alias("n_deleted"), F.array_join(F.col("deleted"), ",").alias("deleted_lines"), "text")
 
 
+_ORACLE = rf"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
+r AS (SELECT line FROM e GROUP BY 1 HAVING count(*) > 1),
+k AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM e SEMI JOIN r USING (line)),
+s AS (SELECT doc_id, seg, min(pos) AS p0, list(line ORDER BY pos) AS ls, list(n ORDER BY pos) AS ns FROM k GROUP BY 1, 2),
+a AS (SELECT doc_id, p0, ls, ns, unnest(range(1, len(ls) + 1)) AS i FROM s),
+b AS (SELECT *, unnest(range(i, len(ls) + 1)) AS j FROM a),
+w AS (SELECT doc_id, p0 + i - 1 AS start, j - i + 1 AS size, array_to_string(ls[i:j], chr(10)) AS run FROM b WHERE list_sum(ns[i:j]) >= {MIN_WORDS}),
+f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS nth FROM w),
+g AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(start, start + size))))) AS gone FROM f WHERE nth > 1 GROUP BY 1)
+SELECT d.doc_id, coalesce(len(gone), 0)::BIGINT AS n_deleted, coalesce(array_to_string(list_transform(gone, lambda x: x - 1), ','), '') AS deleted_lines,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
+ORACLES = {"op10_line_dedup": _ORACLE}
 QUERIES = {"op10_line_dedup": op10_line_dedup}
