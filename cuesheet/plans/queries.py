@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import scalars
 from cuesheet.operators import audio, frames, geometry, library, relay, scenes, segments, timeline
 from cuesheet.plans import tables as t
+from cuesheet.sources.shared import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,25 +198,16 @@ def scene_lookup_v1(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id, count(*) OVER () AS n FROM benchmark)
 SELECT o_orderkey, o_custkey, item_id FROM orders JOIN f ON o_custkey % n = pos""")
 def wrap_lookup(spark: SparkSession, d: str) -> DataFrame:
-    files = _numbered(t.table(spark, d, "benchmark").select("item_id"), "item_id")
+    files = numbered(t.table(spark, d, "benchmark").select("item_id"), "item_id")
     return scenes.wrap_lookup(t.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("i")), files).select("o_orderkey", "o_custkey", "item_id")
 
 
 @query("""WITH f AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey FROM part) SELECT s_suppkey, p_partkey FROM supplier JOIN f ON s_suppkey % 7 = pos""")
 def strict_lookup(spark: SparkSession, d: str) -> DataFrame:
-    files = _numbered(t.table(spark, d, "part").select("p_partkey"), "p_partkey")
+    files = numbered(t.table(spark, d, "part").select("p_partkey"), "p_partkey")
     return scenes.strict_lookup(t.table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 7).alias("i")), files).select("s_suppkey", "p_partkey")
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """Rows numbered in the order of a key, from 0, without bringing them together: partition by partition of a range sort."""
-    by_range = df.repartitionByRange(F.col(key)).select("*", F.spark_partition_id().alias("_part"))
-    sizes = by_range.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return by_range.withColumn("_own", own).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias("pos"))
-
-
 @query("SELECT conv_id, CASE WHEN n > 2 AND p = 1 THEN 2 WHEN n > 2 AND p = 2 THEN 1 ELSE p END::BIGINT AS pos, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")
 def move_row(spark: SparkSession, d: str) -> DataFrame:
     return scenes.move_row(_turns(spark, d), 1, 1, "conv_id").select("conv_id", "pos", "turn")
@@ -377,7 +369,7 @@ def nearest_marker(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id::VARCHAR AS name, count(*) OVER () AS n FROM benchmark)
 SELECT o_orderkey, x.name AS first_name, y.name AS last_name FROM orders JOIN f x ON o_custkey % x.n = x.pos JOIN f y ON (CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 ELSE o_custkey END) % y.n = y.pos""")
 def first_last_frame(spark: SparkSession, d: str) -> DataFrame:
-    files = _numbered(t.table(spark, d, "benchmark").select("item_id"), "item_id").select("pos", F.col("item_id").cast("string").alias("name"))
+    files = numbered(t.table(spark, d, "benchmark").select("item_id"), "item_id").select("pos", F.col("item_id").cast("string").alias("name"))
     o = t.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("i"), (F.col("o_custkey") + 1).alias("j"), "o_orderstatus")
     return frames.first_last(o, files, F.col("o_orderstatus") == "F").select("o_orderkey", "first_name", "last_name")
 
