@@ -2,44 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a local master gets a temporary folder of its
-    own (tests); a cluster without it is an error, since a folder on one
-    machine would not be seen by the others.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="cuesheet-")
-    return _OWN[app]
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    What follows starts from the files, so a lost executor costs no recomputed
-    lineage, and work used twice is done once.
-    """
-    path = f"{shared_dir(df.sparkSession)}/cuesheet/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from cuesheet.sources.shared import cut
 
+__all__ = ["crc_mod", "cut", "fresh", "table", "text_batches"]
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold few rows from now on: texts are long, and a batch is held whole in Python and the JVM."""
