@@ -9,6 +9,7 @@ from cuesheet.sources.shared import cut
 
 __all__ = ["crc_mod", "cut", "fresh", "table", "text_batches"]
 
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold few rows from now on: texts are long, and a batch is held whole in Python and the JVM."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
