@@ -55,18 +55,22 @@ def _found(text: str, pattern: str, group: int, least: int, kind: int) -> Column
     return F.when(col.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
+def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
     """(value, secret): generated random strings, and words of a bounded sample of documents.
 
-    The sample is the ``sample_docs`` documents whose text has the lowest hash;
-    words with digits are left out of it, since those may be secrets.
+    The sample is the documents whose hash lies in a share of its range that
+    ``sample_docs`` rows can be expected to stay under; all of a small table.
+    Words with digits are left out of it, since those may be secrets.
     """
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.translate(F.base64(F.unhex(digest)), "=", "")
     made = docs.sparkSession.range(random_strings).select(
         F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).when(F.col("id") % 3 == 1, base64).otherwise(F.translate(base64, "+/", "")).alias("value"), F.lit(True).alias("secret")
     )
-    few = docs.select(F.col(text_col).alias("t")).where(F.col("t").isNotNull()).orderBy(F.xxhash64("t")).limit(sample_docs)
+    rows = docs.count()
+    share = 1.0 if rows <= sample_docs else (sample_docs - 4 * sample_docs**0.5) / rows
+    chosen = F.xxhash64(id_col, text_col) <= int(-(2**63) + share * (2**64 - 2**12))
+    few = docs.where(F.col(text_col).isNotNull() & chosen).select(F.col(text_col).alias("t")).limit(sample_docs)
     words = few.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("value"))
     return made.unionByName(words.where((F.length("value") >= 2) & ~F.col("value").rlike("[0-9]")).withColumn("secret", F.lit(False)))
 
