@@ -5,9 +5,14 @@ white space behind it). Sentences and templates are normalised alike: A-Z
 lower-cased, everything but a-z and 0-9 a separator. They are compared by the
 Dice coefficient of their sets of word pairs. A template can only reach the
 threshold for sentences whose number of pairs lies within
-``t / (2 - t)`` and ``(2 - t) / t`` times its own, which prunes the candidates;
-the rest meet in an equi-join on the word pair, so no sentence meets a template
-with which it shares nothing.
+``t / (2 - t)`` and ``(2 - t) / t`` times its own. Within these bounds it must
+share so many pairs with the template that it has at least one of any few of
+them: a text without one of those necessary pairs of some template is passed
+over before it is cut up. The sentences of the rest meet the templates in an
+equi-join on the word pair, where the size bounds are applied.
+
+Templates of ``FEW`` pairs or less in all are broadcast, and their necessary
+pairs looked for in every text; more are joined by a shuffle alone.
 
 Null and empty texts, and sentences of one word, have no pairs and no match;
 equally good templates of a sentence are ranked by name; repeated rows are
@@ -16,12 +21,14 @@ scanned one by one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesheet.llm.common import table
 
 THRESHOLD = 0.8
+#: Word pairs of all templates together up to which they are broadcast.
+FEW = 1000
 #: Usual one-sentence license notices, by identifier.
 TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -63,14 +70,29 @@ def template_pairs(spark: SparkSession, templates: list[tuple[str, str]] | None
     return sized.select("license", "template", "t_size", (F.col("t_size") * ratio - 1e-9).alias("low"), (F.col("t_size") / ratio + 1e-9).alias("high"), F.explode("pairs").alias("pair"))
 
 
+def necessary_pairs(templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(pair): of each template so many pairs, long ones first, that a matching sentence has at least one of them."""
+    ratio = threshold / (2 - threshold)
+    least = F.ceil(F.col("t_size") * ratio - 1e-9)  # pairs of the smallest sentence that may match
+    shared = F.ceil((least + F.col("t_size")) * (threshold / 2) - 1e-9)
+    nth = F.row_number().over(Window.partitionBy("template").orderBy(F.desc(F.length("pair")), "pair"))
+    return templates.withColumn("_nth", nth).where(F.col("_nth") <= F.col("t_size") - shared + 1).select("pair").distinct()
+
+
 def find_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(rid, id, sentence, license, dice): each sentence's best license at ``threshold`` or more."""
-    bounds = templates.agg(F.min("low"), F.max("high")).first()
-    cut_up = F.split(F.regexp_replace(_lower(F.col(text_col)), r"[.!?][ \t\r\n]+", "\n"), "\n")
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), cut_up.alias("cut_up"))
-    sentences = slim.select("rid", "id", F.posexplode("cut_up").alias("sentence", "s"))
+    bounds = templates.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).first()
+    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if bounds["n"] <= FEW:
+        pairs = [r.pair for r in necessary_pairs(templates, threshold).collect()]
+        plain = F.concat(F.lit(" "), F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), F.lit(" "))
+        # one pattern, so that the normalised text is made once; pairs are a-z, 0-9 and a space
+        slim = slim.where(plain.rlike(f" (?:{'|'.join(sorted(pairs))}) ") if pairs else F.lit(False))
+        templates = F.broadcast(templates)
+    cut_up = F.split(F.regexp_replace(_lower(F.col("text")), r"[.!?][ \t\r\n]+", "\n"), "\n")
+    sentences = slim.select("rid", "id", cut_up.alias("cut_up")).select("rid", "id", F.posexplode("cut_up").alias("sentence", "s"))
     paired = sentences.select("rid", "id", "sentence", _pairs(F.col("s")).alias("pairs")).withColumn("size", F.size("pairs"))
-    fit = paired.where(F.col("size").between(bounds[0] or 0.0, bounds[1] or 0.0))
+    fit = paired.where(F.col("size").between(bounds["low"] or 0.0, bounds["high"] or 0.0))
     shared = fit.select("rid", "id", "sentence", "size", F.explode("pairs").alias("pair")).join(templates, "pair").where((F.col("size") >= F.col("low")) & (F.col("size") <= F.col("high")))
     dice = 2.0 * F.count("*") / (F.col("size") + F.col("t_size"))
     scored = shared.groupBy("rid", "id", "sentence", "size", "license", "template", "t_size").agg(dice.alias("dice")).where(F.col("dice") >= threshold)

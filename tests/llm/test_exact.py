@@ -1,6 +1,7 @@
 """Operators with an exact result against plain-Python models, with the odd cases among the rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -111,6 +112,24 @@ def test_licenses(spark, make):
     assert license_scan.find_licenses(docs.limit(0), license_scan.template_pairs(spark)).count() == 0
 
 
+def test_few_and_many_templates_agree(spark, make, monkeypatch):
+    """Sentences with words of the templates left out, doubled or replaced."""
+    r = random.Random(9)
+    texts = []
+    for _, body in license_scan.TEMPLATES:
+        for _ in range(12):
+            w = body.split()
+            for _ in range(r.randint(0, 4)):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], [w[k], w[k]], ["other"], [w[k], "words", "here"]]) or w[k : k + 1][:0]
+                w = w or ["x"]
+            texts.append("Begin here. " + " ".join(w) + "\nend")
+    rows = lambda: sorted((x.id, x.sentence, x.license, x.dice) for x in license_scan.find_licenses(make(texts), license_scan.template_pairs(spark)).collect())
+    few = rows()
+    monkeypatch.setattr(license_scan, "FEW", 0)
+    assert few == rows() and len(few) > 50
+
+
 def lpf(texts, least):
     """Lines in runs of ``least`` words or more that also start earlier, by looking at all runs."""
     seen, gone = set(), {}
