@@ -8,22 +8,38 @@ from pyspark.sql import functions as F
 from cuesheet.llm.common import cut
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (a, b): the smallest node that can be reached.
 
-    Each round every node takes the smallest root among its neighbours' and its
-    own, then the root of its root. A round's labels are written to the shared
-    folder, so lineage stays short. Labels only fall, so the loop ends; the
-    number of rounds is about the logarithm of the longest chain.
+    Each round gives the nodes a new random order and hooks every node to the
+    first one among itself and its neighbours; pointers are followed to their
+    ends, and links between different ends are the next round's. A node with a
+    neighbour stays an end in half of the cases at most, whatever the shape of
+    the links, so about the logarithm of the number of nodes is the number of
+    rounds, and their tables shrink; a round with links joins two nodes at
+    least, so the loop ends. Chains of pointers follow a random order downwards
+    and are short. Tables are written to the shared folder, so lineage stays short.
     """
-    both = cut(links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("seen"))
-        mine = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "seen").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = cut(mine.join(jump, "root").select("node", "was", F.least("root", "above").alias("root")), "labels")
-        labels = after.select("node", "root")
-        if after.where("was <> root").isEmpty():
-            return labels
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+    one_way = links.where("a <> b")
+    edges = cut(one_way.select("a", "b").union(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels, turn = None, 0
+    while labels is None or not edges.isEmpty():
+        order = lambda name: F.struct(F.xxhash64(F.lit(turn), name).alias("order"), F.col(name).alias("node"))  # noqa: B023, E731
+        hooks = edges.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("first"))
+        up = cut(hooks.select("node", F.least("first", order("node"))["node"].alias("root")), "hooks")
+        while True:
+            above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            after = cut(up.join(above, "root").select("node", F.col("root").alias("was"), F.col("above").alias("root")), "hooks")
+            up = after.select("node", "root")
+            if after.where("was <> root").isEmpty():
+                break
+        if labels is None:
+            labels = up
+        else:
+            named = labels.join(up.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
+            labels = cut(named.select("node", F.coalesce("above", "root").alias("root")), "labels")
+        ends = edges.join(up.select(F.col("node").alias("a"), F.col("root").alias("c")), "a").join(up.select(F.col("node").alias("b"), F.col("root").alias("d")), "b")
+        edges = cut(ends.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "links")
+        turn += 1
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    return cut(labels.join(least, "root").select("node", F.col("least").alias("root")), "labels")
