@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import decontaminate, language_id, line_dedup, mixing, simhash
+from cuesheet.llm import decontaminate, language_id, line_dedup, mixing, near_dedup
 from cuesheet.llm.common import cut, table
 
 #: Documents without letters, or with a smaller share of trigrams in any learned language, are rejected.
@@ -32,8 +32,8 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return near_dedup.keep_one(docs)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", identify_language),
     ("line_dedup", deduplicate_lines),
-    ("simhash", deduplicate_documents),
+    ("near_dedup", deduplicate_documents),
     ("decontaminate", decontaminate_documents),
     ("mixing", mix_sources),
 ]
 
-#: Language prediction, SimHash components and the schedule are not expressed in SQL.
+#: Language prediction, components of near copies and the schedule are not expressed in SQL.
 ORACLE_SQL = None
 
 
