@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: application -> (JVM, Hadoop configuration, folder): what to remove at the end.
+_HELD: dict[str, tuple] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,26 +35,77 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _HELD:
+        _HELD[sc.applicationId] = (sc._jvm, sc._jsc.hadoopConfiguration(), f"{shared_dir(spark)}/cuesheet/{sc.applicationId}")
+    return _HELD[sc.applicationId][2]
+
+
+def _remove(jvm: object, conf: object, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that still read them must have been written."""
+    held = _HELD.pop(spark.sparkContext.applicationId, None)
+    if held:
+        _remove(*held)
+
+
+@atexit.register
+def _release_all() -> None:
+    while _HELD:
+        held = _HELD.popitem()[1]
+        try:
+            _remove(*held)
+        except Exception:  # noqa: BLE001, S110 - the JVM may have gone first
+            pass
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     What follows starts from the files, so a lost executor costs no recomputed
-    lineage, and work used twice is done once.
+    lineage, and work used twice is done once. The table stays until
+    ``discard``, ``release`` or the end of the driver's process.
     """
-    path = f"{shared_dir(df.sparkSession)}/cuesheet/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            jvm, conf, _ = _HELD[df.sparkSession.sparkContext.applicationId]
+            _remove(jvm, conf, path)
+
+
+def part_of(own: str = "_own") -> Column:
+    """The partition that a ``monotonically_increasing_id`` came from."""
+    return F.shiftright(own, 33)
 
 
-def numbered(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
-    """Adds places from 0 in the order of ``key``, without bringing all rows together.
+def numbered(df: DataFrame, keys: str | list[str | Column], pos: str = "pos", within: str | None = None) -> DataFrame:
+    """Adds places from 0 in the order of ``keys``, without bringing all rows together.
 
-    A range sort gives partitions in order; rows are numbered in each, and the
-    sizes of those before are added. The partitions are written first, since
-    two range sorts need not cut alike.
+    With ``within``, the first of ``keys``, rows of each of its values are numbered
+    by themselves. A range sort gives partitions in order. They are written with
+    the place of each row in its partition, and the sizes of the partitions
+    before, one row for each (and each value of ``within``), are added.
     """
-    parts = df.repartitionByRange(F.col(key)).select("*", F.spark_partition_id().alias("_part"))
-    own = cut(parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1), "numbered")
-    sizes = own.groupBy("_part").count()  # a row for each partition
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return own.join(F.broadcast(before), "_part").withColumn(pos, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    keys = [keys] if isinstance(keys, str) else keys
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    own = cut(parts.withColumn("_own", F.monotonically_increasing_id()), "numbered")
+    group = [F.col(within).alias("_group")] if within else [F.lit(0).alias("_group")]
+    sizes = own.select("_own", part_of().alias("_part"), *group).groupBy("_group", "_part").agg(F.min("_own").alias("_first"), F.count("*").alias("_size"))
+    before = sizes.select("_group", "_part", (F.sum("_size").over(Window.partitionBy("_group").orderBy("_part")) - F.col("_size") - F.col("_first")).alias("_before"))
+    on = (part_of() == F.col("_part")) & (F.col(within).eqNullSafe(F.col("_group")) if within else F.lit(True))
+    return own.join(F.broadcast(before), on).withColumn(pos, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before", "_group")
