@@ -4,9 +4,13 @@ Words and word pairs of the training texts are counted over all of them. The
 counts are quantised on a log scale and put into a Bloom filter: an n-gram of
 level q is inserted q times, as (n-gram, 1) to (n-gram, q), so that a count is
 read back by probing level after level until a miss. The filter is built in
-blocks, one for each share of the n-gram hashes, sized by what falls into it;
-its size is checked before it is broadcast. Beyond ``max_filter_mb`` the same
-quantised counts are joined to the texts' n-grams by a shuffle instead.
+blocks, one for each share of the n-gram hashes, sized by what falls into it.
+
+Every score comes from probes of these blocks. While they are ``max_filter_mb``
+or less together they are broadcast; beyond that they stay where they are, and
+the texts' n-grams go to them: each group of texts sends its distinct n-grams
+to their blocks by an exchange, the same bits are probed there, and the levels
+go back to the group. Scores are the same either way.
 
     P(w | h) = k * min(c(hw), c(h)) / c(h) + (1 - k) * (c(w) + 1) / (N + V + 1)
     k = WEIGHT * c(h) / (c(h) + 5)
@@ -44,9 +48,14 @@ WEIGHT = 0.4
 PROBES = 3
 BITS_PER_ENTRY = 6
 LEVELS = 96
+#: What is broadcast at most.
 MAX_FILTER_MB = 256
 #: Training tokens for each block of the filter, about.
 BLOCK_TOKENS = 1_000_000
+#: Blocks that answer probes together.
+SHELF = 16
+#: Bits of a row's number that its group of texts leaves out.
+GROUP_BITS = 8
 CHUNK = 1 << 17
 #: Texts looked at together.
 GROUP = 200
@@ -153,19 +162,20 @@ def block_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class BloomCounts:
-    """The filter's blocks behind one another, and where each begins."""
+    """Blocks of the filter behind one another: those from ``first`` on, of ``n_blocks`` in all."""
 
-    def __init__(self, blocks: list[bytes]):
+    def __init__(self, blocks: list[bytes], n_blocks: int | None = None, first: int = 0):
         self.bits = np.frombuffer(b"".join(blocks), np.uint8)
         self.sizes = np.array([len(b) * 8 for b in blocks], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.n_blocks, self.first = n_blocks or len(blocks), first
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count that each key's level stands for."""
-        levels = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key; 0 for a key that was never inserted (but for false positives)."""
+        levels = np.zeros(len(keys), np.uint8)
         for lo in range(0, len(keys), CHUNK):
             part = keys[lo : lo + CHUNK]
-            block = (part % np.uint64(len(self.sizes))).astype(np.int64)
+            block = (part % np.uint64(self.n_blocks)).astype(np.int64) - self.first
             alive, starts, sizes = np.arange(lo, lo + len(part)), self.starts[block], self.sizes[block]
             one, two = bit_hashes(part)
             for level in range(1, LEVELS + 1):
@@ -176,7 +186,11 @@ class BloomCounts:
                 if not alive.size:
                     break
                 levels[alive] = level
-        return VALUES[levels]
+        return levels
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The count that each key's level stands for."""
+        return VALUES[self.levels(keys)]
 
 
 def log_probabilities(word: np.ndarray, before: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -263,16 +277,6 @@ def filter_blocks(shares: DataFrame) -> DataFrame:
     return shares.groupBy("block").applyInArrow(build, "block int, bits binary")
 
 
-def quantised_counts(shares: DataFrame) -> DataFrame:
-    """(key, c): what the filter holds, as rows, for joins where it is too large to broadcast."""
-
-    def rows(key: tuple, parts: pa.Table) -> pa.Table:
-        keys, counts = _unpacked(parts)
-        return pa.table({"key": pa.array(keys.view(np.int64)), "c": pa.array(VALUES[levels_of(counts)])})
-
-    return shares.groupBy("block").applyInArrow(rows, "key long, c double")
-
-
 def frequent_words(vocabulary: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
     """The most frequent words with their counts: as many whole frequency classes as hold ``most`` words at most."""
     step = F.floor(F.log(1.05, F.col("n"))).alias("step")
@@ -300,8 +304,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     vocabulary = cut(word_counts(trained, text_col), "words")
     n, v = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
     n_blocks = max(1, -(-n // BLOCK_TOKENS))
-    shares = pair_shares(trained, n_blocks, text_col)
-    blocks = cut(filter_blocks(shares), "filter")
+    blocks = cut(filter_blocks(pair_shares(trained, n_blocks, text_col)), "filter")
     size = blocks.agg(F.sum(F.length("bits"))).first()[0] or 0
     fits = size <= max_filter_mb << 20
     kept = {}
@@ -350,6 +353,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(cols[k], t) for k, t in kinds.items())], [*head.schema.names, *kinds])
 
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (~train).alias("held_out"), _raw(text_col).alias("text"))
+    if not fits:
+        slim = cut(slim, "texts")  # read twice, so numbered once
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
     seen = slim.mapInArrow(look, f"{schema}, n_tokens long, n_known long, base double, score double, word string, times long")
     counted = seen.join(vocabulary, "word", "left")
@@ -360,37 +365,99 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         F.sum("score").alias("score"),
     )
     if not fits:
-        out = out.drop("score").join(joined_scores(slim, quantised_counts(shares), n, v), "rid")
+        out = out.drop("score").join(exchanged_scores(slim, blocks, n_blocks, n, v), "rid")
     return out.select(
         "rid", "id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
     )
 
 
-def joined_scores(slim: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
-    """(rid, score) of numbered texts, with each n-gram's quantised count joined to it.
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(value, whether it is a new one, rows) of sorted batches, for each stretch of equal values."""
+    last = None
+    for b in batches:
+        values = np.asarray(b.column(column))
+        cuts = [0, *(1 + np.nonzero(values[1:] != values[:-1])[0]).tolist(), len(values)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo < hi:
+                value = int(values[lo])
+                yield value, value != last, b.slice(lo, hi - lo)
+                last = value
+
 
-    The same n-gram in a text is one row, so a frequent one is as frequent as
-    the texts that hold it; adaptive execution splits such keys.
+def exchanged_scores(slim: DataFrame, blocks: DataFrame, n_blocks: int, n: int, v: int) -> DataFrame:
+    """(rid, score) of written texts (rid, text), whose n-grams go to the filter's blocks and come back with levels.
+
+    Each group of neighbouring texts asks for an n-gram once, so no block gets
+    more than one probe of it from each group, however frequent it is. Rows
+    come sorted behind an exchange, so a task holds one shelf of blocks, or the
+    answers to one group, at a time.
     """
+    shelves = -(-n_blocks // SHELF)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
-            for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
-                texts = [tokens_of(text)]
-                number, firsts = words.numbers(texts), firsts_of(texts)
-                word = words.hashes[number]
-                each, times = np.unique(np.stack([word, shifted(word, firsts, START_KEY), pair_keys(word, firsts)]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(times), rid)), *(pa.array(k.view(np.int64)) for k in each), pa.array(times)], ["rid", "word", "before", "pair", "times"])
-
-    out = slim.select("rid", "text").mapInArrow(spread, "rid long, word long, before long, pair long, times long")
-    for k in ("word", "before", "pair"):
-        out = out.join(counts.select(F.col("key").alias(k), F.col("c").alias(f"c_{k}")), k, "left")
-    w, h, p = (F.coalesce(f"c_{k}", F.lit(0.0)) for k in ("word", "before", "pair"))
-    weight = F.lit(WEIGHT) * h / (h + 5)
-    joint = F.when(h > 0, F.least(p, h) / h).otherwise(0.0)
-    return out.groupBy("rid").agg(F.sum(F.col("times") * F.log10(weight * joint + (1 - weight) * (w + 1) / F.lit(float(n + v + 1)))).alias("score"))
+        for group, _, rows in _runs(batches, "team"):
+            texts = [tokens_of(t) for t in rows.column("text").to_pylist()]
+            number = words.numbers(texts)
+            word = words.hashes[number]
+            keys = np.unique(np.concatenate([word, pair_keys(word, firsts_of(texts)), [START_KEY]]))
+            shelf = (keys % np.uint64(n_blocks)).astype(np.int64) // SHELF
+            order = np.argsort(shelf, kind="stable")
+            cuts = np.searchsorted(shelf[order], np.arange(shelves + 1))
+            keys, parts = keys[order], np.nonzero(cuts[1:] > cuts[:-1])[0].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts, pa.int32()), pa.array(np.full(len(parts), -1), pa.int32()), pa.array(np.full(len(parts), group), pa.int64()), pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in parts], pa.binary())],
+                ["shelf", "block", "team", "data"],
+            )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bloom = {}, None
+        for shelf, new, rows in _runs(batches, "shelf"):
+            if new:
+                held, bloom = {}, None
+            out = []
+            for block, team, data in zip(*(rows.column(c).to_pylist() for c in ("block", "team", "data")), strict=True):
+                if block >= 0:
+                    held[block] = data
+                    continue
+                if bloom is None:
+                    first = shelf * SHELF
+                    bloom = BloomCounts([held.get(k, bytes(8)) for k in range(first, min(n_blocks, first + SHELF))], n_blocks, first)
+                out.append((team, data, bloom.levels(np.frombuffer(data, np.uint64)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["team", "data", "levels"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known, keys, levels = Words(), [], None, None
+        for _, new, rows in _runs(batches, "team"):
+            if new:
+                known, keys = [], None
+            rids = rows.column("rid").to_pylist()
+            asked = [i for i, rid in enumerate(rids) if rid is None]  # answers come before texts
+            known += [(rows.column("data")[i].as_py(), rows.column("levels")[i].as_py()) for i in asked]
+            rest = rows.slice(len(asked))
+            if not rest.num_rows:
+                continue
+            if keys is None:
+                keys, where = np.unique(np.frombuffer(b"".join(k for k, _ in known), np.uint64), return_index=True)
+                levels = np.frombuffer(b"".join(x for _, x in known), np.uint8)[where]
+            count = lambda k: VALUES[levels[np.searchsorted(keys, k)]]  # noqa: B023, E731
+            texts = [tokens_of(t) for t in rest.column("data").to_pylist()]
+            number, firsts = words.numbers(texts), firsts_of(texts)
+            word = words.hashes[number]
+            started = count(np.array([START_KEY]))[0]
+            logs = log_probabilities(count(word), shifted(count(word), firsts, started), count(pair_keys(word, firsts)), n, v)
+            yield pa.RecordBatch.from_arrays([rest.column("rid"), pa.array(np.add.reduceat(logs, firsts))], ["rid", "score"])
+
+    team = F.shiftright("rid", GROUP_BITS).alias("team")
+    probes = slim.select(team, "text").mapInArrow(ask, "shelf int, block int, team long, data binary")
+    bits = blocks.select(F.floor(F.col("block") / SHELF).cast("int").alias("shelf"), "block", F.lit(-1).cast("long").alias("team"), F.col("bits").alias("data"))
+    # blocks have numbers from 0 and probes have -1, so blocks are sorted to the front
+    met = bits.union(probes).repartition("shelf").sortWithinPartitions("shelf", F.col("block").desc())
+    answers = met.mapInArrow(answer, "team long, data binary, levels binary").select("team", F.lit(None).cast("long").alias("rid"), "data", "levels")
+    texts = slim.select(team, "rid", F.col("text").alias("data"), F.lit(None).cast("binary").alias("levels"))
+    back = answers.union(texts).repartition("team").sortWithinPartitions("team", F.col("rid").asc_nulls_first())
+    return back.mapInArrow(gather, "rid long, score double")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

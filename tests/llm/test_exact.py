@@ -266,11 +266,62 @@ def test_lm(spark, make, corpus, mb):
     assert sum(got[i].score for i in got if held[i]) > 1.5 * sum(got[i].base_score for i in got if held[i])
 
 
-def test_lm_filter_and_join_agree(spark, make, corpus):
-    docs = make(corpus)
-    train = common.crc_mod("doc_id", 7) != 2
-    a, b = ({r.id: r.score for r in lm_score.score_texts(docs, train, max_filter_mb=mb).collect()} for mb in (256, 0))
-    assert all(a[i] == pytest.approx(b[i], rel=0.05) for i in a)
+def test_lm_scores_are_probes_of_the_filter(spark, make, corpus, monkeypatch):
+    """The broadcast filter, the exchange of probes, and a filter of plain sets of bits give the same scores."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 90)
+    monkeypatch.setattr(lm_score, "SHELF", 3)
+    monkeypatch.setattr(lm_score, "GROUP_BITS", 2)
+    texts = ODD + corpus + [None]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    a, b = ({r.id: r for r in lm_score.score_texts(make(texts), common.crc_mod("doc_id", 7) != 2, max_filter_mb=mb).collect()} for mb in (256, 0))
+    grams = [[*SPACE_WORD.findall(low(t)), "\n"] for t in texts]
+    hashed_ = lambda w: int(lm_score.mix(np.array([xxhash.xxh64_intdigest(w.encode(), 42)], np.uint64))[0])
+    start = int(lm_score.START_KEY)
+    keys = [[hashed_(w) for w in ws] for ws in grams]
+    pairs = [[int(lm_score.mix(np.array([h], np.uint64) * lm_score._MIX[2] + np.uint64(w))[0]) for h, w in zip([start, *ks], ks, strict=False)] for ks in keys]
+    c = Counter()
+    for k, out in enumerate(held):
+        if not out:
+            c.update([*keys[k], *pairs[k], start])
+    tokens = sum(len(w) for w, out in zip(grams, held, strict=True) if not out)
+    n_blocks = -(-tokens // 90)
+    assert n_blocks > 20
+    v = len({w for ws, out in zip(grams, held, strict=True) if not out for w in ws})
+
+    def place(key, n, size):
+        one, two = lm_score.bit_hashes(np.array([key], np.uint64))
+        return int(lm_score.bit_place(one, two, n, np.array([size]))[0])
+
+    level = {k: 1 + int(np.floor(np.log(m) / np.log(lm_score.BASE) + 1e-9)) for k, m in c.items()}
+    sizes, bits = {}, {}
+    for block in range(n_blocks):
+        own = [k for k in level if k % n_blocks == block]
+        sizes[block] = -(-max(1, sum(level[k] for k in own) * lm_score.BITS_PER_ENTRY) // 64) * 64
+        bits[block] = {place(k, q * lm_score.PROBES + p, sizes[block]) for k in own for q in range(1, level[k] + 1) for p in range(lm_score.PROBES)}
+
+    def count(key):
+        q, block = 0, key % n_blocks
+        while all(place(key, (q + 1) * lm_score.PROBES + p, sizes[block]) in bits[block] for p in range(lm_score.PROBES)):
+            q += 1
+        return lm_score.VALUES[q]
+
+    for i in range(0, len(texts), 3):
+        want = 0.0
+        for w, h, p in zip(keys[i], [start, *keys[i]], pairs[i], strict=False):
+            k = lm_score.WEIGHT * count(h) / (count(h) + 5)
+            joint = min(count(p), count(h)) / count(h) if count(h) else 0.0
+            want += log10(k * joint + (1 - k) * (count(w) + 1) / (tokens + v + 1))
+        assert a[i].score == pytest.approx(want, rel=1e-9), i
+    assert a.keys() == b.keys()
+    for i in a:
+        assert b[i].score == pytest.approx(a[i].score, rel=1e-12)
+        assert tuple(a[i])[1:-1] == tuple(b[i])[1:-1]
+
+
+def test_lm_of_empty_tables(spark, make):
+    docs = make(["a"]).limit(0)
+    for mb in (256, 0):
+        assert lm_score.score_texts(docs, F.lit(True), max_filter_mb=mb).count() == 0
 
 
 def test_filter_counts_are_never_low():
