@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.sources.shared import cut
+from cuesheet.sources.shared import cut, discard
 
-__all__ = ["crc_mod", "cut", "fresh", "table", "text_batches"]
+__all__ = ["crc_mod", "cut", "discard", "fresh", "table", "text_batches"]
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:

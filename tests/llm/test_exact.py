@@ -164,6 +164,54 @@ def test_line_dedup(spark, make, corpus):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_suffix_array_is_sorted(spark):
+    """Ranks by prefix doubling, and the prefixes that neighbours share, against plain lists."""
+    r = random.Random(12)
+    docs = [[r.choice([1, 1, 1, 2, 3]) for _ in range(r.randint(1, 40))] for _ in range(30)] + [[1] * 50, [1] * 50, [2, 1] * 20]
+    lines = spark.createDataFrame([(d, 0, p, x) for d, xs in enumerate(docs) for p, x in enumerate(xs)], "rid long, seg long, pos long, rank long")
+    for longest in (1, 5, 64):
+        depth = 1
+        while depth < longest:
+            depth *= 2
+        levels = line_dedup.doubled(lines, longest)
+        assert 1 << (len(levels) - 1) == depth
+        prefix = lambda d, p: tuple(docs[d][p : p + depth])  # noqa: B023, E731
+        at = {(x.rid, x.pos): x.rank for x in levels[-1].collect()}
+        assert len(at) == sum(map(len, docs))
+        order = sorted(at, key=lambda k: (at[k], k))
+        for a, b in zip(order[:-1], order[1:], strict=True):
+            assert (prefix(*a) < prefix(*b)) if at[a] < at[b] else (prefix(*a) == prefix(*b))
+        firsts = levels[-1].groupBy("rank").agg(F.min(F.struct("rid", "pos")).alias("f")).select("rank", "f.rid", "f.pos")
+        array = line_dedup.suffix_array(firsts)
+        rows = sorted((x.place, x.rank, x.rid, x.pos) for x in array.collect())
+        assert [x[0] for x in rows] == list(range(len(set(at.values())))) and rows == sorted(rows, key=lambda x: x[1])
+        lcp = {x.place: x.lcp for x in line_dedup.neighbour_lcp(array, levels).collect()}
+        for a, b in zip(rows[:-1], rows[1:], strict=True):
+            u, v = prefix(*a[2:]), prefix(*b[2:])
+            same = next((k for k in range(min(len(u), len(v))) if u[k] != v[k]), min(len(u), len(v)))
+            assert lcp[b[0]] == same
+
+
+def test_lines_of_random_texts(spark, make):
+    """Few different lines, blank ones among them, in every order."""
+    r = random.Random(21)
+    pool = ["", "a", "b c d", "one two three four five", "one two three four five six seven eight nine ten", "x y"]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(60)]
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(make(texts), deleted_col="deleted").collect()}
+    want = lpf(list(enumerate(texts)), line_dedup.MIN_WORDS)
+    for i in range(len(texts)):
+        assert got[i].deleted == sorted(want[i])
+        assert got[i].text == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in want[i])
+
+
+def test_many_blank_lines_before_a_repeated_one(spark, make):
+    line = "one two three four five six seven eight nine ten"
+    texts = ["first\n" + "\n" * 16_000 + line, "second\n" + "\n" * 16_000 + line]
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(make(texts), deleted_col="deleted").collect()}
+    assert got[0].deleted == [] and got[0].text == texts[0]
+    assert got[1].deleted == list(range(1, 16_002)) and got[1].text == "second"
+
+
 def hashed(text):
     w = SPACE_WORD.findall(low(text))
     shingles = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
