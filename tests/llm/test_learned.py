@@ -4,6 +4,9 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
+from math import ceil, floor
 
 import numpy as np
 import pytest
@@ -140,25 +143,47 @@ def test_toxicity_without_labels(spark, make, tmp_path):
     assert [r.predicted for r in toxicity.op1_toxicity(spark, str(tmp_path)).collect()] == [0, 0]
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.137, "d": 0.063}, {"a": 1}, {str(k): 1 / (k + 1) for k in range(40)}, {"a": 1e9, "b": 1, "c": 1}])
-def test_schedule_stays_within_a_block(weights):
-    shares = mixing.shares_of(weights, 128)
-    q, had = sum(shares.values()), Counter()
-    assert min(shares.values()) >= 1 and q >= 128
-    for slot, (s, i) in enumerate(mixing.one_period(shares)):
-        assert i == had[s]
-        had[s] += 1
-        for x, p in shares.items():
-            assert abs(had[x] * q - (slot + 1) * p) < q
-    assert had == shares
+WEIGHTS = [{"a": 0.5, "b": 0.3, "c": 0.137, "d": 0.063}, {"a": 1}, {str(k): 1 / (k + 1) for k in range(40)}, {"a": 1e9, "b": 1, "c": 1}, {"a": 0.9999, "b": 0.0001}]
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_schedule_equals_a_direct_one(weights):
+    """Slot by slot, looking at all sources: release and deadline from the weights themselves."""
+    exact = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    had = dict.fromkeys(weights, 0)
+    for slot, got in zip(range(3000), mixing.earliest_deadlines(exact), strict=False):
+        due = [(ceil((had[s] + 1) / w), s) for s, w in exact.items() if floor(had[s] / w) <= slot]
+        assert got == (min(due)[1], had[min(due)[1]])
+        had[got[0]] += 1
+        assert all(abs(had[s] - w * (slot + 1)) < 1 for s, w in exact.items())
+
+
+@pytest.mark.parametrize("weights", [{"a": 730000**0.5, "b": 110000**0.5, "c": 9000**0.5, "d": 40**0.5}, {"a": 0.9999, "b": 0.0001}])
+def test_deviation_over_a_million_slots(weights):
+    names, n = sorted(weights), 1_000_000
+    total = sum(map(Fraction, weights.values()))
+    share = [Fraction(weights[s]) / total for s in names]
+    got = np.array([names.index(s) for s, _ in islice(mixing.earliest_deadlines(dict(zip(names, share, strict=True))), n)])
+    for k, w in enumerate(share):
+        had = np.cumsum(got == k).astype(np.longdouble)
+        target = np.arange(1, n + 1).astype(np.longdouble) * (np.longdouble(w.numerator) / np.longdouble(w.denominator))
+        assert np.abs(had - target).max() < 1
+
+
+def test_schedule_places_all_blocks():
+    blocks = {"a": 30, "b": 1, "c": 0, "d": 12, "e": 5}
+    got = list(mixing.schedule(blocks, {"a": 1, "b": 3, "d": 2}))
+    assert len(got) == sum(blocks.values()) and [s for s, _ in got[-5:]] == ["e"] * 5  # no weight: after the others
+    for s, n in blocks.items():
+        assert [i for x, i in got if x == s] == list(range(n))
+
+
+def test_mixing(spark, monkeypatch):
     r = random.Random(2)
     names = ["hot"] * 300 + ["mid"] * 80 + ["low"] * 30 + [None] * 5
     docs = spark.createDataFrame([(i, r.choice("xyz") * 9, "en", s, 9) for i, s in enumerate(names)] + [(0, "same", "en", "mid", 4)] * 3, DOC).withColumn("p", F.lit(1)).withColumn("phase", F.lit(2))
     weights = {"hot": 0.5, "mid": 0.3, "low": 0.2}
-    got = mixing.mix(docs, weights, block=2, period=20).orderBy("mix_order").collect()
+    got = mixing.mix(docs, weights, block=2).orderBy("mix_order").collect()
     assert len(got) == len(names) + 3 == len({x.mix_order for x in got})
     assert docs.columns + ["mix_slot", "mix_order"] == list(got[0].asDict())
     assert [x.source for x in got[-5:]] == [None] * 5  # no weight: after the others
@@ -171,12 +196,18 @@ def test_mixing(spark):
         had[next(iter(slots[slot]))] += 1
         for s, w in weights.items():
             assert abs(had[s] - w * (slot + 1)) < 1
-    again = mixing.mix(docs.repartition(7), weights, block=2, period=20).orderBy("mix_order").collect()
+    order = list(mixing.schedule({"hot": 150, "mid": 42, "low": 15, "": 3}, weights))
+    assert [order[x.mix_slot][0] for x in got] == [x.source or "" for x in got]
+    assert all(x.mix_order // 2 == x.mix_slot for x in got)
+    again = mixing.mix(docs.repartition(7), weights, block=2).orderBy("mix_order").collect()
     assert [x.doc_id for x in again] == [x.doc_id for x in got]
     assert mixing.mix(docs.limit(0), weights).count() == 0
     assert mixing.mix(docs).count() == len(got)
     with pytest.raises(ValueError):
         mixing.mix(docs, {"hot": -1.0})
+    monkeypatch.setattr(mixing, "SLOTS", 30)
+    few = mixing.mix(docs, weights, block=2).collect()
+    assert len({x.mix_order for x in few}) == len(got) and max(x.mix_slot for x in few) < 34
 
 
 def test_pipeline(spark, tmp_path, corpus):
