@@ -6,14 +6,18 @@ under two first-order character models, one of random strings and one of
 ordinary identifiers, is high. Both models are counted from labelled samples;
 the table they give has one entry for each pair of ASCII characters.
 
-Spans are (kind, start, end) in code points, the end exclusive. A markov span
+Spans are (start, kind, end) in code points, the end exclusive. A markov span
 never overlaps a base span. Null texts are empty; empty texts have no spans;
 each row is scanned alone, whatever its length, and repeated rows give equal
-spans. Columns of the input pass through.
+spans. Columns of the input pass through. Places are running sums of lengths,
+and overlaps are found by running maxima over the sorted spans, made in chunks
+of ``CHUNK`` elements, so the work on a text is near to linear in its spans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,32 +39,72 @@ MARGIN = 0.6
 #: Documents whose words are the sample of ordinary identifiers, at most.
 SAMPLE_DOCS = 2000
 RANDOM_STRINGS = 4000
-SPAN = "array<struct<kind:int,start:int,end:int>>"
+SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+CHUNK = 64
+FAR = 2**31 - 1
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], zero: int, depth: int = 3) -> Column:
+    """For each element of an array of ints, all up to it folded by the associative ``step``.
+
+    Appending to an array copies it, so the fold goes over chunks, over chunks of
+    their last elements, and so on, ``depth`` times.
+    """
+
+    def append(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array(step(F.element_at(acc, -1), x)))
+
+    def plain(xs: Column) -> Column:
+        """The zero, and the fold up to each element."""
+        return F.aggregate(xs, F.array(F.lit(zero)), append)
+
+    if depth == 1:
+        return F.slice(plain(values), 2, F.size(values))
+
+    def whole(xs: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
+        return once(F.transform(cuts, lambda k: plain(F.slice(xs, k * CHUNK + 1, F.lit(CHUNK)))), join)
+
+    def join(parts: Column) -> Column:
+        before = running(F.transform(parts, lambda p: F.element_at(p, -1)), step, zero, depth - 1)
+        shifted = F.concat(F.array(F.lit(zero)), before)
+        # there is one more in ``shifted`` than there are parts; its element is null in the parts
+        return F.flatten(F.filter(F.zip_with(parts, shifted, lambda p, b: F.transform(F.slice(p, 2, F.lit(CHUNK)), lambda x: step(b, x))), lambda p: p.isNotNull()))
+
+    return once(values, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: the one element of an array has a name in the function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _found(text: str, pattern: str, group: int, least: int, kind: int) -> Column:
     """Spans of a pattern's matches, left to right: the texts between matches and the matches give the places."""
     col = F.col(text)
     whole = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
-    counted = whole if group == 0 else F.regexp_extract_all(col, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.transform(F.split(col, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(counted, F.length).alias("counted"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    counted = F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(group)), F.length) if group else F.transform(whole, F.length)
+    gaps = F.transform(F.split(col, pattern, -1), F.length)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["counted"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(values: Column) -> Column:
+        # the text behind the last match has no match, hence no size
+        steps = F.filter(F.zip_with(gaps, values, lambda g, v: g + F.length(v)), lambda x: x.isNotNull())
+        ends = running(steps, lambda a, b: a + b, 0)
+        made = F.zip_with(ends, values, lambda e, v: F.struct((e - F.length(v)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), v.alias("value")))
+        return F.filter(F.zip_with(made, counted, lambda m, n: F.when(n >= least, m)), lambda m: m.isNotNull())
 
-    return F.when(col.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.when(col.rlike(pattern), once(whole, spans)).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
-    """(value, secret): generated random strings, and words of a bounded sample of documents.
-
-    The sample is the documents whose hash lies in a share of its range that
-    ``sample_docs`` rows can be expected to stay under; all of a small table.
-    Words with digits are left out of it, since those may be secrets.
+    """(value, secret): generated random strings, and ordinary strings from a bounded sample of texts.
+
+    The sample is at most ``sample_docs`` distinct texts, those with the lowest
+    hashes, out of a share of the hash range that about so many rows fall into;
+    all of a small table. Words with digits are left out of it, since those may
+    be secrets. Ordinary are its words, and identifiers made of words that
+    follow one another: joined by an underscore, in camel case, as paths, and
+    with version numbers.
     """
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.translate(F.base64(F.unhex(digest)), "=", "")
@@ -69,10 +113,21 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     rows = docs.count()
     share = 1.0 if rows <= sample_docs else (sample_docs - 4 * sample_docs**0.5) / rows
-    chosen = F.xxhash64(id_col, text_col) <= int(-(2**63) + share * (2**64 - 2**12))
-    few = docs.where(F.col(text_col).isNotNull() & chosen).select(F.col(text_col).alias("t")).limit(sample_docs)
-    words = few.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("value"))
-    return made.unionByName(words.where((F.length("value") >= 2) & ~F.col("value").rlike("[0-9]")).withColumn("secret", F.lit(False)))
+    h = F.xxhash64(text_col)
+    near = docs.where(F.col(text_col).isNotNull() & (h <= int(-(2**63) + share * (2**64 - 2**12)))).select(F.col(text_col).alias("t"), h.alias("h")).distinct()
+    few = near.orderBy("h", "t").limit(sample_docs)
+    words = few.select(F.filter(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.rlike("[0-9]")).alias("ws"))
+    second = lambda x, sep: F.concat(x["0"], F.lit(sep), x["1"])
+
+    def identifier(x: Column, i: Column) -> Column:
+        camel = F.concat(F.lower(x["0"]), F.upper(x["1"].substr(F.lit(1), F.lit(1))), F.lower(x["1"].substr(F.lit(2), F.length(x["1"]))))
+        version = F.concat(x["0"], F.lit("-"), (i % 9 + 1).cast("string"))
+        return F.when(i % 4 == 0, second(x, "_")).when(i % 4 == 1, camel).when(i % 4 == 2, second(x, "/")).otherwise(version)
+
+    rest = lambda ws: F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0)))
+    both = F.filter(F.arrays_zip(F.col("ws").alias("0"), rest(F.col("ws")).alias("1")), lambda x: x["1"].isNotNull())
+    values = words.select(F.explode(F.concat("ws", F.transform(both, identifier))).alias("value"))
+    return made.unionByName(values.withColumn("secret", F.lit(False)))
 
 
 def ratio_table(samples: DataFrame) -> np.ndarray:
@@ -97,11 +152,20 @@ def log_ratio(value: Column, ratios: np.ndarray) -> Column:
     """Sum of the pairs' log ratios over an ASCII string of two characters or more."""
     lookup = F.lit(ratios)
 
-    def step(acc: Column, i: Column) -> Column:
-        pair = 128 * F.ascii(F.substring(value, i, F.lit(1))) + F.ascii(F.substring(value, i + 1, F.lit(1)))
-        return acc + F.get(lookup, pair)
+    def total(codes: Column) -> Column:
+        pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.get(lookup, 128 * a + b))
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), step)
+    return once(F.transform(F.split(value, ""), F.ascii), total)
+
+
+def _free(spans: Column) -> Column:
+    """Of sorted spans those of the first three kinds, and others that overlap none of them."""
+    base = lambda s: s["kind"] < 3
+    ends = running(F.transform(spans, lambda s: F.when(base(s), s["end"]).otherwise(0)), F.greatest, 0)
+    starts = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(base(s), s["start"]).otherwise(FAR))), F.least, FAR))
+    around = F.arrays_zip(spans.alias("span"), ends.alias("before"), starts.alias("after"))
+    return F.transform(F.filter(around, lambda x: base(x["span"]) | ((x["before"] <= x["span"]["start"]) & (x["after"] >= x["span"]["end"]))), lambda x: x["span"])
 
 
 def scan(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", spans_col: str = "spans", margin: float = MARGIN) -> DataFrame:
@@ -109,18 +173,12 @@ def scan(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", spans_col:
     text, base, more = fresh([*docs.columns, spans_col], "scanned", "base", "more")
     found = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     found = found.withColumn(base, F.concat(*(_found(text, *PATTERNS[k], n) for n, k in enumerate(KINDS[:3]))))
-    found = found.withColumn(more, _found(text, CANDIDATE, 0, 16, 3))
-
-    def random(s: Column) -> Column:
-        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        value = F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])
-        return free & (log_ratio(value, ratios) >= margin * (s["end"] - s["start"] - 1))
-
-    def order(a: Column, b: Column) -> Column:
-        key = lambda s: F.struct(s["start"], s["kind"])
-        return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
-
-    return found.withColumn(spans_col, F.array_sort(F.concat(base, F.filter(more, random)), order)).drop(text, base, more)
+    found = found.withColumn(more, F.filter(_found(text, CANDIDATE, 0, 16, 3), lambda s: log_ratio(s["value"], ratios) >= margin * (s["end"] - s["start"] - 1)))
+    slim = lambda s: F.struct(s["start"], s["kind"], s["end"])
+    # by start, then kind
+    both = F.sort_array(F.transform(F.concat(base, more), slim))
+    spans = F.when(F.size(more) > 0, once(both, _free)).otherwise(both)
+    return found.withColumn(spans_col, spans).drop(text, base, more)
 
 
 def _digest(spans: Column) -> Column:

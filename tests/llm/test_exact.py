@@ -103,6 +103,47 @@ def test_secrets(spark, make, tmp_path, texts, corpus):
         assert all(got[i].n_markov == 0 for i, t in enumerate(texts) if t in corpus)
 
 
+def test_markov_spans_of_plain_python(spark, make, corpus):
+    """Long runs of key characters scored pair by pair, away from base spans; few and many in a text."""
+    r = random.Random(31)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-") for _ in range(n))
+    word = lambda: r.choice(corpus).split()[0]
+    parts = lambda: r.choice([key(r.randint(10, 40)), word() + "_" + word() + "/" + word() + "-" + word(), "0123456789abcdef" * r.randint(1, 2), "secret=" + key(14), "AKIA" + "Q7" * 8, "é", word()])
+    texts = ODD + ["token=" + key(20) + "/" + key(20), key(5000)] + [r.choice([" ", "\n", ". "]).join(parts() for _ in range(n)) for n in [1, 2, 5, 30, 63, 64, 65, 129, 300]]
+    docs = make(texts).withColumn("base", F.lit(1)).withColumn("more", F.lit(2))
+    ratios = secret_scan.ratio_table(secret_scan.labelled_samples(make(corpus)))
+    assert np.array_equal(ratios, secret_scan.ratio_table(secret_scan.labelled_samples(make(corpus * 2).repartition(3))))
+    got = {x.doc_id: x for x in secret_scan.scan(docs, ratios).collect()}
+    patterns = [re.compile(secret_scan.PATTERNS[k][0]) for k in secret_scan.KINDS[:3]]
+    n_random = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = []
+        for k, p in enumerate(patterns):
+            _, group, least = secret_scan.PATTERNS[secret_scan.KINDS[k]]
+            base += [(m.start(), k, m.end()) for m in p.finditer(t) if len(m[group]) >= least]
+        more = []
+        for m in re.finditer(secret_scan.CANDIDATE, t):
+            total = 0.0
+            for x, y in zip(m[0], m[0][1:], strict=False):
+                total += ratios[128 * ord(x) + ord(y)]
+            if total >= secret_scan.MARGIN * (len(m[0]) - 1) and not any(s < m.end() and m.start() < e for s, _, e in base):
+                more.append((m.start(), 3, m.end()))
+        n_random += len(more)
+        assert [tuple(s) for s in got[i].spans] == sorted(base + more), i
+        assert (got[i].base, got[i].more) == (1, 2)
+    assert n_random > 30
+
+
+def test_running(spark):
+    for n in (0, 1, 2, 63, 64, 65, 4096, 5000):
+        xs = [(7 * k) % 11 for k in range(n)]
+        df = spark.createDataFrame([(xs,)], "xs array<int>")
+        got = df.select(secret_scan.running(F.col("xs"), lambda a, b: a + b, 0).alias("s"), secret_scan.running(F.col("xs"), F.greatest, 0, 2).alias("m")).first()
+        assert got.s == np.cumsum(xs).tolist() if n else got.s == []
+        assert got.m == (np.maximum.accumulate(xs).tolist() if n else [])
+
+
 def test_licenses(spark, make):
     texts = [*ODD, "Some text. Released under the MIT license.\nMore", "released UNDER the  MIT-License", "Released under a license", "This work is licensed under the GNU General Public License, version 2.\n" * 2]
     docs = make(texts).withColumn("license", F.lit("x")).withColumn("pair", F.lit("y"))
