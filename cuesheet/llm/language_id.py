@@ -1,21 +1,21 @@
-"""Language identification with a bit-sliced Bloom filter of character trigrams.
+"""Language identification with a bit-sliced Bloom filter of character n-grams.
 
-Trigrams are counted by language over all training texts. A language contains
-a trigram if the trigram makes up at least ``MIN_SHARE`` of its trigrams, and
-at least ``RELATIVE`` of the share it has where it is most frequent; the rest
-is taken for quotations and noise. By the first bound a language contains at
-most ``1 / MIN_SHARE`` trigrams, which bounds the filter.
+A language contains an n-gram (of ``N`` characters) if any of its training
+texts does; which ones is found out over all of them. The filter has one slot
+for each hash value and one bit for each language in a slot; the AND of an
+n-gram's slots is the set of languages that contain it, so one lookup serves
+all languages. It has at least ``ROOM`` slots for each n-gram of the language
+that contains most, as far as ``MAX_BYTES`` go, which bounds what is broadcast;
+beyond that there are more false positives, for which scores are corrected.
 
-The filter has one slot for each hash value and one bit for each language in a
-slot; the AND of a trigram's slots is the set of languages that contain it, so
-one lookup serves all languages. A text's score for a language is the number
-of its trigrams in that language, less those expected by false positives; the
-largest wins, equal ones by the order of the names. ``score`` is that number's
-share of the text's trigrams, so it is low for what is in no learned language.
+A text's score for a language is the number of its n-grams in that language,
+less those expected by false positives; the largest wins, equal ones by the
+order of the names. ``score`` is that number's share of the text's n-grams, so
+it is low for what is in no learned language.
 
 Texts are lower-cased; what is no letter is a space. A null text, or one
 without a letter, is ``und`` with score 0; so is a text that has letters but no
-trigram of any language only where nothing was learned at all, else it gets the
+n-gram of any language only where nothing was learned at all, else it gets the
 first name with score 0. Rows are judged one by one, repeated ones alike.
 """
 
@@ -30,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import crc_mod, fresh, table, text_batches
+from cuesheet.llm.common import crc_mod, cut, discard, fresh, table, text_batches
 
 UNKNOWN = "und"
-SLOTS = 1 << 20
+N = 4
 HASHES = 3
-MIN_SHARE = 2.0**-16
-RELATIVE = 0.3
+ROOM = 32
+#: Bytes of a filter, at most.
+MAX_BYTES = 1 << 28
+#: Slots that one task fills together.
+BLOCK = 1 << 16
 #: Characters looked at together, whatever the length of a text.
 CHUNK = 1 << 20
 
@@ -49,28 +52,34 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def trigrams(text: str | None) -> Iterator[np.ndarray]:
-    """Exact codes (three times 21 bits) of a text's trigrams, in chunks; none if it has no letter.
+def grams(text: str | None) -> Iterator[np.ndarray]:
+    """64-bit hashes of a text's n-grams, in chunks; none if it has no letter.
 
-    Runs of anything but letters are one space, and a space stands at both ends.
+    Runs of anything but letters are one space, and a space stands at both ends;
+    a shorter text is filled up with spaces to one n-gram.
     """
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
     if not letter.any():
         return
-    codes = np.concatenate([[32], np.where(letter, codes, 32), [32]]).astype(np.int64)
+    codes = np.concatenate([[32], np.where(letter, codes, 32), [32]]).astype(np.uint64)
     codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
-    for lo in range(0, max(1, len(codes) - 2), CHUNK):
-        c = codes[lo : lo + CHUNK + 2]
-        yield c[:-2] << 42 | c[1:-1] << 21 | c[2:]
-
-
-def slots_of(codes: np.ndarray, k: int) -> np.ndarray:
-    """The slot of each trigram under hash function ``k``."""
-    x = codes.astype(np.uint64) + np.uint64((k + 1) * int(_MIX[2]) & 0xFFFFFFFFFFFFFFFF)
+    codes = np.concatenate([codes, np.full(max(0, N - len(codes)), 32, np.uint64)])
+    for lo in range(0, len(codes) - N + 1, CHUNK):
+        c = codes[lo : lo + CHUNK + N - 1]
+        h = np.zeros(len(c) - N + 1, np.uint64)
+        for k in range(N):
+            h = h * _MIX[2] + c[k : k + len(h)]
+            h ^= h >> np.uint64(29)
+        yield h
+
+
+def slots_of(codes: np.ndarray, k: int, slots: int) -> np.ndarray:
+    """The slot of each n-gram under hash function ``k``; ``slots`` is a power of two."""
+    x = codes.view(np.uint64) + np.uint64((k + 1) * int(_MIX[2]) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return ((x ^ (x >> np.uint64(31))) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(31))) & np.uint64(slots - 1)).astype(np.int64)
 
 
 class LanguageFilter:
@@ -81,15 +90,15 @@ class LanguageFilter:
         bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
         self.bits = bits
         filled = np.concatenate([np.bincount(masks[:, j], minlength=256) @ bits for j in range(masks.shape[1])])[: len(names)]
-        self.false = (filled / len(masks)) ** HASHES
+        self.false = np.minimum((filled / len(masks)) ** HASHES, 1 - 1e-9)
 
     def scores(self, text: str | None) -> np.ndarray | None:
-        """Corrected shares of the text's trigrams by language, or None for a text without letters."""
+        """Corrected shares of the text's n-grams by language, or None for a text without letters."""
         hits, n = np.zeros(len(self.names)), 0
-        for codes in trigrams(text):
-            found = self.masks[slots_of(codes, 0)]
+        for codes in grams(text):
+            found = self.masks[slots_of(codes, 0, len(self.masks))]
             for k in range(1, HASHES):
-                found &= self.masks[slots_of(codes, k)]
+                found &= self.masks[slots_of(codes, k, len(self.masks))]
             hits += np.concatenate([np.bincount(found[:, j], minlength=256) @ self.bits for j in range(found.shape[1])])[: len(self.names)]
             n += len(codes)
         return np.maximum(0, (hits / n - self.false) / (1 - self.false)) if n else None
@@ -102,48 +111,61 @@ class LanguageFilter:
         return self.names[best], float(min(1.0, found[best]))
 
 
-def trigram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, code, n) over all texts, counted in each task before the shuffle."""
+def contained(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, code): the n-grams of all texts of each language, made distinct in each batch before the shuffle."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).extend(trigrams(text))
+                by.setdefault(lang, []).extend(grams(text))
             for lang, parts in by.items():
-                codes, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
+                codes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64))], ["lang", "code"])
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    return slim.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return slim.mapInArrow(collect, "lang string, code long").distinct()
+
+
+def slots_for(most: int, languages: int) -> int:
+    """A power of two: ``ROOM`` slots for each of ``most`` n-grams, within ``MAX_BYTES``."""
+    wanted = max(1 << 16, 1 << (ROOM * max(1, most) - 1).bit_length())
+    allowed = MAX_BYTES // max(1, -(-languages // 8))
+    return min(wanted, 1 << (allowed.bit_length() - 1))
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
     """The filter of these texts and languages.
 
-    Rows by slot reach the driver, at most ``SLOTS`` for each byte of
-    languages; the number of languages is that of the labels.
+    Its blocks are filled by tasks; the driver gets the bytes, ``MAX_BYTES`` at
+    most, and a count for each language, as many as there are labels.
     """
-    counts = trigram_counts(docs, text_col, lang_col)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), "lang").select("lang", "code", (F.col("n") / F.col("total")).alias("share"))
-    by_code = shares.where(F.col("share") >= MIN_SHARE).groupBy("code").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("each"))
-    held = by_code.select("code", F.filter("each", lambda x: x["share"] >= RELATIVE * F.col("top"))["lang"].alias("langs"))
+    held = cut(contained(docs, text_col, lang_col), "contained")
+    sizes = {r.lang: r["count"] for r in held.groupBy("lang").count().collect()}
+    names = sorted(sizes)
+    slots, width = slots_for(max(sizes.values(), default=0), len(names)), max(1, -(-len(names) // 8))
+    number = {name: k for k, name in enumerate(names)}
+    block = min(BLOCK, slots)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = np.asarray(b.column(0))
-            at = np.concatenate([slots_of(codes, k) for k in range(HASHES)])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.concat_arrays([b.column(1)] * HASHES)], ["slot", "lang"])
-
-    flat = held.select("code", F.explode("langs").alias("lang"))
-    slots = flat.mapInArrow(spread, "slot long, lang string").groupBy("lang").agg(F.collect_set("slot").alias("slots"))
-    got = slots.orderBy("lang").toArrow()  # a language has at most HASHES / MIN_SHARE slots
-    names = got["lang"].to_pylist()
-    masks = np.zeros((SLOTS, max(1, -(-len(names) // 8))), np.uint8)
-    for k, at in enumerate(got["slots"]):
-        masks[np.asarray(at.values), k // 8] |= np.uint8(1 << k % 8)
+            codes = np.asarray(b.column(1))
+            lang = np.array([number[x] for x in b.column(0).to_pylist()], np.int32)
+            at = np.concatenate([slots_of(codes, k, slots) for k in range(HASHES)])
+            yield pa.RecordBatch.from_arrays([pa.array((at // block).astype(np.int32)), pa.array((at % block).astype(np.int32)), pa.array(np.tile(lang, HASHES))], ["block", "at", "lang"])
+
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        masks = np.zeros((block, width), np.uint8)
+        at, lang = np.asarray(rows["at"]), np.asarray(rows["lang"])
+        np.bitwise_or.at(masks, (at, lang // 8), (1 << (lang % 8)).astype(np.uint8))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "masks": pa.array([masks.tobytes()], pa.binary())})
+
+    filled = held.mapInArrow(spread, "block int, at int, lang int").distinct().groupBy("block").applyInArrow(fill, "block int, masks binary").toArrow()
+    masks = np.zeros((slots, width), np.uint8)
+    for k, part in zip(filled["block"].to_pylist(), filled["masks"].to_pylist(), strict=True):
+        masks[k * block : (k + 1) * block] = np.frombuffer(part, np.uint8).reshape(block, width)
+    discard(held)
     return LanguageFilter(names, masks)
 
 

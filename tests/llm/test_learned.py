@@ -54,30 +54,46 @@ def test_language(spark, tmp_path):
     assert language_id.keep_identified(docs.limit(0)).count() == 0
 
 
-def test_filter_is_exact_but_for_false_positives(spark):
+def test_filter_holds_what_languages_contain(spark, tmp_path):
+    """Slots and predictions against plain sets; nothing that a language contains is missing."""
     rows, docs = docs_in_languages(spark)
     model = language_id.learn(docs)
-    by = {}
+    slots, by = len(model.masks), {}
     for _, text, lang, *_ in rows:
-        if lang:
-            for part in language_id.trigrams(text):
-                by.setdefault(lang, Counter()).update(part.tolist())
-    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in by.items()}
-    for g in {g for c in by.values() for g in c}:
-        top = max(s.get(g, 0) for s in share.values())
-        code = np.array([g])
-        mask = np.bitwise_and.reduce([model.masks[language_id.slots_of(code, k)][0, 0] for k in range(language_id.HASHES)])
-        for k, lang in enumerate(model.names):
-            s = share[lang].get(g, 0)
-            if s >= language_id.MIN_SHARE and s >= language_id.RELATIVE * top:
-                assert mask >> k & 1
-
-
-def test_trigrams_do_not_depend_on_chunks(monkeypatch):
+        if lang and text is not None:
+            by.setdefault(lang, set()).update(g for part in language_id.grams(text) for g in part.tolist())
+    assert model.names == sorted(by)
+    places = lambda g: [int(language_id.slots_of(np.array([g], np.uint64), k, slots)[0]) for k in range(language_id.HASHES)]
+    filled = [{p for g in by[lang] for p in places(g)} for lang in model.names]
+    for k, have in enumerate(filled):
+        assert np.nonzero(model.masks[:, 0] >> k & 1)[0].tolist() == sorted(have)
+    for _, text, *_ in rows[::3] + rows[-9:]:
+        shares = []
+        for have in filled:
+            all_ = [g for part in language_id.grams(text) for g in part.tolist()]
+            false = (len(have) / slots) ** language_id.HASHES
+            hits = sum(all(p in have for p in places(g)) for g in all_)
+            shares.append(max(0.0, (hits / len(all_) - false) / (1 - false)) if all_ else None)
+        name, score = model.predict(text)
+        if shares[0] is None:
+            assert (name, score) == ("und", 0.0)
+        else:
+            assert name == model.names[shares.index(max(shares))] and score == pytest.approx(max(shares))
+
+
+def test_filter_size_is_bounded():
+    assert language_id.slots_for(0, 1) == 1 << 16
+    assert language_id.slots_for(100_000, 4) == 1 << 22
+    assert language_id.slots_for(10**12, 8) == language_id.MAX_BYTES
+    assert language_id.slots_for(10**12, 200) * 25 <= language_id.MAX_BYTES
+
+
+def test_grams_do_not_depend_on_chunks(monkeypatch):
     text = "Ab, cd  éf\U0001f600gh" * 50
-    whole = np.concatenate(list(language_id.trigrams(text)))
+    whole = np.concatenate(list(language_id.grams(text)))
     monkeypatch.setattr(language_id, "CHUNK", 7)
-    assert np.array_equal(np.concatenate(list(language_id.trigrams(text))), whole)
+    assert np.array_equal(np.concatenate(list(language_id.grams(text))), whole)
+    assert [len(np.concatenate(list(language_id.grams(t)))) for t in ("a", "ab", "abc")] == [1, 1, 2]
 
 
 def toxic_rows():
