@@ -6,7 +6,7 @@ fingerprint is an array of (frame, code) pairs: the strongest peaks of a
 short-time Fourier transform, each paired with the next few peaks, with
 ``code`` holding both frequencies and the frame distance.
 
-Nulls count as empty payloads, equal payloads give equal files and
+Null payloads are stored as empty ones, and null files are read as such; equal payloads give equal files and
 fingerprints, silence has no peaks, and rows are never merged or dropped.
 Other columns pass through; added columns are named by the caller. Each row is
 worked on alone, so memory is bounded by one Arrow batch.
@@ -111,7 +111,7 @@ def read_wav(df: DataFrame, wav_col: str = "wav", samples_col: str = "samples",
         for part in values:
             samples, ends, frames, codes = [], [0], [], []
             for v in part.to_pylist():
-                samples.append(from_wav(v))
+                samples.append(b"" if v is None else from_wav(v))
                 at, code = pair_up(*peaks_of(samples[-1]))
                 frames.append(at)
                 codes.append(code)

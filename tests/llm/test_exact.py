@@ -45,6 +45,35 @@ def test_media(spark, make, tmp_path, corpus):
     assert got[5].feature == got[6].feature and got[7].feature != got[8].feature
 
 
+def plain_feature(payload):
+    """The peaks of each frame's spectrum, one bin at a time, and each with the next three in reach."""
+    peaks = []
+    for k, lo in enumerate(range(0, len(payload) - media.FRAME + 1, media.HOP)):
+        x = np.array([b - 128.0 for b in payload[lo : lo + media.FRAME]], np.float32)
+        power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(media.FRAME).astype(np.float32)))
+        tops = [(-float(np.round(power[j], 2)), j) for j in range(1, len(power) - 1) if power[j] > power[j - 1] and power[j] >= power[j + 1]]
+        peaks += [(k, j) for j in sorted(j for h, j in sorted(tops)[: media.PEAKS] if h < 0)]
+    pairs = []
+    for i, (f, b) in enumerate(peaks):
+        pairs += [(f, b << 15 | c << 5 | g - f) for g, c in peaks[i + 1 : i + 1 + media.FAN_OUT] if g - f <= media.SPAN]
+    return " ".join(f"{f}:{c:X}" for f, c in sorted(pairs))
+
+
+def test_features_and_odd_files(spark, make, tmp_path, corpus):
+    texts = [*corpus[:12], "ab" * 700, "", None, "x" * 5000]
+    save(make(texts), tmp_path, "documents")
+    for r in media.op4_media(spark, str(tmp_path)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.feature == plain_feature(raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw)))
+    save(make(texts).limit(0), tmp_path / "none", "documents")
+    assert media.op4_media(spark, str(tmp_path / "none")).count() == 0
+    files = spark.createDataFrame([(1, None, 5), (2, bytearray(media.to_wav(b"abc")), 6)], "id long, wav binary, _read int")
+    got = {r.id: r for r in media.read_wav(files).collect()}
+    assert (bytes(got[1].samples), got[1].pairs, bytes(got[2].samples), got[2]._read) == (b"", [], b"abc", 6)
+    stored = media.store_wav(files, F.lit(None).cast("binary")).first()
+    assert bytes(stored.wav) == media.to_wav(b"")
+
+
 def test_fingerprints_follow_a_tone():
     t = np.arange(5760)
     tone = (128 + 100 * np.sin(2 * np.pi * 40 * t / media.FRAME)).astype(np.uint8).tobytes()
