@@ -1,23 +1,27 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
 Each word enters as its own vector, if the training sample has it often enough,
-beside the mean of vectors of its character trigrams. A window of ``WINDOW``
-words runs through a GRU in both directions; attention weighs its states into
-one, from which comes the window's logit. Every text is covered by overlapping
-windows, all of them scored; the text's logit is the largest, and a logistic
-fit on the training sample turns it into a probability. Training is plain
-numpy; windows of toxic texts that show nothing are learned from by taking each
-text's most suspicious windows (multiple-instance learning).
-
-The sample is at most ``SAMPLE`` labelled texts of either label, those whose
-ids have the lowest hash, at most ``SAMPLE_CHARS`` characters of each; scoring
-covers all rows and whole texts. The model is a few hundred kB, whatever the
-input, and is broadcast.
+beside the mean of the vectors of all its character trigrams. A word of more
+than ``PIECE`` bytes (a run without spaces) enters as overlapping pieces, so
+that all of it is seen. A window of ``WINDOW`` words runs through a GRU in both
+directions; attention weighs its states into one, from which comes the window's
+logit. Every text is covered by overlapping windows, all of them scored; the
+text's logit is the largest, and a logistic fit on the training sample turns it
+into a probability. Training is plain numpy. In each round it draws ``DRAWN``
+windows from all over each text of the sample, and windows of toxic texts that
+show nothing are learned from by taking each text's most suspicious ones
+(multiple-instance learning).
+
+The sample is whole texts: at most ``SAMPLE`` of either label, those whose ids
+have the lowest hash, of ``SAMPLE_BYTES`` together; one that would not fit is
+left out. Scoring covers all rows and whole texts. The model is a few hundred
+kB, whatever the input, and is broadcast.
 
 Null and empty texts, and texts without words, have no windows and get the
 rate of toxic texts among the labels, which is also everyone's score where
 either label has no sample. Rows without a label are scored like others;
-several labels of a text count as several samples; null labels are ignored.
+several labels of a text count as several samples, equal rows as one; null
+labels are ignored.
 """
 
 from __future__ import annotations
@@ -41,20 +45,46 @@ HIDDEN = 8
 WORD_DIM = 12
 CHAR_DIM = 12
 CHAR_BUCKETS = 4096
-TRIGRAMS = 12
+PIECE = 32
+OVERLAP = 8
 VOCABULARY = 4000
 SAMPLE = 1000
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 32 << 20
+#: Windows of a text that each round of training draws.
+DRAWN = 6
 THRESHOLD = 0.3
 MEMO = 150_000
 #: Windows that run through the network together.
 BATCH = 1024
 
 
+def inputs_of(text: bytes | None) -> list[bytes]:
+    """The words of a text, and overlapping pieces instead of the long ones."""
+    out = []
+    for w in words_of(text):
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            out += [w[i : i + PIECE] for i in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+    return out
+
+
 def trigram_ids(word: bytes) -> list[int]:
-    """Buckets of a word's first ``TRIGRAMS`` character trigrams, with marks at its ends."""
+    """Buckets of a word's character trigrams, with marks at its ends."""
     w = b"<" + word + b">"
-    return [crc32(w[i : i + 3]) % CHAR_BUCKETS for i in range(min(TRIGRAMS, max(1, len(w) - 2)))]
+    return [crc32(w[i : i + 3]) % CHAR_BUCKETS for i in range(max(1, len(w) - 2))]
+
+
+#: Of words: their numbers, and the buckets of their trigrams behind one another with how many each word has.
+Inputs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def chosen(words: Inputs, which: np.ndarray) -> Inputs:
+    """The inputs of some of the words."""
+    number, buckets, sizes = words
+    starts, n = np.cumsum(sizes) - sizes, sizes[which]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[which], n)
+    return number[which], buckets[at], n
 
 
 def windows_of(n: int) -> list[int]:
@@ -89,19 +119,18 @@ class Network:
         self.calibration = (1.0, 0.0, 0.0)
         self.rate = 0.0
 
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word: its number, its trigrams' buckets, and their weights."""
+    def inputs(self, words: list[bytes]) -> Inputs:
         number = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
-        buckets, weight = np.zeros((len(words), TRIGRAMS), np.int64), np.zeros((len(words), TRIGRAMS), np.float32)
-        for i, w in enumerate(words):
-            ids = trigram_ids(w)
-            buckets[i, : len(ids)] = ids
-            weight[i, : len(ids)] = 1 / len(ids)
-        return number, buckets, weight
-
-    def gates(self, number: np.ndarray, buckets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = [trigram_ids(w) for w in words]
+        return number, np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def gates(self, words: Inputs) -> tuple[np.ndarray, np.ndarray]:
         """What each word adds to the gates of both directions, and its input vector."""
-        x = np.concatenate([self.p["word"][number], np.einsum("ntd,nt->nd", self.p["char"][buckets], weight)], 1)
+        number, buckets, sizes = words
+        means = np.zeros((len(sizes), CHAR_DIM), self.p["char"].dtype)
+        if len(sizes):
+            means = np.add.reduceat(self.p["char"][buckets], np.cumsum(sizes) - sizes) / sizes[:, None].astype(means.dtype)
+        x = np.concatenate([self.p["word"][number], means], 1)
         return x @ self.p["w"] + self.p["b"], x
 
     def forward(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray | None, keep: list | None = None) -> np.ndarray:
@@ -136,10 +165,10 @@ class Network:
             keep.append((states, e, alpha, pooled))
         return pooled @ self.p["o"] + self.p["c"]
 
-    def gradients(self, words: tuple, ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+    def gradients(self, words: Inputs, ids: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Gradients of the mean cross entropy of labels ``y``, and its value."""
         h, p, keep = HIDDEN, self.p, []
-        gates, x = self.gates(*words)
+        gates, x = self.gates(words)
         logit = self.forward(gates, ids, mask, keep)
         n, t = ids.shape
         prob = _sigmoid(logit)
@@ -174,10 +203,10 @@ class Network:
         d_gates = d_gates.reshape(len(gates), 6 * h)
         g["b"], g["w"] = d_gates.sum(0), x.T @ d_gates
         d_x = d_gates @ p["w"].T
-        number, buckets, weight = words
+        number, buckets, sizes = words
         g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
         np.add.at(g["word"], number, d_x[:, :WORD_DIM])
-        np.add.at(g["char"], buckets, weight[..., None] * d_x[:, None, WORD_DIM:])
+        np.add.at(g["char"], buckets, np.repeat(d_x[:, WORD_DIM:] / sizes[:, None], sizes, axis=0))
         loss = -np.mean(np.log(np.where(y > 0, prob, 1 - prob) + 1e-9))
         return g, float(loss)
 
@@ -202,7 +231,7 @@ class Scorer:
         if None in flat:
             new = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in known]
             known.update(zip(new, range(len(known) + 1, len(known) + 1 + len(new)), strict=True))
-            self.gates = np.concatenate([self.gates, self.network.gates(*self.network.inputs(new))[0]])
+            self.gates = np.concatenate([self.gates, self.network.gates(self.network.inputs(new))[0]])
             flat = map(known.__getitem__, chain.from_iterable(texts))
         return np.fromiter(flat, np.int64, sum(map(len, texts)))
 
@@ -219,9 +248,9 @@ class Scorer:
             starts += s
         own, starts = np.array(own, np.int64), np.array(starts, np.int64)
         for short in (False, True):
-            chosen = np.nonzero((sizes[own] < WINDOW) == short)[0]
-            for lo in range(0, len(chosen), BATCH):
-                part = chosen[lo : lo + BATCH]
+            these = np.nonzero((sizes[own] < WINDOW) == short)[0]
+            for lo in range(0, len(these), BATCH):
+                part = these[lo : lo + BATCH]
                 ids = flat[(offsets[own[part]] + starts[part])[:, None] + np.arange(WINDOW)]
                 mask = None
                 if short:
@@ -242,7 +271,7 @@ def calibrated(network: Network, logits: np.ndarray, sizes: np.ndarray) -> np.nd
 
 def train(texts: list[bytes], y: np.ndarray, rate: float, epochs: int = 8, seed: int = 11) -> Network:
     """Fit a network to whole texts with labels 0 and 1; ``rate`` is the share of label 1 that scores are for."""
-    words = [words_of(t) for t in texts]
+    words = [inputs_of(t) for t in texts]
     seen = Counter(chain.from_iterable(map(set, words)))
     common = sorted((w for w, n in seen.items() if n >= 5), key=lambda w: (-seen[w], w))[:VOCABULARY]
     network = Network({w: i + 1 for i, w in enumerate(common)})
@@ -270,25 +299,24 @@ def train(texts: list[bytes], y: np.ndarray, rate: float, epochs: int = 8, seed:
         own, starts = [], []
         for i in used:
             all_ = windows_of(len(flat[i]))
-            few = r.permutation(all_)[:6].tolist()
+            few = r.permutation(all_)[:DRAWN].tolist()
             own += [i] * len(few)
             starts += few
         ids, mask = picked(own, starts)
         own_ = np.array(own)
         if epoch < 2:
-            chosen = r.permutation(len(own_))[: 3 * len(used)]
+            picks = r.permutation(len(own_))[: 3 * len(used)]
         else:  # each text's two most suspicious windows, of those drawn
-            gates, _ = network.gates(*whole)
+            gates, _ = network.gates(whole)
             logit = np.concatenate([network.forward(gates, ids[lo : lo + BATCH], mask[lo : lo + BATCH]) for lo in range(0, len(ids), BATCH)])
             order = np.lexsort((-logit, own_))
             first = np.concatenate([[True], own_[order][1:] != own_[order][:-1]])
             nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            chosen = r.permutation(order[nth < 2])
-        for lo in range(0, len(chosen), 256):
-            part = chosen[lo : lo + 256]
+            picks = r.permutation(order[nth < 2])
+        for lo in range(0, len(picks), 256):
+            part = picks[lo : lo + 256]
             distinct, local = np.unique(ids[part], return_inverse=True)
-            some = tuple(x[distinct] for x in whole)
-            g, _ = network.gradients(some, local.reshape(ids[part].shape), mask[part], y[own_[part]].astype(np.float32))
+            g, _ = network.gradients(chosen(whole, distinct), local.reshape(ids[part].shape), mask[part], y[own_[part]].astype(np.float32))
             step += 1
             for k, x in network.p.items():
                 m, v = moments[k]
@@ -314,15 +342,29 @@ def _calibrate(network: Network, logits: np.ndarray, sizes: np.ndarray, y: np.nd
     network.calibration = tuple(w.tolist())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> tuple[list[bytes], np.ndarray, float]:
-    """(texts, labels, share of label 1): at most ``most`` texts of either label reach the driver."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray, float]:
+    """(texts, labels, share of label 1): ``most`` whole texts of either label, and ``most_bytes`` of them, reach the driver at most."""
     clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     n, ones = clean.agg(F.count("*"), F.sum("y")).first()
-    few = [clean.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
-    chosen = F.broadcast(few[0].union(few[1]))  # 2 * most rows of two numbers
-    text = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).cast("binary").alias("text")
-    got = docs.select(F.col(id_col).alias("id"), text).join(chosen, "id").select("id", "y", "text").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    return got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.int64), (ones or 0) / n if n else 0.0
+    h = F.xxhash64("id")
+    few = [clean.where(F.col("y") == k).distinct().orderBy(h, "id").limit(most) for k in (0, 1)]
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+    rows = docs.select(F.col(id_col).alias("id"), text).join(F.broadcast(few[0].union(few[1])), "id")  # 2 * most rows of two numbers
+    # rows of numbers first, since one id may have many texts
+    sized = rows.select("id", "y", h.alias("h"), F.xxhash64("text").alias("t"), F.length("text").alias("size")).distinct()
+    kept = []
+    for k in (0, 1):
+        left = most_bytes
+        for r in sized.where(F.col("y") == k).orderBy("h", "id", "t").limit(most).collect():
+            if r["size"] <= left:
+                left -= r["size"]
+                kept.append((r.id, r.y, r.t))
+    if not kept:
+        return [], np.zeros(0, np.int64), (ones or 0) / n if n else 0.0
+    wanted = docs.sparkSession.createDataFrame(kept, sized.select("id", "y", "t").schema)
+    got = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "y", "t"]).select("id", "y", "text").distinct().toArrow()
+    got = got.sort_by([("id", "ascending"), ("y", "ascending"), ("text", "ascending")])
+    return got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.int64), (ones or 0) / n
 
 
 def score(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -336,7 +378,7 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", score_col:
         for part in parts:
             out = [np.zeros(0)]
             for lo in range(0, len(part), 100):
-                out.append(scorer.scores([words_of(t) for t in part[lo : lo + 100].to_pylist()]))
+                out.append(scorer.scores([inputs_of(t) for t in part[lo : lo + 100].to_pylist()]))
             yield pa.array(np.concatenate(out), pa.float64())
 
     return docs.withColumn(score_col, compute(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))

@@ -129,7 +129,7 @@ def test_toxicity(spark, tmp_path):
 def test_gradients_equal_differences():
     net = toxicity.Network({b"a": 1, b"b": 2})
     net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
-    words = tuple(net.inputs([b"a", b"b", b"zz"]))
+    words = net.inputs([b"a", b"b", b"zz" * 9])
     r = np.random.default_rng(0)
     ids = r.integers(0, 3, (3, 6))
     mask = (np.arange(6) < np.array([[6], [4], [1]])).astype(float)
@@ -147,6 +147,67 @@ def test_gradients_equal_differences():
             assert (up - down) / 2e-3 == pytest.approx(g[name].reshape(-1)[k], rel=0.05, abs=2e-4)
 
 
+def plain_score(net, text):
+    """Word by word, window by window."""
+    words = toxicity.inputs_of(text)
+    if not words:
+        return net.rate
+    h, p = toxicity.HIDDEN, {k: x.astype(float) for k, x in net.p.items()}
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    best = -np.inf
+    starts = {*range(0, max(1, len(words) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(words) - toxicity.WINDOW)}
+    for s in starts:
+        xs = [np.concatenate([p["word"][net.vocabulary.get(w, 0)], np.mean([p["char"][zlib.crc32((b"<" + w + b">")[i : i + 3]) % toxicity.CHAR_BUCKETS] for i in range(len(w))], 0)]) for w in words[s : s + toxicity.WINDOW]]
+        states = [[None] * len(xs), [None] * len(xs)]
+        for way in (0, 1):
+            state = np.zeros(h)
+            for k in range(len(xs)) if way == 0 else reversed(range(len(xs))):
+                g = (xs[k] @ p["w"] + p["b"])[3 * h * way : 3 * h * (way + 1)]
+                u = state @ p["u"][way]
+                r, z = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+                state = (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :]) + z * state
+                states[way][k] = state
+        both = [np.concatenate([a, b]) for a, b in zip(*states, strict=True)]
+        weight = np.exp([np.tanh(b @ p["a"]) @ p["v"] for b in both])
+        best = max(best, sum(w * b for w, b in zip(weight / weight.sum(), both, strict=True)) @ p["o"] + p["c"][0])
+    slope, by_size, bias = net.calibration
+    return sig(slope * best + by_size * np.log1p(len(words)) + bias)
+
+
+def test_scores_equal_a_loop():
+    rows, labels = toxic_rows()
+    y = np.array([bad for *_, bad in labels[:200]])
+    net = toxicity.train([t.encode() for _, t, *_ in rows[:200]], y, 0.2, epochs=3)
+    texts = [rows[k][1].encode() for k in range(200, 212)] + [b"", b"x", " ".join(["é" * 40, "word"] * 60).encode(), rows[0][1].encode() * 9]
+    got = toxicity.Scorer(net).scores([toxicity.inputs_of(t) for t in texts])
+    assert got == pytest.approx([plain_score(net, t) for t in texts], rel=2e-3, abs=1e-5)
+
+
+def test_all_of_a_long_word_is_seen():
+    r = random.Random(1)
+    word = bytes(r.choice(b"abcdefgh") for _ in range(10_000))
+    pieces = toxicity.inputs_of(b"a " + word + b" b")
+    assert pieces[0] == b"a" and pieces[-1] == b"b" and max(map(len, pieces)) == toxicity.PIECE
+    joined = pieces[1] + b"".join(w[toxicity.OVERLAP :] for w in pieces[2:-1])
+    assert joined == word
+    net = toxicity.Network({})
+    changed = toxicity.inputs_of(b"a " + word[:-9] + b"zzzzzzzzz b")
+    assert len(changed) == len(pieces) and toxicity.windows_of(len(pieces))[-1] == len(pieces) - toxicity.WINDOW
+    last = toxicity.Scorer(net).logits([pieces[-toxicity.WINDOW :], changed[-toxicity.WINDOW :]])
+    assert last[0] != last[1]
+    assert len(toxicity.trigram_ids(b"x" * 30)) == 30
+
+
+def test_sample_is_bounded_by_rows(spark, make):
+    docs = make([(k % 7, f"text {k % 40} " * (k % 5 + 1)) for k in range(400)] + [(100, "w " * 5000)])
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(7)] * 2 + [(100, 0, 1)], "doc_id long, quality int, toxic int")
+    texts, y, rate = toxicity.labelled_sample(docs, labels, most=9, most_bytes=4000)
+    assert len(texts) == len(y) and max(Counter(y.tolist()).values()) <= 9 and rate == pytest.approx(7 / 15)
+    assert sum(len(t) for t, k in zip(texts, y, strict=True) if k) <= 4000 and not any(len(t) > 4000 for t in texts)
+    none = toxicity.labelled_sample(docs.limit(0), labels)
+    assert none[0] == []
+
+
 def test_windows_cover_texts():
     for n in (0, 1, 47, 48, 49, 80, 81, 1000):
         covered = {k for s in toxicity.windows_of(n) for k in range(s, min(n, s + toxicity.WINDOW))}
