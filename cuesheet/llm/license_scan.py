@@ -1,22 +1,29 @@
-"""License scans: sentences compared to license templates by Dice over word pairs.
-
-A text is cut into sentences (at line ends, and at ``.``, ``!`` or ``?`` with
-white space behind it). Sentences and templates are normalised alike: A-Z
-lower-cased, everything but a-z and 0-9 a separator. They are compared by the
-Dice coefficient of their sets of word pairs. A template can only reach the
-threshold for sentences whose number of pairs lies within
-``t / (2 - t)`` and ``(2 - t) / t`` times its own. Within these bounds it must
-share so many pairs with the template that it has at least one of any few of
-them: a text without one of those necessary pairs of some template is passed
-over before it is cut up. The sentences of the rest meet the templates in an
-equi-join on the word pair, where the size bounds are applied.
-
-Templates of ``FEW`` pairs or less in all are broadcast, and their necessary
-pairs looked for in every text; more are joined by a shuffle alone.
-
-Null and empty texts, and sentences of one word, have no pairs and no match;
-equally good templates of a sentence are ranked by name; repeated rows are
-scanned one by one.
+"""License scans: windows of a text compared to license templates by Dice over word pairs.
+
+Texts and templates are normalised alike: A-Z lower-cased, everything but a-z
+and 0-9 a separator, so that line wraps, comment marks and punctuation vanish.
+A template of ``n`` words is compared with windows of ``n`` words that start at
+every ``n / STEPS`` words of a text (at every word for short ones; at the end of
+a text windows are shorter), by the Dice coefficient of the bags of their word
+pairs: twice the pairs in common, over the pairs of both.
+
+Of all places of template pairs in all texts, pairs are counted. A template of
+``m`` pairs can only reach the threshold ``t`` in windows that have
+``t / (2 - t)`` of them, and so must have one of its rarest, of which there are
+just too few for that to be avoided: a text without one of those is no
+candidate for the template, and windows below the size bound are none either.
+Candidates get all their pairs by equi-joins.
+
+Each place of a text belongs to the best window over it: of windows that reach
+the threshold those are reported that are the best one at their middle, by
+Dice, then by size, name, template and place. Places are stretches of
+``PLACE`` words.
+
+Tables of template pairs are broadcast up to ``MOST_PAIRS`` of them (the
+templates are a parameter); beyond that they are joined as Spark plans it.
+
+Null and empty texts, and texts of one word, have no pairs and no match;
+repeated rows are scanned one by one. Pairs are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,102 +31,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import table
+from cuesheet.llm.common import cut, table
+from cuesheet.llm.licenses import TEMPLATES
 
 THRESHOLD = 0.8
-#: Word pairs of all templates together up to which they are broadcast.
-FEW = 1000
-#: Usual one-sentence license notices, by identifier.
-TEMPLATES = [
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "You may not use this file except in compliance with the License."),
-    ("BSD-2-Clause", "Use of this source code is governed by a BSD 2-Clause license."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
-
-
-def _pairs(sentence: Column) -> Column:
-    """The distinct pairs of neighbouring words of a normalised sentence."""
-    words = F.filter(F.split(sentence, "[^a-z0-9]+"), lambda w: w != "")
-    both = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(both)
-
-
-def _lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def template_pairs(spark: SparkSession, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(license, template, t_size, low, high, pair): a row for each word pair of each template."""
-    rows = [(name, n, text) for n, (name, text) in enumerate(templates or TEMPLATES)]
-    sized = spark.createDataFrame(rows, "license string, template int, text string").withColumn("pairs", _pairs(_lower(F.col("text")))).withColumn("t_size", F.size("pairs"))
-    ratio = threshold / (2 - threshold)
-    return sized.select("license", "template", "t_size", (F.col("t_size") * ratio - 1e-9).alias("low"), (F.col("t_size") / ratio + 1e-9).alias("high"), F.explode("pairs").alias("pair"))
-
-
-def necessary_pairs(templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(pair): of each template so many pairs, long ones first, that a matching sentence has at least one of them."""
-    ratio = threshold / (2 - threshold)
-    least = F.ceil(F.col("t_size") * ratio - 1e-9)  # pairs of the smallest sentence that may match
-    shared = F.ceil((least + F.col("t_size")) * (threshold / 2) - 1e-9)
-    nth = F.row_number().over(Window.partitionBy("template").orderBy(F.desc(F.length("pair")), "pair"))
-    return templates.withColumn("_nth", nth).where(F.col("_nth") <= F.col("t_size") - shared + 1).select("pair").distinct()
+STEPS = 16
+PLACE = 8
+MOST_PAIRS = 1 << 20
+
+
+def _words(text: Column) -> Column:
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _pairs(words: Column) -> Column:
+    """A hash of each two neighbouring words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
+
+
+def builtin_templates(spark: SparkSession, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license, template, text) of (license, text) pairs."""
+    return spark.createDataFrame([(name, n, text) for n, (name, text) in enumerate(TEMPLATES if templates is None else templates)], "license string, template long, text string")
+
+
+def template_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(license, template, text) of a folder's files, each named by its license."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]+)?$", 1).alias("license"), F.col("value").alias("text"))
+    return files.withColumn("template", F.xxhash64("license", "text"))
+
+
+def template_pairs(templates: DataFrame) -> DataFrame:
+    """(license, template, n, step, pair, c): the pairs of each template of ``n`` words, with how often it has them."""
+    split = templates.select("license", "template", _words(F.col("text")).alias("ws")).withColumn("n", F.size("ws").cast("long"))
+    flat = split.select("license", "template", "n", F.explode(_pairs(F.col("ws"))).alias("pair"))
+    counted = flat.groupBy("license", "template", "n", "pair").agg(F.count("*").alias("c"))
+    return cut(counted.withColumn("step", F.greatest(F.floor(F.col("n") / STEPS), F.lit(1).cast("long"))), "templates")
+
+
+def necessary_pairs(pairs: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(template, pair): of each template so many pairs, the rarest of ``found`` (pair, seen) first, that a match has one of them."""
+    m = F.col("n") - 1
+    least = F.ceil(m * threshold / (2 - threshold) - 1e-9)
+    order = Window.partitionBy("template").orderBy(F.coalesce("seen", F.lit(0)), "pair").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("c").over(order), F.lit(0))
+    return pairs.join(found, "pair", "left").withColumn("ahead", ahead).where(F.col("ahead") < m - least + 1).select("template", "pair")
 
 
 def find_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(rid, id, sentence, license, dice): each sentence's best license at ``threshold`` or more."""
-    bounds = templates.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).first()
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if bounds["n"] <= FEW:
-        pairs = [r.pair for r in necessary_pairs(templates, threshold).collect()]
-        plain = F.concat(F.lit(" "), F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), F.lit(" "))
-        # one pattern, so that the normalised text is made once; pairs are a-z, 0-9 and a space
-        slim = slim.where(plain.rlike(f" (?:{'|'.join(sorted(pairs))}) ") if pairs else F.lit(False))
-        templates = F.broadcast(templates)
-    cut_up = F.split(F.regexp_replace(_lower(F.col("text")), r"[.!?][ \t\r\n]+", "\n"), "\n")
-    sentences = slim.select("rid", "id", cut_up.alias("cut_up")).select("rid", "id", F.posexplode("cut_up").alias("sentence", "s"))
-    paired = sentences.select("rid", "id", "sentence", _pairs(F.col("s")).alias("pairs")).withColumn("size", F.size("pairs"))
-    fit = paired.where(F.col("size").between(bounds["low"] or 0.0, bounds["high"] or 0.0))
-    shared = fit.select("rid", "id", "sentence", "size", F.explode("pairs").alias("pair")).join(templates, "pair").where((F.col("size") >= F.col("low")) & (F.col("size") <= F.col("high")))
-    dice = 2.0 * F.count("*") / (F.col("size") + F.col("t_size"))
-    scored = shared.groupBy("rid", "id", "sentence", "size", "license", "template", "t_size").agg(dice.alias("dice")).where(F.col("dice") >= threshold)
-    best = F.min(F.struct((-F.col("dice")).alias("d"), "license"))
-    return scored.groupBy("rid", "id", "sentence").agg(best.alias("b")).select("rid", "id", "sentence", F.col("b.license").alias("license"), (-F.col("b.d")).alias("dice"))
+    """(rid, id, license, template, start, size, dice): the windows of ``size`` words from word ``start`` on that match."""
+    pairs = template_pairs(templates)
+    small = F.broadcast if pairs.count() <= MOST_PAIRS else lambda df: df
+    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), _words(F.col(text_col)).alias("ws"))
+    flat = slim.select("rid", "id", F.size("ws").cast("long").alias("words"), F.posexplode(_pairs(F.col("ws"))).alias("pos", "pair"))
+    hits = cut(flat.join(small(pairs.select("pair").distinct()), "pair"), "pairs")
+    needed = necessary_pairs(pairs, hits.groupBy("pair").agg(F.count("*").alias("seen")), threshold)
+    candidates = cut(hits.join(small(needed), "pair").select("rid", "template").distinct(), "candidates")
+    both = hits.join(candidates, "rid").join(small(pairs), ["template", "pair"])
+    first = F.greatest(F.ceil((F.col("pos") - F.col("n") + 2) / F.col("step")), F.lit(0).cast("long"))
+    placed = both.select("rid", "id", "words", "license", "template", "n", "pair", "c", F.explode(F.sequence(first, F.floor(F.col("pos") / F.col("step")))).alias("k"), "step")
+    window = ["rid", "id", "words", "license", "template", "n", "step", "k"]
+    shared = placed.groupBy(*window, "pair").agg(F.least(F.count("*"), F.first("c")).alias("x")).groupBy(*window).agg(F.sum("x").alias("shared"))
+    start = F.col("k") * F.col("step")
+    size = F.least("n", F.col("words") - start)
+    dice = 2.0 * F.col("shared") / (size - 1 + F.col("n") - 1)
+    scored = shared.select("rid", "id", "license", "template", start.alias("start"), size.alias("size"), "n", dice.alias("dice"))
+    return _best(cut(scored.where(F.col("dice") >= threshold), "matches"))
+
+
+def _best(matches: DataFrame) -> DataFrame:
+    """The matches that are the best ones at their middle."""
+    last = F.col("start") + F.col("size") - 1
+    over = F.explode(F.sequence(F.floor(F.col("start") / PLACE), F.floor(last / PLACE))).alias("place")
+    key = F.struct((-F.col("dice")).alias("d"), (-F.col("n")).alias("n"), "license", "template", "start")
+    best = matches.select("rid", "id", key.alias("key"), "size", F.floor((F.col("start") + last) / 2 / PLACE).alias("middle"), over)
+    best = best.groupBy("rid", "place").agg(F.min(F.struct("key", "id", "size", "middle")).alias("b")).where("place = b.middle")
+    return best.select("rid", "b.id", "b.key.license", "b.key.template", "b.key.start", "b.size", (-F.col("b.key.d")).alias("dice"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_licenses(table(spark, sf_dir, "documents"), template_pairs(spark))
-    return found.groupBy(F.col("id").alias("doc_id"), "license").agg(F.count("*").alias("n_sentences"), F.max("dice").alias("dice"))
+    found = find_licenses(table(spark, sf_dir, "documents"), builtin_templates(spark))
+    return found.groupBy(F.col("id").alias("doc_id"), "license").agg(F.count("*").alias("n_places"), F.max("dice").alias("dice"))
 
 
 def _oracle() -> str:
-    values = ", ".join(f"('{name}', {n}, '{text}')" for n, (name, text) in enumerate(TEMPLATES))
-    words = "list_filter(regexp_split_to_array({}, '[^a-z0-9]+'), lambda w: w <> '')"
-    pairs = "list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
-    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    values = ", ".join("('{}', {}, '{}')".format(name, n, text.replace("'", "''")) for n, (name, text) in enumerate(TEMPLATES))
+    words = "list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '')"
     return f"""
-WITH t0 AS (SELECT license, template, {words.format(lower.format("body"))} AS ws FROM (VALUES {values}) v(license, template, body)),
-t AS (SELECT license, template, {pairs} AS tp FROM t0),
-s0 AS (SELECT doc_id, unnest(string_split(regexp_replace({lower.format("text")}, '[.!?][ \\t\\r\\n]+', chr(10), 'g'), chr(10))) AS s,
-  generate_subscripts(string_split(regexp_replace({lower.format("text")}, '[.!?][ \\t\\r\\n]+', chr(10), 'g'), chr(10)), 1) AS n FROM documents),
-s1 AS (SELECT doc_id, n, {words.format("s")} AS ws FROM s0),
-s AS (SELECT doc_id, n, {pairs} AS sp FROM s1),
-d AS (SELECT doc_id, n, license, 2.0::DOUBLE * len(list_intersect(sp, tp)) / (len(sp) + len(tp)) AS dice FROM s, t),
-b AS (SELECT doc_id, n, license, dice, row_number() OVER (PARTITION BY doc_id, n ORDER BY dice DESC, license) AS r FROM d WHERE dice >= {THRESHOLD})
-SELECT doc_id, license, count(*) AS n_sentences, max(dice) AS dice FROM b WHERE r = 1 GROUP BY doc_id, license"""
+WITH t0 AS (SELECT license, template, {words.format("body")} AS ws FROM (VALUES {values}) v(license, template, body)),
+t1 AS (SELECT license, template, len(ws) AS n, greatest(1, len(ws) // {STEPS}) AS step, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS pair FROM t0),
+t AS (SELECT license, template, n, step, pair, count(*) AS c FROM t1 GROUP BY ALL),
+d AS (SELECT doc_id, {words.format("text")} AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS words, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS pair, unnest(range(0, len(ws) - 1)) AS pos FROM d),
+h AS (SELECT doc_id, words, license, template, n, step, pair, c, unnest(range(greatest(0, ceil((pos - n + 2) / step)::BIGINT), pos // step + 1)) AS k FROM p JOIN t USING (pair)),
+s1 AS (SELECT doc_id, words, license, template, n, step, k, least(count(*), first(c)) AS x FROM h GROUP BY doc_id, words, license, template, n, step, k, pair),
+s2 AS (SELECT doc_id, words, license, template, n, k * step AS start, least(n, words - k * step) AS size, sum(x) AS shared FROM s1 GROUP BY ALL),
+m AS (SELECT *, 2.0::DOUBLE * shared / (size - 1 + n - 1) AS dice FROM s2 WHERE 2.0::DOUBLE * shared / (size - 1 + n - 1) >= {THRESHOLD}),
+o AS (SELECT *, (start + start + size - 1) // 2 // {PLACE} AS middle, unnest(range(start // {PLACE}, (start + size - 1) // {PLACE} + 1)) AS place FROM m),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, place ORDER BY dice DESC, n DESC, license, template, start) AS r FROM o)
+SELECT doc_id, license, count(*) AS n_places, max(dice) AS dice FROM b WHERE r = 1 AND place = middle GROUP BY doc_id, license"""
 
 
 ORACLES = {"op5_license_scan": _oracle()}

@@ -173,31 +173,79 @@ def test_running(spark):
         assert got.m == (np.maximum.accumulate(xs).tolist() if n else [])
 
 
+def plain_licenses(texts, templates):
+    """(row, license, template, start, size, dice) by looking at all windows of all templates."""
+    words = lambda t: re.findall("[a-z0-9]+", low(t))
+    out = []
+    for i, t in enumerate(texts):
+        w, found = words(t), []
+        for k, (name, body) in enumerate(templates):
+            v = words(body)
+            n, want = len(v), Counter(zip(v, v[1:], strict=False))
+            for s in range(0, max(0, len(w) - 1), max(1, n // license_scan.STEPS)):
+                part = w[s : s + n]
+                have = Counter(zip(part, part[1:], strict=False))
+                dice = 2.0 * (have & want).total() / (len(part) - 1 + n - 1)
+                if dice >= license_scan.THRESHOLD:
+                    found.append((-dice, -n, name, k, s, len(part)))
+        for f in found:
+            middle = (2 * f[4] + f[5] - 1) // 2 // license_scan.PLACE
+            if f == min(g for g in found if g[4] // license_scan.PLACE <= middle <= (g[4] + g[5] - 1) // license_scan.PLACE):
+                out.append((i, f[2], f[3], f[4], f[5], -f[0]))
+    return sorted(out)
+
+
+def matched(docs, templates):
+    rows = license_scan.find_licenses(docs, templates).collect()
+    return sorted((r.id, r.license, r.template, r.start, r["size"], r.dice) for r in rows)
+
+
 def test_licenses(spark, make):
+    templates = license_scan.builtin_templates(spark)
     texts = [*ODD, "Some text. Released under the MIT license.\nMore", "released UNDER the  MIT-License", "Released under a license", "This work is licensed under the GNU General Public License, version 2.\n" * 2]
+    texts += ["// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\nint x;", "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted.\n"]
     docs = make(texts).withColumn("license", F.lit("x")).withColumn("pair", F.lit("y"))
-    got = license_scan.find_licenses(docs, license_scan.template_pairs(spark)).collect()
-    found = sorted((r.id, r.license, round(r.dice, 3)) for r in got)
-    assert found == [(7, "MIT", 1.0), (8, "MIT", 1.0), (10, "GPL-2.0", 1.0), (10, "GPL-2.0", 1.0)]
-    assert license_scan.find_licenses(docs.limit(0), license_scan.template_pairs(spark)).count() == 0
+    got = matched(docs, templates)
+    assert sorted((r[0], r[1], round(r[5], 3)) for r in got) == [(7, "MIT", 1.0), (8, "MIT", 1.0), (10, "GPL-2.0", 1.0), (10, "GPL-2.0", 1.0), (11, "BSD-3-Clause", 1.0), (12, "ISC", 1.0)]
+    assert got == plain_licenses(texts, license_scan.TEMPLATES)
+    assert license_scan.find_licenses(docs.limit(0), templates).count() == 0
+    assert license_scan.find_licenses(docs, templates.limit(0)).count() == 0
+
 
+def wrapped(r, body):
+    """A template as it stands in a file: wrapped, behind comment marks, with words left out, doubled or replaced."""
+    w = body.split()
+    for _ in range(r.randint(0, max(1, len(w) // 12))):
+        k = r.randrange(len(w))
+        w[k : k + 1] = r.choice([[], [w[k], w[k]], ["other"], [w[k], "words", "here"]])
+    mark, size = r.choice(["", "// ", " * ", "# ", "; "]), r.randint(4, 14)
+    return "\n".join(mark + " ".join(w[k : k + size]) for k in range(0, len(w), size))
 
-def test_few_and_many_templates_agree(spark, make, monkeypatch):
-    """Sentences with words of the templates left out, doubled or replaced."""
+
+def test_wrapped_licenses(spark, make, corpus):
     r = random.Random(9)
-    texts = []
-    for _, body in license_scan.TEMPLATES:
-        for _ in range(12):
-            w = body.split()
-            for _ in range(r.randint(0, 4)):
-                k = r.randrange(len(w))
-                w[k : k + 1] = r.choice([[], [w[k], w[k]], ["other"], [w[k], "words", "here"]]) or w[k : k + 1][:0]
-                w = w or ["x"]
-            texts.append("Begin here. " + " ".join(w) + "\nend")
-    rows = lambda: sorted((x.id, x.sentence, x.license, x.dice) for x in license_scan.find_licenses(make(texts), license_scan.template_pairs(spark)).collect())
-    few = rows()
-    monkeypatch.setattr(license_scan, "FEW", 0)
-    assert few == rows() and len(few) > 50
+    texts = [f"{r.choice(corpus)}\n{wrapped(r, body)}\n{r.choice(corpus)}" for _, body in license_scan.TEMPLATES for _ in range(3)]
+    texts += ["\n".join(wrapped(r, body) for _, body in license_scan.TEMPLATES), *corpus[:10]]
+    got = matched(make(texts), license_scan.builtin_templates(spark))
+    assert got == plain_licenses(texts, license_scan.TEMPLATES)
+    n = len(license_scan.TEMPLATES)
+    assert sum((k, license_scan.TEMPLATES[k // 3][0]) in {x[:2] for x in got} for k in range(3 * n)) > 2.4 * n
+
+
+def test_many_templates_from_files(spark, make, tmp_path, corpus, monkeypatch):
+    """Long templates with over 1,000 pairs, read from a folder, whether or not they are broadcast."""
+    r = random.Random(10)
+    bodies = [" ".join(r.choice(corpus) for _ in range(6)) for _ in range(40)]
+    for k, body in enumerate(bodies):
+        (tmp_path / f"L-{k}.0.txt").write_text(body)
+    templates = license_scan.template_files(spark, str(tmp_path))
+    assert license_scan.template_pairs(templates).count() > 1000
+    texts = [f"{corpus[k]}\n{wrapped(r, bodies[k])}" for k in range(12)]
+    want = sorted((x[0], x[1], *x[3:]) for x in plain_licenses(texts, [(f"L-{k}.0", b) for k, b in enumerate(bodies)]))
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(license_scan, "MOST_PAIRS", most)
+        assert [(x[0], x[1], *x[3:]) for x in matched(make(texts), templates)] == want
+    assert {x[:2] for x in want} >= {(k, f"L-{k}.0") for k in range(12)}
 
 
 def lpf(texts, least):
