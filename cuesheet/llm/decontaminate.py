@@ -9,14 +9,15 @@ equi-join on the word, where the length and positional bounds are applied and
 the window is compared word for word.
 
 Word counts are taken over all documents. What is broadcast is a bitmap over
-hashed words of fixed size, whatever the size of the benchmark; its false
-positives end in the join. A frequent word's rows are skewed only in a sort
-merge join, which adaptive execution splits.
+hashed words, of ``ROOM`` bits for each distinct word of the benchmark's windows
+and 2 ** ``MOST_BITS`` at most; its false positives end in the join. A frequent
+word's rows are skewed only in a sort merge join, which adaptive execution
+splits. Windows of the same items share one set of ids: places carry its number,
+and a document meets each set once, at the end.
 
 Null texts have no words; items without words have no windows; repeated rows
 are judged one by one; equal items are each reported; a null item id is
-reported as the empty string; rows are numbered by their place in the scan, so
-``docs`` has to be a table or files.
+reported as the empty string.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from cuesheet.llm.common import cut, fresh, table, text_batches
 
 WINDOW = 10
-BITS = 20
+LEAST_BITS = 16
+MOST_BITS = 24
+ROOM = 32
 #: Distinct words that a task counts before it passes its counts on.
 COUNTED = 300_000
 
@@ -57,14 +60,20 @@ class _Probe(dict):
     def __missing__(self, word: bytes) -> bool:
         if len(self) >= COUNTED:
             self.clear()
-        found = self[word] = bool(self.bitmap[xxhash.xxh64_intdigest(word, 42) & ((1 << BITS) - 1)])
+        found = self[word] = bool(self.bitmap[xxhash.xxh64_intdigest(word, 42) & (len(self.bitmap) - 1)])
         return found
 
 
+def bits_for(words: int) -> int:
+    """How many bits of a hash tell ``words`` words apart from most others."""
+    return min(MOST_BITS, max(LEAST_BITS, (ROOM * words).bit_length()))
+
+
 def _bitmap(words: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2 ** BITS hashed words: at most that many small numbers reach the driver."""
-    slots = words.select(F.xxhash64(column).bitwiseAND(F.lit((1 << BITS) - 1)).alias("slot")).distinct()
-    out = np.zeros(1 << BITS, bool)
+    """A bitmap of the hashes of distinct ``words``; the driver gets one small number for each bit at most."""
+    bits = bits_for(words.count())
+    slots = words.select(F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot")).distinct()
+    out = np.zeros(1 << bits, bool)
     out[np.asarray(slots.toArrow()["slot"])] = True
     return out
 
@@ -112,14 +121,19 @@ def word_counts(docs: DataFrame, bitmap: np.ndarray, text_col: str = "text") ->
     return docs.select(_raw(F.col(text_col)).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def item_sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, owner) for each distinct window, and (owner, items) for each set of items that windows have in common."""
+    distinct = windows.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    own = cut(distinct.withColumn("window", F.monotonically_increasing_id()), "windows")
+    sets = cut(own.groupBy("items").agg(F.min("window").alias("owner")), "sets")
+    return own.join(sets, "items").select("words", "owner"), sets
+
+
 def rare_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Windows with the place of their rarest word: (word, offset, words, items)."""
-    distinct = windows.groupBy("words").agg(F.collect_list("item").alias("items"))
-    spread = distinct.select("words", "items", F.posexplode("words").alias("offset", "word"))
-    ranked = spread.join(counts, "word", "left").groupBy("words").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("best"), F.first("items").alias("items")
-    )
-    return ranked.select(F.col("best.word").alias("word"), F.col("best.offset").alias("offset"), "words", "items")
+    """Distinct windows (words, owner) with the place of their rarest word: (word, offset, words, owner)."""
+    spread = windows.select("words", "owner", F.posexplode("words").alias("offset", "word"))
+    ranked = spread.join(counts, "word", "left").groupBy("words", "owner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("best"))
+    return ranked.select(F.col("best.word").alias("word"), F.col("best.offset").alias("offset"), "words", "owner")
 
 
 def places(docs: DataFrame, bitmap: np.ndarray, window: int = WINDOW, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -167,14 +181,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     """A row for each document: (rid, c0..., n_words, hits array<struct<start, size>>, items array<string>).
 
     ``hits`` are the places of windows in the document, ``items`` the ids of
-    the items they come from, both sorted. ``rid`` is the document's
-    ``monotonically_increasing_id``; ``c0``... are its columns ``carry``.
+    the items they come from, both sorted. ``rid`` numbers the documents in one
+    scan; ``c0``... are their columns ``carry``.
     """
-    windows = cut(item_windows(benchmark, window, id_col, item_text_col), "windows")
+    windows, sets = item_sets(item_windows(benchmark, window, id_col, item_text_col))
+    windows = cut(windows, "windows")
     text_batches(docs.sparkSession)
-    counts = cut(word_counts(docs, _bitmap(windows.select(F.explode("words").alias("word")), "word"), text_col), "counts")
+    counts = cut(word_counts(docs, _bitmap(windows.select(F.explode("words").alias("word")).distinct(), "word"), text_col), "counts")
     prefixes = cut(rare_prefixes(windows, counts), "prefixes").withColumnRenamed("word", "prefix")
-    found = places(docs, _bitmap(prefixes, "prefix"), window, text_col, carry)
+    found = places(docs, _bitmap(prefixes.select("prefix").distinct(), "prefix"), window, text_col, carry)
     start = F.col("place") - F.col("offset")
     size = F.size("words")
     centre = F.least(F.col("place"), F.lit(window - 1))
@@ -182,11 +197,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     same = F.slice(F.split("around", " "), F.greatest(centre - F.col("offset") + 1, F.lit(1)).cast("int"), size) == F.col("words")
     hit = F.when(F.col("words").isNotNull(), F.struct(start.alias("start"), size.alias("size")))
     met = found.join(prefixes, (F.col("word") == F.col("prefix")) & fits & same, "left")
-    return met.groupBy("rid", *(f"c{k}" for k in range(len(carry)))).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(hit)).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    kept = [f"c{k}" for k in range(len(carry))]
+    out = cut(met.groupBy("rid", *kept).agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"), F.collect_set("owner").alias("owners")), "hits")
+    ids = out.select("rid", F.explode("owners").alias("owner")).join(sets, "owner").select("rid", F.explode("items").alias("item"))
+    items = ids.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return out.join(items, "rid", "left").select("rid", *kept, "n_words", "hits", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
 def covered(hits: str = "hits") -> Column:
@@ -203,9 +218,10 @@ def covered(hits: str = "hits") -> Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of a benchmark item; columns and other rows stay."""
     (rid,) = fresh(docs.columns, "rid")
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    bad = contamination(docs, benchmark, window, text_col, id_col, item_text_col).where(F.size("hits") > 0)
-    return numbered.join(bad.select(F.col("rid").alias(rid)), rid, "left_anti").drop(rid)
+    # written, so that a row keeps its number: scans need not be split alike
+    rows = cut(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    bad = contamination(rows, benchmark, window, text_col, id_col, item_text_col, carry=(rid,)).where(F.size("hits") > 0)
+    return rows.join(bad.select(F.col("c0").alias(rid)), rid, "left_anti").drop(rid)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,9 +180,9 @@ def near_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     return cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_compare, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(rid, id, fp, component): each document's fingerprint and the smallest id that its links lead to."""
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, rid: Column | None = None) -> DataFrame:
+    """(rid, id, fp, component): each document's fingerprint and the smallest id that its links lead to; rows are numbered unless ``rid`` does it."""
+    slim = docs.select((F.monotonically_increasing_id() if rid is None else rid).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = cut(with_fingerprint(slim, "text", "fp", size).drop("text"), "fingerprints")
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(near_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
@@ -199,9 +199,11 @@ def hex_of(fp: Column) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component: the first row of the smallest id (a null id counts as the largest)."""
     (rid,) = fresh(docs.columns, "rid")
-    found = near_components(docs, id_col, text_col, size)
+    # written, so that a row keeps its number: scans need not be split alike
+    rows = cut(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    found = near_components(rows, id_col, text_col, size, F.col(rid))
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best"))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(best.select(F.col("best.rid").alias(rid)), rid, "left_semi").drop(rid)
+    return rows.join(best.select(F.col("best.rid").alias(rid)), rid, "left_semi").drop(rid)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
