@@ -1,13 +1,15 @@
 """Near-dedup of texts whose sets of word shingles have a Jaccard similarity of ``SIMILAR`` or more.
 
 Shingles of ``SHINGLE`` words are 64-bit hashes; equal sets are one row before
-anything is sent. Candidates come from MinHash: ``BANDS`` bands of ``ROWS``
-minima each, and sets that agree in a band share a cell. Two sets of similarity
-``s`` share one with probability ``1 - (1 - s ** ROWS) ** BANDS``: over 0.9999 for
-0.8. (64 fingerprint bits cannot do this: at 0.8 about ten of them differ, and
-a bound wide enough for nearly all such pairs is met by unrelated texts, too.)
-Cells of one set, and all but one of the cells that hold the same sets, go.
-The sets in what is left are compared in full, so no link is below ``SIMILAR``.
+anything is sent. Candidates come from two sides. One is the SimHash operator:
+fingerprints of these shingles that meet at an anchor of its covering code and
+differ in few bits. But at a similarity of 0.8 about ten of 64 bits differ, and
+a bound wide enough for nearly all such pairs is met by unrelated texts, too;
+so for the rest there is MinHash: ``BANDS`` bands of ``ROWS`` minima each, and
+sets that agree in a band share a cell. Two sets of similarity ``s`` share one
+with probability ``1 - (1 - s ** ROWS) ** BANDS``: over 0.9999 for 0.8. Cells of
+one set, and all but one of the cells that hold the same sets, go. All
+candidates are compared in full, so no link is below ``SIMILAR``.
 
 A cell with more than ``TILE`` sets, or ``WEIGHT`` shingles, is dealt into tiles,
 and every two tiles meet in a cell of their own, so no task needs all of them
@@ -27,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import cut, fresh, text_batches
+from cuesheet.llm.common import cut, discard, fresh, text_batches
 from cuesheet.llm.components import components
+from cuesheet.llm.simhash import majority, near_links, shingle_hashes
 
 SIMILAR = 0.8
 SHINGLE = 5
@@ -41,19 +44,6 @@ _XOR = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _TIMES = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of the word shingles of a UTF-8 text."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    k = min(size, len(words)) - 1
-    starts = (np.concatenate([[0], ends[:-1]])).tolist()[: len(words) - k]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 43) for a, b in zip(starts, (ends - 1).tolist()[k:], strict=True)], np.uint64))
-
-
 def bands_of(hashes: np.ndarray) -> list[int]:
     """A signed hash of each band of minima; none for the empty set."""
     if not len(hashes):
@@ -111,37 +101,70 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def anchored(sets: DataFrame) -> DataFrame:
+    """(x, y): candidates out of ``sets`` (row, fp): rows of one fingerprint, and of fingerprints that meet at an anchor."""
+    first = cut(sets.groupBy("fp").agg(F.min("row").alias("rep")), "fingerprints")
+    same = sets.join(first, "fp").where("row <> rep").select(F.col("row").alias("x"), F.col("rep").alias("y"))
+    near = cut(near_links(first.select("fp")), "links")
+    at = lambda c, name: first.select(F.col("fp").alias(c), F.col("rep").alias(name))
+    return cut(same.union(near.join(at("a", "x"), "a").join(at("b", "y"), "b").where("x <> y").select("x", "y")), "anchored")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): the ``pairs`` (x, y) whose ``sets`` (row, shingles) have a Jaccard similarity of ``similar`` or more."""
+
+    @F.arrow_udf("boolean")
+    def alike(one: pa.Array, other: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(one.to_pylist(), other.to_pylist(), strict=True):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both >= similar * (len(a) + len(b) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    of = lambda c: sets.select(F.col("row").alias(c), F.col("shingles").alias(f"of_{c}"))
+    return pairs.join(of("x"), "x").join(of("y"), "y").where(alike("of_x", "of_y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def near_rows(rows: DataFrame, tile: int = TILE, weight: int = WEIGHT) -> DataFrame:
     """(rid, id, set, root) of written ``rows`` (rid, id, text): equal roots for rows that links join; ``set`` is equal for equal sets."""
     text_batches(rows.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
 
-    @F.arrow_udf("struct<set binary, size long, bands array<long>>")
+    @F.arrow_udf("struct<set binary, fp long, size long, bands array<long>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        found = [shingles(t) for t in texts.to_pylist()]
+        all_ = [shingle_hashes(t, SHINGLE) for t in texts.to_pylist()]
+        found = [np.unique(h) for h in all_]
+        fps = np.array([majority(h) for h in all_], np.uint64).view(np.int64)
         return pa.StructArray.from_arrays(
-            [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array([len(h) for h in found], pa.int64()), pa.array([bands_of(h) for h in found], pa.list_(pa.int64()))],
-            ["set", "size", "bands"],
+            [pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()), pa.array(fps), pa.array([len(h) for h in found], pa.int64()), pa.array([bands_of(h) for h in found], pa.list_(pa.int64()))],
+            ["set", "fp", "size", "bands"],
         )
 
     @F.arrow_udf("binary")
     def hashes(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([np.unique(shingle_hashes(t, SHINGLE)).tobytes() for t in texts.to_pylist()], pa.binary())
 
     marked = cut(rows.select("rid", "id", sketch(text).alias("s")).select("rid", "id", "s.*"), "sketches")
     # one row stands for all of an equal set
     one = cut(marked.groupBy("set").agg(F.min("rid").alias("row")), "sets")
-    sent = cut(marked.join(one.select(F.col("row").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("row"), "size", F.explode("bands").alias("cell")), "bands")
+    chosen = cut(marked.join(one.select(F.col("row").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("row"), "fp", "size", "bands"), "chosen")
+    pairs = anchored(chosen.select("row", "fp"))
+    sent = cut(chosen.select("row", "size", F.explode("bands").alias("cell")), "bands")
     shared = sent.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("held"), *(F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(20,0)")).alias(f"m{k}") for k in range(2))).where("n > 1")
     cells = cut(shared.groupBy("n", "held", "m0", "m1").agg(F.min("cell").alias("cell")).select("cell", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("held") / weight)).cast("long").alias("tiles")), "cells")
     members = cut(sent.join(cells, "cell").select("cell", "tiles", "row"), "members")
-    sets = cut(rows.join(members.select(F.col("row").alias("rid")).distinct(), "rid", "left_semi").select(F.col("rid").alias("row"), hashes(text).alias("shingles")), "shingles")
+    discard(chosen, sent)
+    involved = members.select("row").union(pairs.select("x")).union(pairs.select("y")).distinct()
+    sets = cut(rows.join(involved.select(F.col("row").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("row"), hashes(text).alias("shingles")), "shingles")
     # cells of one tile are (0, 0); a row of a larger cell goes to each pair of tiles that has its own
     own = F.pmod(F.xxhash64("row"), "tiles")
     dealt = members.select("cell", "row", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     met = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row").join(sets, "row")
     sorted_ = met.select("cell", "i", "j", "row", "shingles").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    roots = components(sorted_.mapInArrow(_compare, "a long, b long").distinct()).withColumnRenamed("node", "row")
+    links = cut(verified(pairs, sets).union(sorted_.mapInArrow(_compare, "a long, b long")).distinct(), "links")
+    discard(members, sets, pairs, cells)
+    roots = components(links).withColumnRenamed("node", "row")
     named = one.join(roots, "row", "left").select("set", F.coalesce("root", "row").alias("root"))
     return marked.select("rid", "id", "set").join(named, "set")
 

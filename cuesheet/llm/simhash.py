@@ -44,22 +44,30 @@ RADIUS = 1
 HAMMING = 15
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
-    """SimHash of the word shingles of a UTF-8 text, repeats included."""
+def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The hashes of the word shingles of a UTF-8 text, repeats included; none without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]]).tolist()
-    ends = (ends - 1).tolist()
     k = min(size, len(words)) - 1
+    starts = np.concatenate([[0], ends[:-1]]).tolist()[: len(words) - k]
     digest = xxhash.xxh64_intdigest
-    half, ones = len(words) - k, np.zeros(64, np.int64)
-    for lo in range(0, half, 1 << 16):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[lo : min(half, lo + (1 << 16))], ends[lo + k :])], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > half, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, (ends - 1).tolist()[k:], strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: the bits that more than half of the hashes have; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    """SimHash of the word shingles of a UTF-8 text."""
+    return majority(shingle_hashes(text, size))
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", fp_col: str = "fp", size: int = SHINGLE) -> DataFrame:

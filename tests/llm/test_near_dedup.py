@@ -58,6 +58,34 @@ def test_tiles_agree(spark, make, corpus, tile):
     assert {min(g) for g in groups.values()} == kept(texts)
 
 
+def test_anchors_are_candidates_that_are_compared(spark, make, corpus):
+    """Fingerprints that meet at an anchor are compared in full; without bands their links are what is left."""
+    r = random.Random(8)
+    long = [" ".join(f"w{r.randrange(5000)}" for _ in range(200)) for _ in range(8)]
+    texts = [*long, *(varied(r, t, 1) for t in long), *(t + " and more" for t in long), None, "", "x y"]
+    hashes = [near_dedup.shingle_hashes((t or "").encode(), 5) for t in texts]
+    fps = [near_dedup.majority(h) for h in hashes]
+    sets = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "row long, fp long")
+    found = near_dedup.anchored(sets)
+    joined = lambda links: {min(b for b in range(len(texts)) if linked(links, a, b)) for a in range(len(texts))}
+
+    def linked(links, a, b):
+        seen, edge = {a}, [a]
+        while edge:
+            x = edge.pop()
+            more = {v for p in links if x in p for v in p} - seen
+            seen |= more
+            edge += more
+        return b in seen
+
+    want = [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    got = [tuple(x) for x in found.collect()]
+    assert joined(got) == joined(want) and len(want) > 4
+    tables = spark.createDataFrame([(i, bytearray(near_dedup.np.unique(h).tobytes())) for i, h in enumerate(hashes)], "row long, shingles binary")
+    near = {tuple(x) for x in near_dedup.verified(found, tables).collect()}
+    assert near == {(a, b) for a, b in got if jaccard(shingled(texts[a]), shingled(texts[b])) >= 0.8}
+
+
 def test_pairs_of_similarity_08_share_a_band():
     r = random.Random(2)
     met = 0
