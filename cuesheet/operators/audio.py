@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_BINS, MOST_BINS = 64, 4096
@@ -44,8 +44,8 @@ def durations(samples: DataFrame, rate: int, asset: str = "asset_id") -> DataFra
 
 def stereo(samples: DataFrame, asset: str = "asset_id") -> DataFrame:
     """Two channels: one channel twice, or the first two of more."""
-    n = (F.max("channel").over(Window.partitionBy(asset)) + 1).alias("n")
-    counted = samples.select("*", n)
+    n = samples.groupBy(F.col(asset).alias("_asset")).agg((F.max("channel") + 1).alias("n"))
+    counted = samples.join(n, F.col(asset).eqNullSafe(F.col("_asset"))).drop("_asset")
     targets = F.when(F.col("n") == 1, F.array(F.lit(0), F.lit(1))).when(F.col("channel") < 2, F.array(F.col("channel").cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
     return counted.withColumn("channel", F.explode(targets)).drop("n")
 

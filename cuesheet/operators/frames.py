@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,8 +10,10 @@ def frame_counts(frames: DataFrame, group: str = "seq_id") -> DataFrame:
     return frames.groupBy(group).agg(F.count("*").alias("n_frames"))
 
 
-def _n(group: str) -> Column:
-    return F.count("*").over(Window.partitionBy(group))
+def _counted(frames: DataFrame, group: str) -> DataFrame:
+    """``frames`` with the number of frames of their group as ``_n``: counted before the shuffle, so that no task has a whole sequence."""
+    n = frames.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    return frames.join(n, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def frame_range(frames: DataFrame, start: int = -1, length: int = 1, group: str = "seq_id") -> DataFrame:
@@ -21,7 +23,7 @@ def frame_range(frames: DataFrame, start: int = -1, length: int = 1, group: str
         low, high = at, F.least(at + length, F.col("_n"))
     else:
         low, high = F.greatest(at + length, F.lit(0).cast("long")), at + 1
-    return frames.withColumn("_n", _n(group)).where((F.col("frame_idx") >= low) & (F.col("frame_idx") < high)).drop("_n")
+    return _counted(frames, group).where((F.col("frame_idx") >= low) & (F.col("frame_idx") < high)).drop("_n")
 
 
 def replace_frame(frames: DataFrame, letter: DataFrame, index: int, value: str, group: str = "seq_id") -> DataFrame:
@@ -29,17 +31,17 @@ def replace_frame(frames: DataFrame, letter: DataFrame, index: int, value: str,
     wanted = F.lit(index).cast("long") if index >= 0 else F.col("_n") + index
     at = F.greatest(F.lit(0).cast("long"), F.least(wanted, F.col("_n") - 1))
     new = letter.select(group, F.col(value).alias("_new"))
-    joined = frames.withColumn("_n", _n(group)).join(new, group, "left")
+    joined = _counted(frames, group).join(new, group, "left")
     return joined.withColumn(value, F.when((F.col("frame_idx") == at) & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col(value))).drop("_n", "_new")
 
 
 def tail_frames(frames: DataFrame, n: int, group: str = "seq_id") -> DataFrame:
-    return frames.withColumn("_n", _n(group)).where(F.col("frame_idx") >= F.col("_n") - n).drop("_n")
+    return _counted(frames, group).where(F.col("frame_idx") >= F.col("_n") - n).drop("_n")
 
 
 def without_tail(frames: DataFrame, n: int, group: str = "seq_id") -> DataFrame:
     """All but the last ``n`` frames, none if there are no more than that."""
-    return frames.withColumn("_n", _n(group)).where(F.col("frame_idx") < F.greatest(F.col("_n") - max(n, 0), F.lit(0).cast("long"))).drop("_n")
+    return _counted(frames, group).where(F.col("frame_idx") < F.greatest(F.col("_n") - max(n, 0), F.lit(0).cast("long"))).drop("_n")
 
 
 def encoder_frames(frames: DataFrame, overlap: int = 1, group: str = "seq_id") -> DataFrame:

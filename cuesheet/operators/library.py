@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.scalars import extension, has_extension, leading_number, numbered_name, pad3, sanitized, stem, unquoted
+from cuesheet.sources.shared import numbered
 
 #: The extensions each listing takes.
 AUDIO = (".wav", ".mp3", ".flac", ".ogg", ".m4a", ".aac", ".wma")
@@ -23,12 +24,17 @@ TEXTS = (".txt",)
 
 def listing(files: DataFrame, extensions: tuple[str, ...], folder: str = "folder", most: int | None = None, by_stem: bool = False) -> DataFrame:
     """(folder, pos, name): files with one of the extensions, sorted by name (or stem, then name), the first ``most`` of a folder."""
-    keys = [stem("name"), F.col("name")] if by_stem else [F.col("name")]
-    pos = F.row_number().over(Window.partitionBy(folder).orderBy(*keys)) - 1
-    out = files.where(has_extension("name", extensions)).select(folder, pos.cast("long").alias("pos"), "name")
+    kept = files.where(has_extension("name", extensions)).select(folder, "name")
+    out = numbered(kept, [folder, *([stem("name")] if by_stem else []), "name"], within=folder).select(folder, "pos", "name")
     return out if not most or most <= 0 else out.where(F.col("pos") < most)
 
 
+def deep_listing(files: DataFrame, extensions: tuple[str, ...], folder: str = "folder") -> DataFrame:
+    """(pos, path): files of all folders with one of the extensions, sorted by their path, with forward slashes."""
+    path = F.concat_ws("/", F.replace(F.col(folder), F.lit("\\"), F.lit("/")), "name")
+    return numbered(files.where(has_extension("name", extensions)).select(path.alias("path")), "path").select("pos", "path")
+
+
 def next_number_mex(files: DataFrame, folder: str = "folder") -> DataFrame:
     """(folder, next_number): the smallest number that no name begins with.
 
@@ -54,6 +60,34 @@ def uploaded_names(new: DataFrame, numbers: DataFrame, folder: str = "folder") -
     return new.join(numbers, folder).select(folder, "pos", F.concat(pad3(F.col("next_number") + F.col("pos")), F.lit("_"), sanitized("name")).alias("name"))
 
 
+def uploaded_images(new: DataFrame, numbers: DataFrame, folder: str = "folder") -> DataFrame:
+    """Uploaded pictures (folder, pos, name) as ``NNN.extension``: the name's own one in lower case if it is a managed one, else ``.png``.
+
+    A name of nothing but illegal characters is an ``error``.
+    """
+    clean = sanitized(F.coalesce("name", F.lit("")))
+    ext = F.concat(F.lit("."), F.lower(F.element_at(F.split(clean, r"\."), -1)))
+    full = F.concat(pad3(F.col("next_number") + F.col("pos")), F.when(ext.isin(*MANAGED_IMAGES), ext).otherwise(F.lit(".png")))
+    error = F.when(clean == "", "name is empty")
+    return new.join(numbers, folder).select(folder, "pos", error.alias("error"), F.when(error.isNull(), full).alias("name"))
+
+
+def ordered_existing(ordered: DataFrame, existing: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """The rows of ``ordered`` (key, pos) whose key exists, in their order, with places from 0."""
+    return numbered(ordered.join(existing.select(key), key, "left_semi").withColumnRenamed(pos, "_at"), "_at", pos).drop("_at")
+
+
+def existing_but(existing: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """What exists and is not kept."""
+    return existing.join(kept.select(key), key, "left_anti")
+
+
+def system_prompt(system: Column, seconds: Column) -> Column:
+    """The system prompt, behind a request for the length in seconds where that is above 0."""
+    # fixed value: the request's words
+    return F.when(seconds > 0, F.concat(F.lit("请您根据要求生成一段总长度"), seconds.cast("string"), F.lit("秒的视频脚本；"), system)).otherwise(system)
+
+
 def prompt_file(df: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
     """Adds ``saved_as`` and ``error``: a sanitised name with ``.txt``, or what is missing."""
     clean = F.trim(sanitized(F.coalesce(F.col(name), F.lit(""))))

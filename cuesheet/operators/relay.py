@@ -93,6 +93,25 @@ def query_frame(q: Column, tokens_per_frame: int | None = None, latent_frames: i
     return F.floor(q / tokens_per_frame).cast("double") if tokens_per_frame else q * latent_frames / n_queries
 
 
+def by_place(ranges: DataFrame, windows: DataFrame, group: str = "group_id") -> DataFrame:
+    """Segments and token ranges paired by their places; what only one side has goes."""
+    return ranges.join(windows, [group, "pos"])
+
+
+def token_cost(segments: DataFrame, n_queries: int, tokens_per_frame: int | None = None, latent_frames: int | None = None, group: str = "group_id") -> DataFrame:
+    """(group, q, k, cost): what query token ``q`` pays for token ``k`` of a segment's range, for all pairs that pay something.
+
+    ``segments`` have (pos, mid, win, sigma, first, last). A query's frame is a
+    whole one of ``tokens_per_frame`` queries, or ``q * latent_frames /
+    n_queries``. Where ranges overlap, the later segment's cost holds.
+    """
+    q = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("q")
+    spread = segments.where("last > first").select("*", q)
+    far = F.greatest(F.abs(query_frame(F.col("q"), tokens_per_frame, latent_frames, n_queries) - F.col("mid")) - F.col("win"), F.lit(0.0))
+    paid = spread.select(group, "q", "pos", F.explode(F.sequence("first", F.col("last") - 1)).alias("k"), (far * far / (2 * F.col("sigma") * F.col("sigma"))).alias("cost"))
+    return paid.groupBy(group, "q", "k").agg(F.max_by("cost", "pos").alias("cost")).where("cost > 0")
+
+
 def mask_mode(lq: Column, lk: Column, uncond_only: Column, video_lq: Column, most_tokens: Column) -> Column:
     """Which penalty applies to a pair of lengths: 'video', 'scaled', or none (null)."""
     none = (lq == lk) | uncond_only | (lk == video_lq) | (lk < most_tokens)

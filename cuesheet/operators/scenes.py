@@ -71,6 +71,36 @@ def parse_scenes_v2(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
     return rows.select(*keys, (F.col("pos") + 1).cast("long").alias("seq"), *cols)
 
 
+#: The fields of a timeline's rows, as they are called in JSON.
+TIMELINE_FIELDS = {"row_idx": "索引编号", "start_s": "开始时间", "end_s": "结束时间", "prompt": "提示词文本"}
+
+
+def parse_timeline(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
+    """(keys, seq, row_idx, start_s, end_s, prompt) from an array of objects; seq is from 1.
+
+    Absent fields have their defaults; from the first field that is no number
+    on, so have all that follow. Elements that are no objects have defaults only.
+    """
+    rows = exploded(df, json_col, *keys)
+    ok, cols = F.expr("schema_of_variant(value) like 'OBJECT%'"), []
+    for (name, field), default in zip(TIMELINE_FIELDS.items(), (0, 0.0, 15.0, ""), strict=True):
+        raw = F.expr(f"""try_variant_get(value, '$["{field}"]', 'variant')""")
+        text = F.expr(f"""try_variant_get(value, '$["{field}"]', 'string')""")
+        kind = F.schema_of_variant(raw)
+        if name == "prompt":
+            got = F.coalesce(text, F.lit(""))
+        else:
+            spelled = F.trim(text)
+            is_number = spelled.rlike(r"^[+-]?[0-9]+$") if name == "row_idx" else spelled.rlike(r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$")
+            number = F.when(kind == "STRING", F.when(is_number, spelled.try_cast("double"))).when(kind == "BOOLEAN", (text == "true").cast("double")).otherwise(text.try_cast("double"))
+            got = number.cast("long") if name == "row_idx" else number
+            # a field that is there has to be a number, and null is none
+            ok = ok & (raw.isNull() | got.isNotNull())
+            got = F.coalesce(got, F.lit(default))
+        cols.append(F.when(ok, got).otherwise(F.lit(default)).alias(name))
+    return rows.select(*keys, (F.col("pos") + 1).cast("long").alias("seq"), *cols)
+
+
 def parse_keyframes(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
     """(keys, pos, sec) from an array of seconds, or the ``keyframes`` of an object; not below 0."""
     v = F.try_parse_json(F.col(json_col))

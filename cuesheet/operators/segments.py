@@ -6,6 +6,10 @@ it; all windows are partitioned by asset.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,19 +57,26 @@ def or_whole(segments: DataFrame, assets: DataFrame, asset: str = "asset_id") ->
     return kept.unionByName(left).select(asset, F.row_number().over(order).cast("long").alias("idx"), "s", "e")
 
 
-def cut_points(start: Column, end: Column, step: Column) -> Column:
-    """start, start + step, ... by repeated addition, and the end."""
-    n = F.ceil((end - start) / step).cast("int") + 1
-    fold = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(start), lambda acc, _: F.when(F.element_at(acc, -1) >= end, acc).otherwise(F.concat(acc, F.array(F.least(F.element_at(acc, -1) + step, end))))
-    )
-    return F.when(end > start, fold).otherwise(F.array(start))
+def cut_points(step: float) -> Callable[[Column, Column], Column]:
+    """A function of two columns: start, start + step, ... by repeated addition, and the end."""
+
+    @F.arrow_udf("array<double>")
+    def walk(starts: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for start, end in zip(starts.to_pylist(), ends.to_pylist(), strict=True):
+            points = np.full(max(1, int(np.ceil((end - start) / step)) + 1), step)
+            points[0] = start
+            points = np.add.accumulate(points)  # one addition after the other
+            out.append(np.append(points[points < end], end) if end > start else points[:1])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return walk
 
 
 def average_split(segments: DataFrame, step: float, asset: str = "asset_id") -> DataFrame:
     """The span of each asset's segments anew, in pieces of ``step`` seconds; the last one is shorter."""
     spans = segments.groupBy(asset).agg(F.min("s").alias("a"), F.max("e").alias("b"))
-    points = spans.select(asset, cut_points(F.col("a"), F.col("b"), F.lit(float(step))).alias("p"))
+    points = spans.select(asset, cut_points(float(step))(F.col("a"), F.col("b")).alias("p"))
     pieces = points.select(asset, F.posexplode(F.expr("transform(slice(p, 1, greatest(size(p) - 1, 0)), (x, i) -> struct(x as s, p[i + 1] as e))")).alias("i", "x"))
     return pieces.select(asset, (F.col("i") + 1).cast("long").alias("idx"), "x.s", "x.e")
 

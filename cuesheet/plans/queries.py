@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import scalars
@@ -161,6 +161,37 @@ def keyframe_parse(spark: SparkSession, d: str) -> DataFrame:
     return scenes.parse_keyframes(e, "json", "event_id")
 
 
+@query(f"""SELECT conv_id, {_SEQ}, CASE turn % 5 WHEN 2 THEN 0 WHEN 4 THEN 0 WHEN 1 THEN 7 ELSE turn END::BIGINT AS row_idx, CASE WHEN turn % 5 IN (2, 4) THEN 0.0 WHEN turn % 5 = 1 THEN 1.5 ELSE turn * 2.5 END::DOUBLE AS start_s,
+  CASE turn % 5 WHEN 0 THEN (turn + 1) * 2.5 ELSE 15.0 END::DOUBLE AS end_s, CASE WHEN turn % 5 IN (0, 1) THEN text ELSE '' END AS prompt FROM conversations""")
+def timeline_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Whole rows, numbers as text, a bad number at the front, one in the middle, and elements that are no objects."""
+    name = scenes.TIMELINE_FIELDS
+    text = F.to_json(F.array("text"))
+    field = lambda key, value: F.concat(F.lit(f'"{name[key]}":'), value.cast("string"))
+    prompt = field("prompt", text.substr(F.lit(2), F.length(text) - 2))
+    row = lambda *fields: F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    k, two = F.col("turn"), F.col("turn") * 2.5
+    cell = (
+        F.when(k % 5 == 0, row(field("row_idx", k), field("start_s", two), field("end_s", (k + 1) * 2.5), prompt))
+        .when(k % 5 == 1, row(field("start_s", F.lit('" 1.5 "')), field("row_idx", F.lit('"7"')), prompt))
+        .when(k % 5 == 2, row(field("row_idx", F.lit('"x"')), field("start_s", two), prompt))
+        .when(k % 5 == 3, row(field("row_idx", k), field("start_s", two), field("end_s", F.lit("null")), prompt))
+        .otherwise(F.lit('"bare"'))
+    )
+    c = t.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))).alias("x"))
+    return scenes.parse_timeline(c.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["cell"]), ","), F.lit("]")).alias("json")), "json", "conv_id")
+
+
+@query("""WITH n AS (SELECT DISTINCT conv_id FROM conversations), w AS (SELECT conv_id, i AS asked, i % 4 AS j FROM n, range(0, 9) r(i)), r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, text FROM conversations)
+SELECT w.conv_id, asked, j AS row_idx, 'p' || coalesce(text, '') || 's' AS prompt FROM w LEFT JOIN r ON w.conv_id = r.conv_id AND j = pos""")
+def text_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Plain prompts by row, used again every four rows."""
+    rows = prompt_parse(spark, d).withColumn("pos", F.col("seq") - 1)
+    wanted = t.table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("asked"))
+    got = scenes.lookup_row(wanted.withColumn("i", scenes.reduced(F.col("asked"), F.lit(4))), rows, {"prompt": ""}, ("conv_id",))
+    return scenes.with_affixes(got, "p", "s").select("conv_id", "asked", F.col("i").alias("row_idx"), "prompt")
+
+
 def _scene_rows(spark: SparkSession, d: str) -> DataFrame:
     s = scenes.parse_scenes_v2(_json_scenes(spark, d), "json", "conv_id")
     return s.withColumn("pos", F.col("seq") - 1)
@@ -263,7 +294,9 @@ def largest_remainder(spark: SparkSession, d: str) -> DataFrame:
     return relay.largest_remainder(t.order_lengths(spark, d), 8, 31)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SHARES}, g AS (SELECT group_id, list(share ORDER BY pos) AS s, list(length ORDER BY pos) AS ls FROM h GROUP BY 1),
+r AS (SELECT group_id, s, ls, 1::BIGINT AS i FROM g UNION ALL SELECT group_id, CASE WHEN s[i] < 1 AND list_max(s) > 1 THEN list_transform(s, lambda v, j: CASE WHEN j = i THEN 1 WHEN j = list_position(s, list_max(s)) THEN v - 1 ELSE v END) ELSE s END, ls, i + 1 FROM r WHERE i <= len(s))
+SELECT group_id, unnest(range(0, len(s))) AS pos, unnest(ls) AS length, unnest(s)::BIGINT AS share FROM r WHERE i = len(s) + 1""")
 def min_one_repair(spark: SparkSession, d: str) -> DataFrame:
     return relay.min_one(relay.largest_remainder(t.order_lengths(spark, d), 8, 31))
 
@@ -399,6 +432,26 @@ def list_prompts(spark: SparkSession, d: str) -> DataFrame:
     return library.listing(t.files(spark, d), library.TEXTS)
 
 
+@query(_listing_sql(library.IMAGES))
+def list_images(spark: SparkSession, d: str) -> DataFrame:
+    return library.listing(t.files(spark, d), library.IMAGES)
+
+
+@query(_listing_sql(library.MANAGED_AUDIO))
+def list_managed_audio(spark: SparkSession, d: str) -> DataFrame:
+    return library.listing(t.files(spark, d), library.MANAGED_AUDIO)
+
+
+@query(_listing_sql(library.MANAGED_VIDEOS))
+def list_managed_videos(spark: SparkSession, d: str) -> DataFrame:
+    return library.listing(t.files(spark, d), library.MANAGED_VIDEOS)
+
+
+@query(f"WITH {_FILES}, x AS (SELECT folder || '/' || name AS path FROM fl WHERE lower(regexp_extract(name, '(\\.[^./]+)$', 1)) IN ('.wav', '.mp3', '.flac', '.ogg', '.m4a', '.aac')) SELECT row_number() OVER (ORDER BY path) - 1 AS pos, path FROM x")
+def list_audio_segments(spark: SparkSession, d: str) -> DataFrame:
+    return library.deep_listing(t.files(spark, d), library.AUDIO_SEGMENTS)
+
+
 @query(_listing_sql(library.MERGEABLE, most=" WHERE pos < 5"))
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     return library.listing(t.files(spark, d), library.MERGEABLE, most=5)
@@ -462,6 +515,16 @@ def uploaded_names(spark: SparkSession, d: str) -> DataFrame:
     return library.uploaded_names(new, library.next_number_count(docs))
 
 
+@query(f"""WITH {_FILES}, n AS (SELECT folder, count(*) AS c FROM fl GROUP BY 1),
+u AS (SELECT p_brand AS folder, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, p_partkey % 6 AS k FROM part)
+SELECT folder, pos, CASE WHEN k = 5 THEN 'name is empty' END AS error, CASE WHEN k < 5 THEN printf('%03d', c + pos) || ['.png', '.jpg', '.webp', '.png', '.png'][k + 1] END AS name FROM u JOIN n USING (folder)""")
+def uploaded_images(spark: SparkSession, d: str) -> DataFrame:
+    names = F.element_at(F.array(*(F.lit(x) for x in ("a.PNG", "b?.x.Jpg", "webp", "c.gif", "no extension", "?*"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    pos = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    new = t.table(spark, d, "part").select(F.col("p_brand").alias("folder"), pos.cast("long").alias("pos"), names.alias("name"))
+    return library.uploaded_images(new, library.next_number_count(t.files(spark, d)))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'name is empty' WHEN p_partkey % 7 = 0 THEN 'content is empty' END AS error,
   CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_name || '.TXT' ELSE p_name || '.txt' END AS saved_as FROM part""")
 def prompt_files(spark: SparkSession, d: str) -> DataFrame:
@@ -503,10 +566,12 @@ def pick_of_n(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "part").select("p_partkey", geometry.pick(index, F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("picked"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 7 ELSE 9 END::BIGINT AS n_sigmas, CASE o_orderkey % 3 WHEN 0 THEN 6.4746 WHEN 1 THEN 9.4268 ELSE 11.6742 END::DOUBLE AS second FROM orders""")
+@query("""WITH s AS (SELECT * FROM (VALUES (4, [14.6146, 6.4746, 1.9074, 0.4255, 0.0]), (6, [14.6146, 9.4268, 6.4746, 3.9665, 1.9074, 0.4255, 0.0]), (8, [14.6146, 11.6742, 9.4268, 7.5958, 6.0729, 3.9665, 1.9074, 0.6472, 0.0])) v(steps, xs))
+SELECT o_orderkey, unnest(range(0, len(xs))) AS i, unnest(xs)::DOUBLE AS sigma FROM orders JOIN s ON steps = 4 + 2 * (o_orderkey % 3) UNION ALL SELECT o_orderkey, -1, NULL FROM orders WHERE o_orderkey % 5 = 0""")
 def noise_schedules(spark: SparkSession, d: str) -> DataFrame:
-    s = geometry.sigmas(4 + 2 * (F.col("o_orderkey") % 3))
-    return t.table(spark, d, "orders").select("o_orderkey", F.size(s).cast("long").alias("n_sigmas"), F.get(s, F.lit(1)).alias("second"))
+    o = t.table(spark, d, "orders").select("o_orderkey", geometry.sigmas(4 + 2 * (F.col("o_orderkey") % 3)).alias("s"))
+    none = t.table(spark, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.lit(-1).cast("long").alias("i"), F.get(geometry.sigmas(F.lit(5)), F.lit(0)).alias("sigma"))
+    return o.select("o_orderkey", F.posexplode("s").alias("i", "sigma")).select("o_orderkey", F.col("i").cast("long").alias("i"), "sigma").union(none)
 
 
 @query("""SELECT event_id, floor(value + 0.5::DOUBLE)::BIGINT AS snapped, printf('%d:%05.2f', floor(value / 60)::BIGINT, value - floor(value / 60) * 60) AS clock, (floor(trunc(value * 24) / 8) * 8)::BIGINT AS down,
@@ -519,27 +584,32 @@ def scalar_times(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT page_id, url LIKE 'https://%' AS inside, lower(regexp_extract(url, '(\\.[^./]+)$', 1)) AS extension FROM pages")
+@query(r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true ELSE url LIKE 'https://%' END AS inside,
+  CASE WHEN page_id % 5 < 4 THEN '.md' ELSE lower(regexp_extract(url, '(\.[^./]+)$', 1)) END AS extension FROM pages""")
 def path_guard(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "pages").select("page_id", scalars.within(F.lit("https:/"), F.col("url")).alias("inside"), scalars.extension("url").alias("extension"))
+    """Below the base, beside it under a longer name, out of it by ``..``, with dots in a name, and as it is."""
+    made = ["https://a/x.md", "https:more/a/x.MD", "https://a/../../x.md", "https://a..b/..c/x.Md"]
+    url = F.coalesce(F.get(F.array(*(F.lit(x) for x in made)), (F.col("page_id") % 5).cast("int")), "url")
+    return t.table(spark, d, "pages").select("page_id", scalars.within(F.lit("https:/"), url).alias("inside"), scalars.extension(url).alias("extension"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def ordered_intersection(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "documents").select("doc_id").join(t.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    wanted = t.table(spark, d, "documents").select("doc_id", (-F.col("doc_id")).alias("pos"))
+    return library.ordered_existing(wanted, t.table(spark, d, "labels"), "doc_id").select("doc_id", "pos")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def existing_minus_kept(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "documents").select("doc_id").join(t.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return library.existing_but(t.table(spark, d, "documents").select("doc_id"), t.table(spark, d, "labels"), "doc_id")
 
 
-@query("""SELECT CASE WHEN event_id % 2 = 0 THEN 'say ' || event_id || 's: ' || event_type ELSE event_type END AS system_text, event_id, event_id % 3 = 0 AS media_kind_known FROM events""")
+@query("""SELECT CASE WHEN event_id % 4 > 0 THEN '请您根据要求生成一段总长度' || event_id % 4 || '秒的视频脚本；' || event_type ELSE event_type END AS system_text, event_id,
+  ['audio', 'video', NULL][event_id % 3 + 1] AS media_kind FROM events""")
 def prompt_options(spark: SparkSession, d: str) -> DataFrame:
-    e = t.table(spark, d, "events")
-    system = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("say "), F.col("event_id").cast("string"), F.lit("s: "), F.col("event_type"))).otherwise(F.col("event_type"))
-    kind: Column = library.mime_kind(F.when(F.col("event_id") % 3 == 0, F.lit("audio/wav")).otherwise(F.lit("text/plain")))
-    return e.select(system.alias("system_text"), "event_id", kind.isNotNull().alias("media_kind_known"))
+    k = F.col("event_id")
+    mime = F.element_at(F.array(F.lit("audio/wav"), F.lit("video/mp4"), F.lit("text/audio/")), (k % 3 + 1).cast("int"))
+    return t.table(spark, d, "events").select(library.system_prompt(F.col("event_type"), k % 4).alias("system_text"), "event_id", library.mime_kind(mime).alias("media_kind"))
 
 
 # bounds, paths and checks --------------------------------------------------
@@ -560,7 +630,30 @@ def most_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_WINDOWS}, r AS (SELECT conv_id AS group_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) SELECT group_id, pos, mid, win FROM w JOIN r USING (group_id, pos)")
 def zip_by_position(spark: SparkSession, d: str) -> DataFrame:
     windows = relay.segment_windows(relay.largest_remainder(t.order_lengths(spark, d), 8, 31))
-    return windows.join(_turns(spark, d).select(F.col("conv_id").alias("group_id"), "pos"), ["group_id", "pos"]).select("group_id", "pos", "mid", "win")
+    return relay.by_place(_turns(spark, d).select(F.col("conv_id").alias("group_id"), "pos"), windows).select("group_id", "pos", "mid", "win")
+
+
+_TOKEN_COST = r"""WITH c AS (SELECT conv_id AS group_id, turn AS pos, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n, ceil(31.0::DOUBLE / count(*) OVER (PARTITION BY conv_id))::BIGINT AS share FROM conversations),
+u AS (SELECT group_id, pos, share, 2 + sum(n) OVER (PARTITION BY group_id ORDER BY pos) AS last, n, sum(share) OVER (PARTITION BY group_id ORDER BY pos) - share AS cur FROM c),
+w AS (SELECT group_id, (last - n)::BIGINT AS first, last::BIGINT AS last, floor((2 * cur + share) / 2) AS mid, greatest(floor(share / 2) - 2, 0) AS win, 1.0::DOUBLE / ln(1.0::DOUBLE / 0.001::DOUBLE) AS sigma FROM u),
+x AS (SELECT *, greatest(abs({frame} - mid) - win, 0)::DOUBLE AS far FROM w, range(0, {n}) r(q))
+SELECT group_id, q, unnest(range(first, last)) AS k, round(far * far / (2 * sigma * sigma), 6) AS cost FROM x WHERE far > 0"""
+
+
+def _token_segments(spark: SparkSession, d: str) -> DataFrame:
+    c = t.table(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"))
+    windows = relay.segment_windows(relay.equal_lengths(c, 31).withColumnRenamed("length", "share"))
+    return relay.by_place(token_ranges(spark, d), windows)
+
+
+@query(_TOKEN_COST.format(frame="q // 4", n=24))
+def token_cost_video(spark: SparkSession, d: str) -> DataFrame:
+    return relay.token_cost(_token_segments(spark, d), 24, tokens_per_frame=4).withColumn("cost", F.round("cost", 6))
+
+
+@query(_TOKEN_COST.format(frame="q * 31 / 10.0::DOUBLE", n=10))
+def token_cost_scaled(spark: SparkSession, d: str) -> DataFrame:
+    return relay.token_cost(_token_segments(spark, d), 10, latent_frames=31).withColumn("cost", F.round("cost", 6))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '/abs/' || p_name ELSE 'input/' || p_name END AS first_candidate, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS n_candidates FROM part""")

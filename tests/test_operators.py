@@ -30,6 +30,12 @@ def test_nothing_left_is_the_whole(spark):
 
 
 def test_average_split(spark):
+    x, walk = 0.3, [0.3]
+    while x + 0.1 < 7.0:
+        x += 0.1
+        walk.append(x)
+    got = spark.createDataFrame([(0.3, 7.0), (2.0, 2.0), (3.0, 1.0)], "a double, b double").select(segments.cut_points(0.1)(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r.p for r in got] == [[*walk, 7.0], [2.0], [3.0]]
     assert rows(built(spark, 10, [], step=4), "s", "e") == [(0.0, 4.0), (4.0, 8.0), (8.0, 10.0)]
     assert built(spark, 10, [], step=0.1).count() == 101  # repeated addition
 
@@ -59,6 +65,43 @@ def test_timeline(spark):
     assert (got.timed_text, got.total_frames) == ("[0-60]:a\n[61-120]:b", 120)
 
 
+def test_timeline_rows_keep_what_comes_before_a_bad_field(spark):
+    import json
+
+    names = list(scenes.TIMELINE_FIELDS.values())
+    cases = [[3, 1, 2.5, "a"], ["3", "1.5", True, "b"], [3.9, "x", 2, "c"], [None, 1, 2, "d"], ["2.5", 1, 2, "e"], [1, 2, "1e1", 5], [1]]
+    made = [dict(zip(names, c, strict=False)) for c in cases] + ["bare", [1, 2], 7]
+    got = rows(scenes.parse_timeline(spark.createDataFrame([(1, json.dumps(made)), (2, "no json"), (3, "[]"), (4, None)], "k long, j string"), "j", "k"), "seq", "row_idx", "start_s", "end_s", "prompt")
+    none = (0, 0.0, 15.0, "")
+    assert [r[1:] for r in got] == [(3, 1.0, 2.5, "a"), (3, 1.5, 1.0, "b"), (3, 0.0, 15.0, ""), none, none, (1, 2.0, 10.0, "5"), (1, 0.0, 15.0, ""), none, none, none]
+
+
+def test_token_costs(spark):
+    """All pairs, one by one; later segments win where ranges overlap."""
+    segs = [(0, 7, 2, 1.5, 2, 5), (1, 20, 1, 1.5, 4, 6), (2, 28, 0, 1.5, 6, 6)]
+    df = spark.createDataFrame([(9, *s) for s in segs], "group_id long, pos long, mid long, win long, sigma double, first long, last long")
+    for kw, frame in (({"tokens_per_frame": 3}, lambda q: q // 3), ({"latent_frames": 31}, lambda q: q * 31 / 40)):
+        want = {}
+        for _, mid, win, sigma, first, last in segs:
+            for q in range(40):
+                for k in range(first, last):
+                    want[q, k] = max(0.0, abs(frame(q) - mid) - win) ** 2 / (2 * sigma**2)
+        got = {(r.q, r.k): r.cost for r in relay.token_cost(df, 40, **kw).collect()}
+        assert got == pytest.approx({k: v for k, v in want.items() if v > 0})
+
+
+def test_listings_and_orders(spark):
+    f = spark.createDataFrame([("b", "2.PNG"), ("b", "1.jpg"), ("a\\c", "x.wav"), ("a", "y.WAV"), ("a", "no"), (None, "z.jpg")], "folder string, name string")
+    assert rows(library.listing(f, library.IMAGES).where("folder is not null"), "folder", "pos", "name") == [("b", 0, "1.jpg"), ("b", 1, "2.PNG")]
+    assert library.listing(f, library.IMAGES).where("folder is null").first().pos == 0
+    assert rows(library.deep_listing(f, library.AUDIO_SEGMENTS), "pos", "path") == [(0, "a/c/x.wav"), (1, "a/y.WAV")]
+    assert library.listing(f.limit(0), library.IMAGES).count() == 0
+    o = spark.createDataFrame([(x, i) for i, x in enumerate("dxbax")], "k string, pos long")
+    e = spark.createDataFrame([(x,) for x in "abdz"], "k string")
+    assert sorted(library.ordered_existing(o, e, "k").select("pos", "k").collect()) == [(0, "d"), (1, "b"), (2, "a")]
+    assert rows(library.existing_but(e, o, "k"), "k") == [("z",)]
+
+
 def lengths(spark, values):
     return spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "group_id long, pos long, length long")
 

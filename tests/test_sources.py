@@ -1,12 +1,16 @@
 """Folders of files, sinks and streams."""
 
 import datetime
+import os
+import struct
 import wave
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuesheet.operators import audio, library
-from cuesheet.sources import files, sinks
+from cuesheet.sources import files, shared, sinks
 from cuesheet.streaming import windows
 
 
@@ -28,6 +32,46 @@ def test_folders(spark, tmp_path):
     assert rel == "sub/a.wav"
 
 
+def png(width, rows):
+    """A picture of red, green and blue bytes as PNG."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, len(rows), 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+
+
+def test_pictures_as_rgb(spark, tmp_path):
+    (tmp_path / "p.png").write_bytes(png(2, [[255, 0, 51, 0, 102, 0], [1, 2, 3, 4, 5, 6]]))
+    (tmp_path / "q.png").write_bytes(b"no picture")
+    got = files.rgb(files.images(spark, str(tmp_path))).collect()
+    assert len(got) == 1 and (got[0].height, got[0].width) == (2, 2)
+    assert got[0].pixels == pytest.approx([x / 255 for x in (255, 0, 51, 0, 102, 0, 1, 2, 3, 4, 5, 6)])
+    odd = spark.createDataFrame([(bytearray(b"\x33"), 1), (bytearray(b"\1\2\3\xff"), 4), (None, 3)], "data binary, n_channels int")
+    assert [r.pixels for r in files.rgb(odd).collect()] == [pytest.approx([0.2] * 3), pytest.approx([3 / 255, 2 / 255, 1 / 255]), None]
+
+
+def test_rows_are_numbered_within_groups(spark):
+    df = spark.range(3000).selectExpr("id", "hash(id) % 7 as h", "if(id % 3 = 0, null, string(id % 2)) as s").repartition(5)
+    got = sorted((r.s or "", r.pos, r.h) for r in shared.numbered(df, ["s", "h"], within="s").collect())
+    want = {}
+    for k, pos, h in got:
+        assert pos == want.setdefault(k, [0, -9])[0] and h >= want[k][1]
+        want[k] = [pos + 1, h]
+    assert shared.numbered(df.limit(0), "h").count() == 0
+
+
+def test_intermediate_tables_are_removed(spark):
+    before = len(shared._PATHS)
+    table = shared.cut(spark.range(5), "x")
+    path = shared._PATHS[table]
+    assert os.path.isdir(path) and len(shared._PATHS) == before + 1
+    shared.discard(table)
+    assert not os.path.exists(path)
+    other = shared.cut(spark.range(5), "x")
+    path = shared._PATHS[other]
+    shared.release(spark)
+    assert not os.path.exists(path)
+
+
 def test_sinks(spark, tmp_path):
     p = spark.createDataFrame([("a.txt", "one"), (None, "no")], "saved_as string, content string")
     sinks.write_prompts(p, str(tmp_path / "out"))
