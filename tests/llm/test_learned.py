@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cuesheet.llm import language_id, mixing, toxicity
-from tests.llm.test_exact import ODD, hashed, lpf, save
+from tests.llm.test_exact import ODD, lpf, save
+from tests.llm.test_near_dedup import kept as near_kept
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"aa": "ka mo ri tu sel".split(), "bb": "gro ven zich ast ule".split(), "cc": "ña ción ez quo lle".split()}
@@ -292,7 +293,7 @@ def test_pipeline(spark, tmp_path, corpus):
     texts = [prose(r, "aa", r.randint(30, 90)) for _ in range(40)]
     line = prose(r, "aa", 20)
     texts += [f"{texts[k]}\n{line}" for k in range(40, 40)] + [f"{prose(r, 'aa', 40)}\n{line}" for _ in range(4)]
-    texts += [texts[0], texts[1] + " extra", "123", None, prose(r, "aa", 30) + " " + corpus[0], "..."]
+    texts += [texts[0], texts[1] + " extra", " ".join(["one", *texts[2].split()[1:]]), "123", None, prose(r, "aa", 30) + " " + corpus[0], "..."]
     docs = [(i, t, "aa", r.choice(["hot", "hot", "b"]), len(t or "")) for i, t in enumerate(texts)]
     save(spark.createDataFrame(docs, DOC), tmp_path, "documents")
     save(spark.createDataFrame([(1, corpus[0])], "item_id long, text string"), tmp_path, "benchmark")
@@ -301,12 +302,8 @@ def test_pipeline(spark, tmp_path, corpus):
     left = [(i, t) for i, t, *_ in docs if re.search("[a-z]", t or "")]
     gone = lpf(left, 10)
     left = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in left]
-    fps = {i: hashed(t) for i, t in left}
-    group = {i: i for i, _ in left}
-    for _ in left:
-        for a in group:
-            group[a] = min(group[b] for b in group if (fps[a] ^ fps[b]).bit_count() <= 4)
-    left = [(i, t) for i, t in left if group[i] == i]
+    first = near_kept([t for _, t in left])
+    left = [x for k, x in enumerate(left) if k in first]
     item = re.findall(r"[^\W_]+", corpus[0].lower())
     windows = {tuple(item[k : k + 10]) for k in range(len(item) - 9)}
     words = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in left}
