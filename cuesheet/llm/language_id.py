@@ -1,12 +1,18 @@
 """Language identification with a bit-sliced Bloom filter of character n-grams.
 
-A language contains an n-gram (of ``N`` characters) if any of its training
-texts does; which ones is found out over all of them. The filter has one slot
-for each hash value and one bit for each language in a slot; the AND of an
-n-gram's slots is the set of languages that contain it, so one lookup serves
-all languages. It has at least ``ROOM`` slots for each n-gram of the language
-that contains most, as far as ``MAX_BYTES`` go, which bounds what is broadcast;
-beyond that there are more false positives, for which scores are corrected.
+N-grams (of ``N`` characters) are counted by language over all training texts. A
+language contains an n-gram if that makes up at least ``RELATIVE`` of the share
+that it has in the language where it is most frequent; what is rarer is taken
+for wrong labels and quotations, of which enough are found in every language
+once there is enough text. (With 0 for ``RELATIVE`` all n-grams of all texts
+are contained, which suits only clean labels or few texts.)
+
+The filter has one slot for each hash value and one bit for each language in a
+slot; the AND of an n-gram's slots is the set of languages that contain it, so
+one lookup serves all languages. It has at least ``ROOM`` slots for each n-gram
+of the language that contains most, as far as ``MAX_BYTES`` go, which bounds
+what is broadcast; beyond that there are more false positives, for which scores
+are corrected.
 
 A text's score for a language is the number of its n-grams in that language,
 less those expected by false positives; the largest wins, equal ones by the
@@ -35,6 +41,8 @@ from cuesheet.llm.common import crc_mod, cut, discard, fresh, table, text_batche
 UNKNOWN = "und"
 N = 4
 HASHES = 3
+#: Share of an n-gram in a language, by its largest share in any, from which on the language contains it.
+RELATIVE = 0.3
 ROOM = 32
 #: Bytes of a filter, at most.
 MAX_BYTES = 1 << 28
@@ -111,21 +119,30 @@ class LanguageFilter:
         return self.names[best], float(min(1.0, found[best]))
 
 
-def contained(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, code): the n-grams of all texts of each language, made distinct in each batch before the shuffle."""
+def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, code, n) over all texts, counted in each batch before the shuffle."""
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).extend(grams(text))
             for lang, parts in by.items():
-                codes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64))], ["lang", "code"])
+                codes, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    return slim.mapInArrow(collect, "lang string, code long").distinct()
+    return slim.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def contained(counts: DataFrame, relative: float = RELATIVE) -> DataFrame:
+    """(lang, code): the n-grams of each language whose share of its n-grams is ``relative`` or more of their largest share in any language."""
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
+    shares = counts.join(F.broadcast(totals), "lang").select("lang", "code", (F.col("n") / F.col("total")).alias("share"))
+    by_code = shares.groupBy("code").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("each"))  # as many as languages
+    held = F.filter("each", lambda x: x["share"] >= relative * F.col("top"))["lang"]
+    return by_code.select("code", F.explode(held).alias("lang")).select("lang", "code")
 
 
 def slots_for(most: int, languages: int) -> int:
@@ -135,13 +152,13 @@ def slots_for(most: int, languages: int) -> int:
     return min(wanted, 1 << (allowed.bit_length() - 1))
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", relative: float = RELATIVE) -> LanguageFilter:
     """The filter of these texts and languages.
 
     Its blocks are filled by tasks; the driver gets the bytes, ``MAX_BYTES`` at
     most, and a count for each language, as many as there are labels.
     """
-    held = cut(contained(docs, text_col, lang_col), "contained")
+    held = cut(contained(cut(gram_counts(docs, text_col, lang_col), "grams"), relative), "contained")
     sizes = {r.lang: r["count"] for r in held.groupBy("lang").count().collect()}
     names = sorted(sizes)
     slots, width = slots_for(max(sizes.values(), default=0), len(names)), max(1, -(-len(names) // 8))

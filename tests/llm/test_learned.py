@@ -55,14 +55,18 @@ def test_language(spark, tmp_path):
     assert language_id.keep_identified(docs.limit(0)).count() == 0
 
 
-def test_filter_holds_what_languages_contain(spark, tmp_path):
+@pytest.mark.parametrize("relative", [0.0, language_id.RELATIVE])
+def test_filter_holds_what_languages_contain(spark, relative):
     """Slots and predictions against plain sets; nothing that a language contains is missing."""
     rows, docs = docs_in_languages(spark)
-    model = language_id.learn(docs)
-    slots, by = len(model.masks), {}
+    model = language_id.learn(docs, relative=relative)
+    slots, counts = len(model.masks), {}
     for _, text, lang, *_ in rows:
         if lang and text is not None:
-            by.setdefault(lang, set()).update(g for part in language_id.grams(text) for g in part.tolist())
+            counts.setdefault(lang, Counter()).update(g for part in language_id.grams(text) for g in part.tolist())
+    share = lambda lang, g: counts[lang][g] / counts[lang].total()
+    by = {lang: {g for g in c if share(lang, g) >= relative * max(share(x, g) for x in counts)} for lang, c in counts.items()}
+    assert relative > 0 or all(len(by[x]) == len(counts[x]) for x in by)
     assert model.names == sorted(by)
     places = lambda g: [int(language_id.slots_of(np.array([g], np.uint64), k, slots)[0]) for k in range(language_id.HASHES)]
     filled = [{p for g in by[lang] for p in places(g)} for lang in model.names]
