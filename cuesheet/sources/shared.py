@@ -88,11 +88,6 @@ def discard(*tables: DataFrame) -> None:
             _remove(jvm, conf, path)
 
 
-def part_of(own: str = "_own") -> Column:
-    """The partition that a ``monotonically_increasing_id`` came from."""
-    return F.shiftright(own, 33)
-
-
 def numbered(df: DataFrame, keys: str | list[str | Column], pos: str = "pos", within: str | None = None) -> DataFrame:
     """Adds places from 0 in the order of ``keys``, without bringing all rows together.
 
@@ -102,10 +97,16 @@ def numbered(df: DataFrame, keys: str | list[str | Column], pos: str = "pos", wi
     before, one row for each (and each value of ``within``), are added.
     """
     keys = [keys] if isinstance(keys, str) else keys
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    at, part, group, first, size, before = (mark + name for name in ("at", "part", "group", "first", "size", "before"))
     parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    own = cut(parts.withColumn("_own", F.monotonically_increasing_id()), "numbered")
-    group = [F.col(within).alias("_group")] if within else [F.lit(0).alias("_group")]
-    sizes = own.select("_own", part_of().alias("_part"), *group).groupBy("_group", "_part").agg(F.min("_own").alias("_first"), F.count("*").alias("_size"))
-    before = sizes.select("_group", "_part", (F.sum("_size").over(Window.partitionBy("_group").orderBy("_part")) - F.col("_size") - F.col("_first")).alias("_before"))
-    on = (part_of() == F.col("_part")) & (F.col(within).eqNullSafe(F.col("_group")) if within else F.lit(True))
-    return own.join(F.broadcast(before), on).withColumn(pos, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before", "_group")
+    # its upper bits are the partition, its lower ones the place there
+    own = cut(parts.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    of = F.shiftright(at, 33)
+    sizes = own.select(at, of.alias(part), (F.col(within) if within else F.lit(0)).alias(group)).groupBy(group, part).agg(F.min(at).alias(first), F.count("*").alias(size))
+    ahead = F.sum(size).over(Window.partitionBy(group).orderBy(part)) - F.col(size)
+    offsets = sizes.select(group, part, (ahead - F.col(first)).alias(before))
+    on = (of == F.col(part)) & (F.col(within).eqNullSafe(F.col(group)) if within else F.lit(True))
+    return own.join(F.broadcast(offsets), on).withColumn(pos, F.col(before) + F.col(at)).drop(part, at, before, group)
