@@ -292,6 +292,32 @@ def test_mixing(spark, monkeypatch):
     assert len({x.mix_order for x in few}) == len(got) and max(x.mix_slot for x in few) < 34
 
 
+def test_more_sources_than_places(spark, monkeypatch):
+    """Sources share places in the schedule, and take turns there by their weights."""
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    docs = spark.createDataFrame([(k, str(k), "en", f"s{k % 12}", 9) for k in range(2400)], DOC).withColumn("group", F.lit(1)).withColumn("weight", F.lit(2))
+    weights = {f"s{k}": 1 + k % 4 for k in range(11)}
+    got = mixing.mix(docs, weights, block=2).orderBy("mix_order").collect()
+    assert len(got) == 2400 == len({x.mix_order for x in got}) == len({x.doc_id for x in got})
+    assert docs.columns + ["mix_slot", "mix_order"] == list(got[0].asDict())
+    group = dict(spark.createDataFrame([(f"s{k}",) for k in range(12)], "s string").select("s", F.pmod(F.xxhash64("s"), F.lit(3))).collect())
+    total = Counter()
+    for name, g in group.items():
+        total[g] += weights.get(name, 0)
+    had, seen, out = Counter(), Counter(), set()
+    for x in got:
+        g = group[x.source]
+        seen[g] += 1
+        had[x.source] += 1
+        if not out & {k for k in group if group[k] == g}:
+            for name in group:
+                if group[name] == g:
+                    assert abs(had[name] - seen[g] * weights.get(name, 0) / total[g]) < 1.5
+        if had[x.source] == 200:
+            out.add(x.source)
+    assert mixing.mix(docs).count() == 2400
+
+
 def test_pipeline(spark, tmp_path, corpus):
     r = random.Random(6)
     texts = [prose(r, "aa", r.randint(30, 90)) for _ in range(40)]
