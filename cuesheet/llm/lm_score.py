@@ -162,11 +162,11 @@ def block_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class BloomCounts:
-    """Blocks of the filter behind one another: those from ``first`` on, of ``n_blocks`` in all."""
+    """Blocks of the filter (bytes or buffers) behind one another: those from ``first`` on, of ``n_blocks`` in all."""
 
-    def __init__(self, blocks: list[bytes], n_blocks: int | None = None, first: int = 0):
+    def __init__(self, blocks: list, n_blocks: int | None = None, first: int = 0):
         self.bits = np.frombuffer(b"".join(blocks), np.uint8)
-        self.sizes = np.array([len(b) * 8 for b in blocks], np.int64)
+        self.sizes = np.array([memoryview(b).nbytes * 8 for b in blocks], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         self.n_blocks, self.first = n_blocks or len(blocks), first
 
@@ -277,6 +277,13 @@ def filter_blocks(shares: DataFrame) -> DataFrame:
     return shares.groupBy("block").applyInArrow(build, "block int, bits binary")
 
 
+def collected(blocks: DataFrame, n_blocks: int) -> BloomCounts:
+    """The whole filter, for a size that has been checked."""
+    got = blocks.toArrow()
+    bits = dict(zip(got["block"].to_pylist(), got["bits"], strict=True))
+    return BloomCounts([bits[k].as_buffer() if k in bits else bytes(8) for k in range(n_blocks)])
+
+
 def frequent_words(vocabulary: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
     """The most frequent words with their counts: as many whole frequency classes as hold ``most`` words at most."""
     step = F.floor(F.log(1.05, F.col("n"))).alias("step")
@@ -307,11 +314,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     blocks = cut(filter_blocks(pair_shares(trained, n_blocks, text_col)), "filter")
     size = blocks.agg(F.sum(F.length("bits"))).first()[0] or 0
     fits = size <= max_filter_mb << 20
-    kept = {}
-    if fits:
-        got = blocks.toArrow()
-        kept = dict(zip(got["block"].to_pylist(), got["bits"].to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((BloomCounts([kept.get(k, bytes(8)) for k in range(n_blocks)]), frequent_words(vocabulary)))
+    shared = spark.sparkContext.broadcast((collected(blocks, n_blocks) if fits else None, frequent_words(vocabulary)))
     kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.string(), "times": pa.int64()}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +325,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             return {"log": logs, "count": filter_.counts(hashes) if fits else np.zeros(len(new))}
 
         words = Words(describe)
-        started = filter_.counts(np.array([START_KEY]))[0]
+        started = filter_.counts(np.array([START_KEY]))[0] if fits else 0.0
         for b in batches:
             head, rids = b.drop_columns(["text"]), np.asarray(b.column("rid"))
             for lo in range(0, b.num_rows, GROUP):
