@@ -14,8 +14,8 @@ as the longest of the shortest runs has. Neighbours in the array get their
 longest common prefix by going down the levels of ranks. Where it is shorter
 than the shortest run at a suffix, an interval of the array ends: all suffixes
 of an interval begin with one repeated run. Its first start stays, and the runs
-at its other starts are deleted. The same is done with the lines in reverse
-order, for the runs up to each line. Together they cover the later copies of
+at its other starts are deleted. The array holds the stretches in reverse order,
+too, for the runs up to each line. Together they cover the later copies of
 all maximal repeated runs: a line of such a copy either begins a shortest run
 inside it, or is in the one that the copy ends with. Overlapping intervals are
 merged in order, by a running maximum of their ends.
@@ -130,15 +130,20 @@ def intervals(array: DataFrame, lcp: DataFrame) -> DataFrame:
     return marked.withColumn("here", here).join(F.broadcast(before), "part").withColumn("left", F.coalesce("here", "before")).drop("here", "before", "part", "begins")
 
 
-def later_runs(lines: DataFrame, min_words: int = MIN_WORDS, reverse: bool = False) -> DataFrame:
-    """(rid, low, high): the shortest runs from each line on that also start earlier; those up to each line where ``reverse``."""
-    turned = lines.withColumn("pos", -F.col("pos")) if reverse else lines
-    runs = cut(shortest_runs(turned, min_words), "runs")
+def both_ways(lines: DataFrame) -> DataFrame:
+    """``lines`` and, as sequences of their own, the same in reverse order: even and odd ``rid``; ranks below 0 keep them apart."""
+    back = lines.withColumns({"rid": F.col("rid") * 2 + 1, "pos": -F.col("pos"), "rank": -F.col("rank")})
+    return lines.withColumn("rid", F.col("rid") * 2).unionByName(back)
+
+
+def later_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(rid, low, high): the shortest runs from each line on, and up to each line, that also start earlier."""
+    runs = cut(shortest_runs(both_ways(lines), min_words), "runs")
     longest = runs.agg(F.max("size")).first()[0] or 1
     levels = doubled(runs, longest)
-    sized = runs.where("size is not null").select("rid", "pos", "id", "size")
-    low = -(F.col("pos") + F.col("size") - 1) if reverse else F.col("pos")
-    members = cut(sized.join(levels[-1].select("rid", "pos", "rank"), ["rid", "pos"]).withColumn("low", low), "members")
+    low = F.when(F.col("rid") % 2 == 0, F.col("pos")).otherwise(1 - F.col("pos") - F.col("size"))
+    sized = runs.where("size is not null").select("rid", "pos", "id", "size", low.alias("low"))
+    members = cut(sized.join(levels[-1].select("rid", "pos", "rank"), ["rid", "pos"]), "members")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid", "low", "pos")).alias("first")
     groups = members.groupBy("rank").agg(first, F.max("size").alias("size"), F.count("*").alias("n"))
     array = suffix_array(groups.select("rank", "size", "n", "first", "first.rid", "first.pos"))
@@ -146,7 +151,7 @@ def later_runs(lines: DataFrame, min_words: int = MIN_WORDS, reverse: bool = Fal
     whole = cut_up.groupBy("left").agg(F.min("first").alias("whole"), F.sum("n").alias("copies")).where("copies > 1")
     kept = cut(cut_up.select("rank", "left").join(whole, "left").select("rank", F.col("whole.rid").alias("f_rid"), F.col("whole.low").alias("f_low")), "firsts")
     copies = members.join(kept, "rank").where("rid <> f_rid or low <> f_low")
-    out = cut(copies.select("rid", "low", (F.col("low") + F.col("size") - 1).alias("high")), "copies")
+    out = cut(copies.select(F.shiftright("rid", 1).alias("rid"), "low", (F.col("low") + F.col("size") - 1).alias("high")), "copies")
     discard(*levels, runs, members, array, cut_up, kept)
     return out
 
@@ -163,7 +168,9 @@ def merged(runs: DataFrame) -> DataFrame:
 def later_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(rid, gone) of written rows (rid, id, text): the runs of lines, numbered from 0, to delete from each document that has any."""
     lines = stretches(rows, min_words)
-    return cut(merged(later_runs(lines, min_words).union(later_runs(lines, min_words, reverse=True))), "gone")
+    out = cut(merged(later_runs(lines, min_words)), "gone")
+    discard(lines)
+    return out
 
 
 def without(text: Column, gone: Column) -> Column:
