@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import cut, fresh, table, text_batches
+from cuesheet.llm.common import cut, few, fresh, table, text_batches
 
 WINDOW = 10
 LEAST_BITS = 16
@@ -221,7 +221,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     # written, so that a row keeps its number: scans need not be split alike
     rows = cut(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
     bad = contamination(rows, benchmark, window, text_col, id_col, item_text_col, carry=(rid,)).where(F.size("hits") > 0)
-    return rows.join(bad.select(F.col("c0").alias(rid)), rid, "left_anti").drop(rid)
+    return rows.join(few(cut(bad.select(F.col("c0").alias(rid)), "contaminated")), rid, "left_anti").drop(rid)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import cut, discard, fresh, text_batches
+from cuesheet.llm.common import cut, discard, few, fresh, text_batches
 from cuesheet.llm.components import components
 from cuesheet.llm.simhash import majority, near_links, shingle_hashes
 
@@ -105,7 +105,7 @@ def anchored(sets: DataFrame) -> DataFrame:
     """(x, y): candidates out of ``sets`` (row, fp): rows of one fingerprint, and of fingerprints that meet at an anchor."""
     first = cut(sets.groupBy("fp").agg(F.min("row").alias("rep")), "fingerprints")
     same = sets.join(first, "fp").where("row <> rep").select(F.col("row").alias("x"), F.col("rep").alias("y"))
-    near = cut(near_links(first.select("fp")), "links")
+    near = near_links(first.select("fp"))
     at = lambda c, name: first.select(F.col("fp").alias(c), F.col("rep").alias(name))
     return cut(same.union(near.join(at("a", "x"), "a").join(at("b", "y"), "b").where("x <> y").select("x", "y")), "anchored")
 
@@ -151,12 +151,12 @@ def near_rows(rows: DataFrame, tile: int = TILE, weight: int = WEIGHT) -> DataFr
     chosen = cut(marked.join(one.select(F.col("row").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("row"), "fp", "size", "bands"), "chosen")
     pairs = anchored(chosen.select("row", "fp"))
     sent = cut(chosen.select("row", "size", F.explode("bands").alias("cell")), "bands")
-    shared = sent.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("held"), *(F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(20,0)")).alias(f"m{k}") for k in range(2))).where("n > 1")
+    shared = sent.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("held"), *(F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"m{k}") for k in range(2))).where("n > 1")
     cells = cut(shared.groupBy("n", "held", "m0", "m1").agg(F.min("cell").alias("cell")).select("cell", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("held") / weight)).cast("long").alias("tiles")), "cells")
     members = cut(sent.join(cells, "cell").select("cell", "tiles", "row"), "members")
     discard(chosen, sent)
-    involved = members.select("row").union(pairs.select("x")).union(pairs.select("y")).distinct()
-    sets = cut(rows.join(involved.select(F.col("row").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("row"), hashes(text).alias("shingles")), "shingles")
+    involved = cut(members.select(F.col("row").alias("rid")).union(pairs.select("x")).union(pairs.select("y")).distinct(), "involved")
+    sets = cut(rows.join(few(involved), "rid", "left_semi").select(F.col("rid").alias("row"), hashes(text).alias("shingles")), "shingles")
     # cells of one tile are (0, 0); a row of a larger cell goes to each pair of tiles that has its own
     own = F.pmod(F.xxhash64("row"), "tiles")
     dealt = members.select("cell", "row", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
@@ -176,4 +176,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = cut(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     found = near_rows(rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best"))
-    return rows.join(best.select(F.col("best.rid").alias(rid)), rid, "left_semi").drop(rid)
+    copies = cut(found.join(best, "root").where("rid <> best.rid").select(F.col("rid").alias(rid)), "copies")
+    return rows.join(few(copies), rid, "left_anti").drop(rid)

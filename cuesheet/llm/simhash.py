@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import cut, fresh, table, text_batches
+from cuesheet.llm.common import cut, discard, few, fresh, table, text_batches
 from cuesheet.llm.components import components
 
 MAX_DIFF = 4
@@ -185,7 +185,9 @@ def near_links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), "tiles")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     cells = dealt.select("cell", "fp", own.alias("own"), other.alias("other")).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_compare, "a long, b long").distinct()
+    out = cut(cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_compare, "a long, b long").distinct(), "links")
+    discard(sent)
+    return out
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, rid: Column | None = None) -> DataFrame:
@@ -211,7 +213,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     rows = cut(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
     found = near_components(rows, id_col, text_col, size, F.col(rid))
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best"))
-    return rows.join(best.select(F.col("best.rid").alias(rid)), rid, "left_semi").drop(rid)
+    copies = cut(found.join(best, found["component"].eqNullSafe(best["component"])).where("rid <> best.rid").select(F.col("rid").alias(rid)), "copies")
+    return rows.join(few(copies), rid, "left_anti").drop(rid)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
