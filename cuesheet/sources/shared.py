@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +16,10 @@ _OWN: dict[str, str] = {}
 #: application -> (JVM, Hadoop configuration, folder): what to remove at the end.
 _HELD: dict[str, tuple] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: What is being told of new tables, by ``recording``.
+_RECORDS: list[list[str]] = []
+#: Rows of a key or two up to which a table is broadcast to whole rows, so that they need no shuffle.
+FEW = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +79,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     ``discard``, ``release`` or the end of the driver's process.
     """
     path = f"{_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for record in _RECORDS:
+        record.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
@@ -88,13 +96,37 @@ def discard(*tables: DataFrame) -> None:
             _remove(jvm, conf, path)
 
 
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of the tables that ``cut`` writes meanwhile, for ``remove``."""
+    record: list[str] = []
+    _RECORDS.append(record)
+    try:
+        yield record
+    finally:
+        _RECORDS.remove(record)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables by path; those that are gone already don't matter."""
+    held = _HELD.get(spark.sparkContext.applicationId)
+    for path in paths if held else []:
+        _remove(held[0], held[1], path)
+
+
+def few(written: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table, to be broadcast if it has ``most`` rows at most; else joined as Spark plans it."""
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def numbered(df: DataFrame, keys: str | list[str | Column], pos: str = "pos", within: str | None = None) -> DataFrame:
     """Adds places from 0 in the order of ``keys``, without bringing all rows together.
 
     With ``within``, the first of ``keys``, rows of each of its values are numbered
     by themselves. A range sort gives partitions in order. They are written with
     the place of each row in its partition, and the sizes of the partitions
-    before, one row for each (and each value of ``within``), are added.
+    before are added: one row for each, and, with ``within``, for each partition
+    that a value is in, which are broadcast if they are few.
     """
     keys = [keys] if isinstance(keys, str) else keys
     mark = "_"
@@ -109,4 +141,4 @@ def numbered(df: DataFrame, keys: str | list[str | Column], pos: str = "pos", wi
     ahead = F.sum(size).over(Window.partitionBy(group).orderBy(part)) - F.col(size)
     offsets = sizes.select(group, part, (ahead - F.col(first)).alias(before))
     on = (of == F.col(part)) & (F.col(within).eqNullSafe(F.col(group)) if within else F.lit(True))
-    return own.join(F.broadcast(offsets), on).withColumn(pos, F.col(before) + F.col(at)).drop(part, at, before, group)
+    return own.join(few(cut(offsets, "offsets")) if within else F.broadcast(offsets), on).withColumn(pos, F.col(before) + F.col(at)).drop(part, at, before, group)
