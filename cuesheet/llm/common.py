@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.sources.shared import cut, discard
+from cuesheet.sources.shared import cut, discard, few
 
 __all__ = ["crc_mod", "cut", "discard", "few", "fresh", "table", "text_batches"]
 
@@ -26,15 +26,6 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-#: Rows of a key or two up to which a table is broadcast to whole texts, so that they need no shuffle.
-FEW = 1 << 20
-
-
-def few(written: DataFrame, most: int = FEW) -> DataFrame:
-    """A written table, to be broadcast if it has ``most`` rows at most; else joined as Spark plans it."""
-    return F.broadcast(written) if written.count() <= most else written
-
-
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """Names like ``wanted`` that clash with none of ``taken`` (Spark ignores case)."""
     low, out = {c.lower() for c in taken}, []

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import cut, discard, fresh, table
+from cuesheet.llm.common import cut, discard, few, fresh, table
 from cuesheet.sources.shared import numbered
 
 MIN_WORDS = 10
@@ -124,10 +124,13 @@ def intervals(array: DataFrame, lcp: DataFrame) -> DataFrame:
     part = F.floor(F.col("place") / SLICE).alias("part")
     marked = cut(joined.select("*", begins.alias("begins"), part), "marked")
     here = F.max("begins").over(Window.partitionBy("part").orderBy("place"))
-    # a row for each slice, and the last begin before it
-    sums = marked.groupBy("part").agg(F.max("begins").alias("last"))
-    before = sums.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    return marked.withColumn("here", here).join(F.broadcast(before), "part").withColumn("left", F.coalesce("here", "before")).drop("here", "before", "part", "begins")
+    # a row for each slice, and the last begin before it: in its block of slices, or in a block before
+    block = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(marked.groupBy("part").agg(F.max("begins").alias("last")).withColumn("block", F.floor(F.col("part") / SLICE)), "slices")
+    ends = sums.groupBy("block").agg(F.max("last").alias("end"))
+    earlier = ends.select("block", F.max("end").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    before = cut(sums.withColumn("own", F.max("last").over(block)).join(F.broadcast(earlier), "block").select("part", F.coalesce("own", "earlier").alias("before")), "before")
+    return marked.withColumn("here", here).join(few(before), "part").withColumn("left", F.coalesce("here", "before")).drop("here", "before", "part", "begins")
 
 
 def both_ways(lines: DataFrame) -> DataFrame:

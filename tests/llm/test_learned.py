@@ -2,11 +2,11 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
 from itertools import islice
-from math import ceil, floor
 
 import numpy as np
 import pytest
@@ -228,16 +228,54 @@ def test_toxicity_without_labels(spark, make, tmp_path):
 WEIGHTS = [{"a": 0.5, "b": 0.3, "c": 0.137, "d": 0.063}, {"a": 1}, {str(k): 1 / (k + 1) for k in range(40)}, {"a": 1e9, "b": 1, "c": 1}, {"a": 0.9999, "b": 0.0001}]
 
 
+def fluid(blocks, weights):
+    """What each source has been served after each slot, by going from one end of a source to the next."""
+    left, t, had, out = {s: Fraction(n) for s, n in blocks.items()}, Fraction(0), dict.fromkeys(blocks, Fraction(0)), []
+    while left:
+        total = sum(weights[s] for s in left)
+        until = min(t + min(left[s] * total / weights[s] for s in left), Fraction(len(out) + 1))
+        for s in list(left):
+            got = (until - t) * weights[s] / total
+            had[s] += got
+            left[s] -= got
+            if not left[s]:
+                del left[s]
+        t = until
+        if t == len(out) + 1:
+            out.append(dict(had))
+    return out
+
+
 @pytest.mark.parametrize("weights", WEIGHTS)
-def test_schedule_equals_a_direct_one(weights):
-    """Slot by slot, looking at all sources: release and deadline from the weights themselves."""
-    exact = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+def test_schedule_stays_within_a_block_of_the_fluid(weights):
+    """To the last slot, whichever source runs out, and slot by slot as a direct search has it."""
+    r = random.Random(len(weights))
+    blocks = {s: r.choice([1, 2, 7, 40, 90]) for s in weights}
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    target, got = fluid(blocks, exact), list(mixing.earliest_deadlines(blocks, exact))
+    assert len(got) == len(target) == sum(blocks.values())
     had = dict.fromkeys(weights, 0)
-    for slot, got in zip(range(3000), mixing.earliest_deadlines(exact), strict=False):
-        due = [(ceil((had[s] + 1) / w), s) for s, w in exact.items() if floor(had[s] / w) <= slot]
-        assert got == (min(due)[1], had[min(due)[1]])
-        had[got[0]] += 1
-        assert all(abs(had[s] - w * (slot + 1)) < 1 for s, w in exact.items())
+    for (s, i), want in zip(got, target, strict=True):
+        assert i == had[s]
+        had[s] += 1
+        assert all(abs(had[x] - want[x]) < 1 for x in had)
+
+
+def test_one_large_source_among_many():
+    sizes = {"large": 1250, **{str(k): 4 + 7 * k % 16 for k in range(39)}}
+    for weights in (dict.fromkeys(sizes, Fraction(1)), {s: Fraction(n**0.5) for s, n in sizes.items()}):
+        had = Counter()
+        for (s, _), want in zip(mixing.earliest_deadlines(sizes, weights), fluid(sizes, weights), strict=True):
+            had[s] += 1
+            assert all(abs(had[x] - want[x]) < 1 for x in sizes)
+
+
+def test_many_sources_are_scheduled_quickly():
+    sizes = {str(k): 1 + k % 5 for k in range(5000)}
+    weights = {s: Fraction((n * 16) ** 0.5) for s, n in sizes.items()}
+    began = time.process_time()
+    got = list(mixing.earliest_deadlines(sizes, weights))
+    assert time.process_time() - began < 5 and len(set(got)) == sum(sizes.values())
 
 
 @pytest.mark.parametrize("weights", [{"a": 730000**0.5, "b": 110000**0.5, "c": 9000**0.5, "d": 40**0.5}, {"a": 0.9999, "b": 0.0001}])
@@ -245,7 +283,8 @@ def test_deviation_over_a_million_slots(weights):
     names, n = sorted(weights), 1_000_000
     total = sum(map(Fraction, weights.values()))
     share = [Fraction(weights[s]) / total for s in names]
-    got = np.array([names.index(s) for s, _ in islice(mixing.earliest_deadlines(dict(zip(names, share, strict=True))), n)])
+    endless = mixing.earliest_deadlines(dict.fromkeys(names, 10**12), dict(zip(names, share, strict=True)))
+    got = np.array([names.index(s) for s, _ in islice(endless, n)])
     for k, w in enumerate(share):
         had = np.cumsum(got == k).astype(np.longdouble)
         target = np.arange(1, n + 1).astype(np.longdouble) * (np.longdouble(w.numerator) / np.longdouble(w.denominator))
