@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, language_id, license_scan, line_dedup, lm_score, media, mixing, prefix_trie, secret_scan, simhash, toxicity, vector_codes
+from cuesheet.llm import decontaminate, language_id, license_scan, line_dedup, lm_score, media, minhash, mixing, prefix_trie, secret_scan, simhash, toxicity, vector_codes
 
-_MODULES = (media, decontaminate, lm_score, secret_scan, license_scan, language_id, simhash, line_dedup, toxicity, mixing, vector_codes, prefix_trie)
+_MODULES = (media, decontaminate, lm_score, secret_scan, license_scan, language_id, simhash, line_dedup, toxicity, mixing, minhash, vector_codes, prefix_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
