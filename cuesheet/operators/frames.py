@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuesheet.operators.ordered import with_neighbours
+
 
 def frame_counts(frames: DataFrame, group: str = "seq_id") -> DataFrame:
     return frames.groupBy(group).agg(F.count("*").alias("n_frames"))
@@ -62,10 +64,15 @@ def first_last(wanted: DataFrame, files: DataFrame, transition: Column) -> DataF
 
 
 def nearest_marker(markers: DataFrame, probes: DataFrame, asset: str = "asset_id") -> DataFrame:
-    """Each probe (asset, t, duration) with the nearest marker's position; none farther than ``max(0.2, duration / 100)``.
+    """Each probe (asset, t, duration, ...) that has a marker near enough, with that marker's ``pos`` and its ``distance``.
 
-    The first of equally near markers wins. One aggregation over the probe's asset, no ranking.
+    None is near that is farther than ``max(0.2, duration / 100)``. The first of
+    equally near markers wins. Only the last marker before a probe and the first
+    one behind it can be nearest, so there are no pairs of all probes and markers.
     """
-    far = F.abs(F.col("sec") - F.col("t"))
-    pairs = probes.join(markers, asset).where(far <= F.greatest(F.lit(0.2), F.col("duration") / 100))
-    return pairs.groupBy(asset, "t").agg(F.min(F.struct(far.alias("d"), F.col("pos"))).alias("_m")).select(asset, "t", F.col("_m.pos").alias("pos"), F.col("_m.d").alias("distance"))
+    points = markers.where("sec is not null").groupBy(asset, "sec").agg(F.min("pos").alias("pos"))
+    found = with_neighbours(probes, points, asset, "t", "sec", "_before", "_after")
+    near = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.sec") - F.col("t")).alias("d"), F.col(f"{side}.pos").alias("pos")))
+    best = found.withColumn("_m", F.least(near("_before"), near("_after")))
+    close = best.where(F.col("_m.d") <= F.greatest(F.lit(0.2), F.col("duration") / 100))
+    return close.select(*probes.columns, F.col("_m.pos").alias("pos"), F.col("_m.d").alias("distance"))

@@ -98,18 +98,55 @@ def by_place(ranges: DataFrame, windows: DataFrame, group: str = "group_id") ->
     return ranges.join(windows, [group, "pos"])
 
 
-def token_cost(segments: DataFrame, n_queries: int, tokens_per_frame: int | None = None, latent_frames: int | None = None, group: str = "group_id") -> DataFrame:
-    """(group, q, k, cost): what query token ``q`` pays for token ``k`` of a segment's range, for all pairs that pay something.
+def owned_ranges(segments: DataFrame, group: str = "group_id") -> DataFrame:
+    """``segments`` (pos, first, last, ...) with ranges that don't overlap: of those that share a token, the one of the largest ``pos`` keeps it.
+
+    Ranges are cut at all bounds of their group that lie inside them, a piece
+    belongs to its last segment, and pieces of one segment that touch are one range again.
+    """
+    real = segments.where("last > first")
+    bounds = real.groupBy(group).agg(F.array_sort(F.array_union(F.collect_set("first"), F.collect_set("last"))).alias("_b"))
+    inside = F.filter("_b", lambda x: (x >= F.col("first")) & (x <= F.col("last")))
+    pieces = F.transform(F.slice("_c", 1, F.size("_c") - 1), lambda x, i: F.struct(x.alias("k0"), F.get("_c", i + 1).alias("k1")))
+    rest = [c for c in segments.columns if c not in (group, "first", "last")]
+    cut = real.join(bounds, group).withColumn("_c", inside).select(group, *rest, F.explode(pieces).alias("_p"))
+    owner = cut.groupBy(group, F.col("_p.k0").alias("k0")).agg(F.max(F.struct("pos", F.struct(*(c for c in rest if c != "pos")).alias("of"), F.col("_p.k1").alias("k1"))).alias("o"))
+    flat = owner.select(group, "k0", "o.k1", "o.pos", "o.of.*")
+    order = Window.partitionBy(group).orderBy("k0")
+    new = F.when((F.lag("pos").over(order) == F.col("pos")) & (F.lag("k1").over(order) == F.col("k0")), 0).otherwise(1)
+    run = flat.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    kept = [F.first(c).alias(c) for c in rest]
+    return run.groupBy(group, "_run").agg(F.min("k0").alias("first"), F.max("k1").alias("last"), *kept).select(*segments.columns)
+
+
+def cost_runs(segments: DataFrame, n_queries: int, tokens_per_frame: int | None = None, latent_frames: int | None = None, group: str = "group_id", overlap: bool = True) -> DataFrame:
+    """(group, q_first, q_last, k_first, k_last, cost): the matrix of query tokens and prompt tokens as blocks of equal cost.
 
     ``segments`` have (pos, mid, win, sigma, first, last). A query's frame is a
-    whole one of ``tokens_per_frame`` queries, or ``q * latent_frames /
-    n_queries``. Where ranges overlap, the later segment's cost holds.
+    whole one of ``tokens_per_frame`` queries, which then are one run, or ``q *
+    latent_frames / n_queries``, a run of one query each; all tokens of a segment's range are one run.
+    Blocks that cost nothing are left out. Where ranges overlap, the later
+    segment's cost holds; without ``overlap`` they are known not to.
     """
-    q = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("q")
-    spread = segments.where("last > first").select("*", q)
-    far = F.greatest(F.abs(query_frame(F.col("q"), tokens_per_frame, latent_frames, n_queries) - F.col("mid")) - F.col("win"), F.lit(0.0))
-    paid = spread.select(group, "q", "pos", F.explode(F.sequence("first", F.col("last") - 1)).alias("k"), (far * far / (2 * F.col("sigma") * F.col("sigma"))).alias("cost"))
-    return paid.groupBy(group, "q", "k").agg(F.max_by("cost", "pos").alias("cost")).where("cost > 0")
+    step = tokens_per_frame or 1
+    blocks = -(-n_queries // step)
+    own = (owned_ranges(segments, group) if overlap else segments.where("last > first")).select(group, "mid", "win", "sigma", F.col("first").alias("k_first"), (F.col("last") - 1).alias("k_last"))
+    spread = own.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    q_first = F.col("_i") * step
+    far = F.greatest(F.abs(query_frame(q_first, tokens_per_frame, latent_frames, n_queries) - F.col("mid")) - F.col("win"), F.lit(0.0))
+    paid = spread.withColumn("cost", far * far / (2 * F.col("sigma") * F.col("sigma"))).where("cost > 0")
+    return paid.select(group, q_first.alias("q_first"), (F.least(q_first + step, F.lit(n_queries).cast("long")) - 1).alias("q_last"), "k_first", "k_last", "cost")
+
+
+def expanded_runs(runs: DataFrame, group: str = "group_id") -> DataFrame:
+    """(group, q, k, cost): every cell of the blocks."""
+    by_query = runs.select(group, F.explode(F.sequence("q_first", "q_last")).alias("q"), "k_first", "k_last", "cost")
+    return by_query.select(group, "q", F.explode(F.sequence("k_first", "k_last")).alias("k"), "cost")
+
+
+def token_cost(segments: DataFrame, n_queries: int, tokens_per_frame: int | None = None, latent_frames: int | None = None, group: str = "group_id") -> DataFrame:
+    """(group, q, k, cost): what query token ``q`` pays for token ``k`` of a segment's range, for all pairs that pay something."""
+    return expanded_runs(cost_runs(segments, n_queries, tokens_per_frame, latent_frames, group), group)
 
 
 def mask_mode(lq: Column, lk: Column, uncond_only: Column, video_lq: Column, most_tokens: Column) -> Column:

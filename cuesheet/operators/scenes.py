@@ -48,26 +48,56 @@ def parse_scenes_v1(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
     )
 
 
+#: How text may spell a whole number and any other one, as far as letters and digits go.
+WHOLE = r"^[+-]?[0-9]+(_[0-9]+)*$"
+NUMBER = r"(?i)^[+-]?(([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?|inf|infinity|nan)$"
+
+
+def _cell(n: int, kind: str) -> tuple[Column, Column, Column]:
+    """(value, empty, missing) of element ``n`` of a row: what it converts to, whether it counts as false, and whether it is absent or null."""
+    raw = F.expr(f"try_variant_get(value, '$[{n}]', 'variant')")
+    text, shape = _get(f"$[{n}]", "string"), F.schema_of_variant(raw)
+    missing = F.coalesce(shape == "VOID", F.lit(True))
+    spelled = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    plain = F.replace(spelled, F.lit("_"), F.lit(""))
+    nested = shape.startswith("ARRAY") | shape.startswith("OBJECT")
+    amount = text.try_cast("double")
+    empty = (
+        F.when(missing, True)
+        .when(shape == "STRING", text == "")
+        .when(shape == "BOOLEAN", text == "false")
+        .when(nested, F.to_json(raw).isin("[]", "{}"))
+        .otherwise(F.coalesce(amount == 0, F.lit(False)))
+    )
+    if kind == "string":
+        value = F.when(nested, F.to_json(raw)).otherwise(text)
+    elif kind == "bigint":
+        # a number loses its fraction, but text has to spell a whole one
+        whole = F.when(shape == "BIGINT", _get(f"$[{n}]", "bigint")).otherwise(F.when(F.abs(amount) < 2.0**63, amount.cast("long")))
+        value = F.when(shape == "STRING", F.when(spelled.rlike(WHOLE), plain.try_cast("long"))).when(shape == "BOOLEAN", (text == "true").cast("long")).when(~nested, whole)
+    else:
+        value = F.when(shape == "STRING", F.when(spelled.rlike(NUMBER), plain.try_cast("double"))).when(shape == "BOOLEAN", (text == "true").cast("double")).when(~nested, amount)
+    return value, empty, missing
+
+
 def parse_scenes_v2(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
     """Rows of [audio_duration, prompt, audio_idx, audio_start, image_idx, tail_pos, transition], or just a prompt.
 
-    Zeroes count as absent, except as transition; from the first field that can't be read on, fields have their defaults.
+    Empty cells (null, "", 0, false, [] and {}) have the default, and reading
+    goes on; as transition only null has. Numbers may be spelled as text: "0" is
+    no empty cell. From the first cell on that can't be converted, all have
+    their defaults; so have rows that are neither arrays nor text. Whole numbers
+    beyond 64 bits can't be converted.
     """
     rows = exploded(df, json_col, *keys)
     fields = [("audio_duration", "double", 15.0), ("prompt", "string", ""), ("audio_idx", "bigint", 0), ("audio_start", "double", 0.0), ("image_idx", "bigint", -1), ("tail_pos", "bigint", -1), ("transition", "bigint", 1)]
-    ok, cols = F.lit(True), []
+    ok, cols = F.expr("schema_of_variant(value) like 'ARRAY%'"), []
     for n, (name, kind, default) in enumerate(fields):
-        raw = F.expr(f"try_variant_get(value, '$[{n}]', 'variant')")
-        got = _get(f"$[{n}]", kind)
-        empty = raw.isNull() | F.expr(f"coalesce(is_variant_null(try_variant_get(value, '$[{n}]', 'variant')), true)")
-        ok = ok & (empty | got.isNotNull())
-        zero = F.lit(False) if name in ("prompt", "transition") else got == 0
-        value = F.when(ok & ~empty & ~F.coalesce(zero, F.lit(False)), got).otherwise(F.lit(default).cast(kind))
-        if name == "prompt":
-            value = F.when(_is_text(), _get("$", "string")).otherwise(value)
-        else:
-            value = F.when(_is_text(), F.lit(default).cast(kind)).otherwise(value)
-        cols.append(value.alias(name))
+        got, empty, missing = _cell(n, kind)
+        skip = missing if name == "transition" else empty
+        ok = ok & (skip | got.isNotNull())
+        value = F.when(ok & ~skip, got).otherwise(F.lit(default).cast(kind))
+        cols.append((F.when(_is_text(), _get("$", "string")).otherwise(value) if name == "prompt" else value).alias(name))
     return rows.select(*keys, (F.col("pos") + 1).cast("long").alias("seq"), *cols)
 
 

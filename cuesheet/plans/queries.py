@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import scalars
 from cuesheet.operators import audio, frames, geometry, library, relay, scenes, segments, timeline
 from cuesheet.plans import tables as t
+from cuesheet.sources import sinks
 from cuesheet.sources.shared import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +149,40 @@ def scene_parse_v2(spark: SparkSession, d: str) -> DataFrame:
     return scenes.parse_scenes_v2(_json_scenes(spark, d), "json", "conv_id")
 
 
+_CELLS = {
+    0: '["", {text}, 2, 0.5, 3, 4, 0]',
+    1: '["7", {text}, "0", "0", "0", "0", "0"]',
+    2: '[null, false, [], {{}}, "", 0, ""]',
+    3: '[" 2.5 ", 12, 3.9, true, "5", -2.7, false]',
+    4: '["x", {text}, 2, 0.5, 3, 4, 0]',
+    5: '[1e1, {text}, "1.5", 9, 9, 9, 9]',
+    6: '{{"a": 1}}',
+    7: '[3, {text}, 1, "1e-1", [4], 5]',
+}
+
+
+@query(f"""SELECT conv_id, {_SEQ}, [15.0, 7.0, 15.0, 2.5, 15.0, 10.0, 15.0, 3.0][turn % 8 + 1]::DOUBLE AS audio_duration, CASE WHEN turn % 8 IN (2, 4, 6) THEN '' WHEN turn % 8 = 3 THEN '12' ELSE text END AS prompt,
+  [2, 0, 0, 3, 0, 0, 0, 1][turn % 8 + 1]::BIGINT AS audio_idx, [0.5, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.1][turn % 8 + 1]::DOUBLE AS audio_start, [3, 0, -1, 5, -1, -1, -1, -1][turn % 8 + 1]::BIGINT AS image_idx,
+  [4, 0, -1, -2, -1, -1, -1, -1][turn % 8 + 1]::BIGINT AS tail_pos, [0, 0, 1, 0, 1, 1, 1, 1][turn % 8 + 1]::BIGINT AS transition FROM conversations""")
+def scene_parse_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Blank cells, numbers as text, cells of the wrong kind, and rows that are no arrays."""
+    text = F.to_json(F.array("text"))
+    bare = text.substr(F.lit(2), F.length(text) - 2)
+    cell = F.lit(None).cast("string")
+    for k, line in _CELLS.items():
+        parts = line.replace("{{", "{").replace("}}", "}").split("{text}")
+        cell = F.when(F.col("turn") % 8 == k, F.concat(F.lit(parts[0]), *(x for p in parts[1:] for x in (bare, F.lit(p))))).otherwise(cell)
+    c = t.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))).alias("x"))
+    return scenes.parse_scenes_v2(c.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["cell"]), ","), F.lit("]")).alias("json")), "json", "conv_id")
+
+
+@query(ORACLES["scene_parse_v2"])
+def scene_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes written as a JSON table and read again."""
+    fields = ("audio_duration", "prompt", "audio_idx", "audio_start", "image_idx", "tail_pos", "transition")
+    return scenes.parse_scenes_v2(sinks.to_json_table(scene_parse_v2(spark, d), ["conv_id"], "seq", *fields), "json", "conv_id")
+
+
 @query(f"SELECT conv_id, {_SEQ}, text AS prompt FROM conversations")
 def prompt_parse(spark: SparkSession, d: str) -> DataFrame:
     c = t.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
@@ -399,6 +434,16 @@ def nearest_marker(spark: SparkSession, d: str) -> DataFrame:
     return frames.nearest_marker(segments.dedup_markers(t.markers(spark, d)), probes).select("asset_id", "pos", "distance")
 
 
+@query(f"""WITH {_MARKERS}, q AS (SELECT event_id, user_id AS asset_id, (epoch_us(ts) - t0) / 1e6 AS t, total AS duration FROM events JOIN a ON user_id = asset_id WHERE event_type <> 'purchase'),
+x AS (SELECT event_id, q.asset_id, pos, abs(sec - t) AS dist FROM q JOIN d ON q.asset_id = d.asset_id WHERE abs(sec - t) <= greatest(0.2::DOUBLE, duration / 100))
+SELECT event_id, asset_id, pos, dist AS distance FROM x QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY dist, pos) = 1""")
+def nearest_markers_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every event that is no marker as a probe, among the markers of its asset."""
+    e = t.table(spark, d, "events").where("event_type <> 'purchase'").select("event_id", F.col("user_id").alias("asset_id"), t.micros().alias("us"))
+    probes = e.join(t.assets(spark, d), "asset_id").select("event_id", "asset_id", ((F.col("us") - F.col("t0")) / F.lit(1e6)).alias("t"), F.col("total").alias("duration"))
+    return frames.nearest_marker(segments.dedup_markers(t.markers(spark, d)), probes).select("event_id", "asset_id", "pos", "distance")
+
+
 @query("""WITH f AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id::VARCHAR AS name, count(*) OVER () AS n FROM benchmark)
 SELECT o_orderkey, x.name AS first_name, y.name AS last_name FROM orders JOIN f x ON o_custkey % x.n = x.pos JOIN f y ON (CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 ELSE o_custkey END) % y.n = y.pos""")
 def first_last_frame(spark: SparkSession, d: str) -> DataFrame:
@@ -633,16 +678,20 @@ def zip_by_position(spark: SparkSession, d: str) -> DataFrame:
     return relay.by_place(_turns(spark, d).select(F.col("conv_id").alias("group_id"), "pos"), windows).select("group_id", "pos", "mid", "win")
 
 
-_TOKEN_COST = r"""WITH c AS (SELECT conv_id AS group_id, turn AS pos, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n, ceil(31.0::DOUBLE / count(*) OVER (PARTITION BY conv_id))::BIGINT AS share FROM conversations),
-u AS (SELECT group_id, pos, share, 2 + sum(n) OVER (PARTITION BY group_id ORDER BY pos) AS last, n, sum(share) OVER (PARTITION BY group_id ORDER BY pos) - share AS cur FROM c),
-w AS (SELECT group_id, (last - n)::BIGINT AS first, last::BIGINT AS last, floor((2 * cur + share) / 2) AS mid, greatest(floor(share / 2) - 2, 0) AS win, 1.0::DOUBLE / ln(1.0::DOUBLE / 0.001::DOUBLE) AS sigma FROM u),
+#: Segments of equal lengths, cut off where the 31 frames end.
+_TOKEN_WINDOWS = r"""WITH c AS (SELECT conv_id AS group_id, turn AS pos, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n, ceil(31.0::DOUBLE / count(*) OVER (PARTITION BY conv_id))::BIGINT AS length FROM conversations),
+u AS (SELECT group_id, pos, length, 2 + sum(n) OVER (PARTITION BY group_id ORDER BY pos) AS last, n, sum(length) OVER (PARTITION BY group_id ORDER BY pos) - length AS cur FROM c),
+e AS (SELECT *, greatest(least(cur + length, 31) - least(cur, 31), 0) AS share FROM u),
+w AS (SELECT group_id, (last - n)::BIGINT AS first, last::BIGINT AS last, floor((2 * least(cur, 31) + share) / 2) AS mid, greatest(floor(share / 2) - 2, 0) AS win, 1.0::DOUBLE / ln(1.0::DOUBLE / 0.001::DOUBLE) AS sigma FROM e WHERE share > 0),
 x AS (SELECT *, greatest(abs({frame} - mid) - win, 0)::DOUBLE AS far FROM w, range(0, {n}) r(q))
-SELECT group_id, q, unnest(range(first, last)) AS k, round(far * far / (2 * sigma * sigma), 6) AS cost FROM x WHERE far > 0"""
+"""
+_TOKEN_COST = _TOKEN_WINDOWS + "SELECT group_id, q, unnest(range(first, last)) AS k, round(far * far / (2 * sigma * sigma), 6) AS cost FROM x WHERE far > 0"
 
 
 def _token_segments(spark: SparkSession, d: str) -> DataFrame:
     c = t.table(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"))
-    windows = relay.segment_windows(relay.equal_lengths(c, 31).withColumnRenamed("length", "share"))
+    lengths = relay.budget_clamp(relay.equal_lengths(c, 31), 31)
+    windows = relay.segment_windows(lengths.select("group_id", "pos", F.col("effective").alias("share")))
     return relay.by_place(token_ranges(spark, d), windows)
 
 
@@ -656,6 +705,25 @@ def token_cost_scaled(spark: SparkSession, d: str) -> DataFrame:
     return relay.token_cost(_token_segments(spark, d), 10, latent_frames=31).withColumn("cost", F.round("cost", 6))
 
 
+@query(_TOKEN_WINDOWS.format(frame="q", n=31) + "SELECT group_id, q * 40 AS q_first, q * 40 + 39 AS q_last, first AS k_first, last - 1 AS k_last, round(far * far / (2 * sigma * sigma), 6) AS cost FROM x WHERE far > 0 AND last > first")
+def cost_runs_video(spark: SparkSession, d: str) -> DataFrame:
+    """A whole clip of 31 frames of 40 tokens: a block for each frame that is outside a segment's window, not 40 rows a token."""
+    return relay.cost_runs(_token_segments(spark, d), 31 * 40, tokens_per_frame=40, overlap=False).withColumn("cost", F.round("cost", 6))
+
+
+#: Every turn also reaches 3 tokens into the next one's range, which the next one then takes back.
+_REACH = _TOKEN_WINDOWS.format(frame="q", n=31).split("x AS (")[0] + """o AS (SELECT group_id, first, last + 3 AS last, mid, win, sigma, lead(first) OVER (PARTITION BY group_id ORDER BY mid, first) AS next FROM w),
+x AS (SELECT group_id, q, first, least(last, coalesce(next, last)) AS last, sigma, greatest(abs(q * 31 / 10.0::DOUBLE - mid) - win, 0)::DOUBLE AS far FROM o, range(0, 10) r(q))
+SELECT group_id, q AS q_first, q AS q_last, first AS k_first, last - 1 AS k_last, round(far * far / (2 * sigma * sigma), 6) AS cost FROM x WHERE far > 0"""
+
+
+@query(_REACH)
+def cost_runs_scaled(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges that overlap, in proportion: each token costs what the last segment that has it says."""
+    wide = _token_segments(spark, d).withColumn("last", F.col("last") + 3)
+    return relay.cost_runs(wide, 10, latent_frames=31).withColumn("cost", F.round("cost", 6))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '/abs/' || p_name ELSE 'input/' || p_name END AS first_candidate, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS n_candidates FROM part""")
 def resolve_paths(spark: SparkSession, d: str) -> DataFrame:
     quoted = F.concat(F.lit(' "'), F.when(F.col("p_partkey") % 2 == 0, F.lit("/abs/")).otherwise(F.lit("")), "p_name", F.lit('" '))

@@ -17,6 +17,8 @@ def write_media(rows: DataFrame, path: str, columns: tuple[str, ...] = ("folder"
 
 
 def to_json_table(rows: DataFrame, keys: list[str], pos: str, *fields: str) -> DataFrame:
-    """(keys, json): rows of a table as a JSON array of arrays of text, in order of ``pos``."""
-    cells = F.array(*(F.col(f).cast("string") for f in fields))
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, cells.alias("c")))).alias("x")).select(*keys, F.to_json(F.transform("x", lambda r: r["c"])).alias("json"))
+    """(keys, json): rows of a table as a JSON array of arrays, in order of ``pos``; cells keep their types, null is null."""
+    cell = lambda f: F.regexp_extract(F.to_json(F.array(f)), r"(?s)^\[(.*)\]$", 1)
+    line = F.concat(F.lit("["), F.concat_ws(",", *(cell(f) for f in fields)), F.lit("]"))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, line.alias("line")))).alias("x"))
+    return listed.select(*keys, F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["line"]), ","), F.lit("]")).alias("json"))
