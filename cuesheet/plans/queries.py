@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import scalars
-from cuesheet.operators import audio, frames, geometry, library, relay, scenes, segments, timeline
+from cuesheet.operators import audio, frames, geometry, library, relay, scenes, segments, timeline, tokens
 from cuesheet.plans import tables as t
 from cuesheet.sources import sinks
 from cuesheet.sources.shared import numbered
@@ -373,6 +373,37 @@ def token_ranges(spark: SparkSession, d: str) -> DataFrame:
     return relay.token_ranges(c)
 
 
+#: A public vocabulary of merge ranks; no part of this repository.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Prompts whose white space runs on into the next one, so that words of the whole text go across their ends.
+_PROMPTS = r"""g AS (SELECT conv_id AS group_id, turn AS pos, CASE turn % 3 WHEN 1 THEN text || '   ' WHEN 2 THEN '  ' || chr(10) || text ELSE text END AS prompt FROM conversations WHERE turn > 0 AND trim(text) <> ''),
+h AS (SELECT conv_id AS group_id, coalesce(max(CASE WHEN turn = 0 THEN text END), '') || '  ' AS head FROM conversations GROUP BY 1),
+b AS (SELECT g.group_id, a.pos, head || string_agg(' ' || g.prompt, '' ORDER BY g.pos) AS text FROM g JOIN h USING (group_id) JOIN g a ON a.group_id = g.group_id AND g.pos <= a.pos GROUP BY 1, 2, head UNION ALL SELECT group_id, -1, head FROM h)"""
+#: Each growing text is split and merged on its own: word by word, one merge of all words at a time.
+_MERGED = r"""WITH RECURSIVE """ + _PROMPTS + r""",
+v AS MATERIALIZED (SELECT hex(from_base64(t)) AS token, r AS rank FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'BIGINT'}})),
+s AS MATERIALIZED (SELECT group_id, pos, unnest(regexp_extract_all(regexp_replace(text, '(\s)(\s\S)', '\1' || chr(1) || '\2', 'g'), '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}\x01]+|\s+')) AS word FROM b),
+d AS MATERIALIZED (SELECT word, hex(encode(word)) AS bytes FROM (SELECT DISTINCT word FROM s)),
+m AS (SELECT word, CASE WHEN bytes IN (SELECT token FROM v) THEN [bytes] ELSE [bytes[2 * i - 1:2 * i] for i in range(1, len(bytes) // 2 + 1)] END AS parts FROM d
+  UNION ALL SELECT word, list_concat(list_concat(parts[1:k - 1], [parts[k] || parts[k + 1]]), parts[k + 2:]) FROM (
+    SELECT word, parts, arg_min(i, rank * 1000000 + i) AS k FROM (SELECT word, parts, unnest(range(1, len(parts))) AS i FROM m) JOIN v ON token = parts[i] || parts[i + 1] GROUP BY 1, 2)),
+n AS MATERIALIZED (SELECT word, min(len(parts)) AS n FROM m GROUP BY 1),
+c AS (SELECT group_id, pos, sum(n)::BIGINT AS upto FROM s JOIN n USING (word) GROUP BY 1, 2),
+l AS (SELECT group_id, pos, coalesce(lag(upto) OVER (PARTITION BY group_id ORDER BY pos), 0) AS first, upto AS last FROM c)
+SELECT group_id, pos, first, last FROM l WHERE pos >= 0"""
+
+
+@query(_MERGED.format(path=VOCABULARY))
+def token_ranges_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The first turn as global prompt and the others as local ones, in tokens of a byte-pair vocabulary."""
+    c = t.table(spark, d, "conversations")
+    k = F.col("turn") % 3
+    prompt = F.when(k == 1, F.concat("text", F.lit("   "))).when(k == 2, F.concat(F.lit("  \n"), "text")).otherwise(F.col("text"))
+    heads = c.groupBy(F.col("conv_id").alias("group_id")).agg(F.concat(F.coalesce(F.max(F.when(F.col("turn") == 0, F.col("text"))), F.lit("")), F.lit("  ")).alias("global_prompt"))
+    local = c.where((F.col("turn") > 0) & (F.trim("text") != "")).select(F.col("conv_id").alias("group_id"), F.col("turn").alias("pos"), prompt.alias("prompt"))
+    return tokens.merged_ranges(local.join(heads, "group_id"), tokens.merge_ranks(spark, VOCABULARY))
+
+
 # samples and frames --------------------------------------------------------
 
 
