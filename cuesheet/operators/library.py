@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.scalars import extension, has_extension, leading_number, numbered_name, pad3, sanitized, stem, unquoted
-from cuesheet.sources.shared import numbered
+from cuesheet.sources.shared import cut, discard, numbered
 
 #: The extensions each listing takes.
 AUDIO = (".wav", ".mp3", ".flac", ".ogg", ".m4a", ".aac", ".wma")
@@ -25,8 +25,12 @@ TEXTS = (".txt",)
 def listing(files: DataFrame, extensions: tuple[str, ...], folder: str = "folder", most: int | None = None, by_stem: bool = False) -> DataFrame:
     """(folder, pos, name): files with one of the extensions, sorted by name (or stem, then name), the first ``most`` of a folder."""
     kept = files.where(has_extension("name", extensions)).select(folder, "name")
-    out = numbered(kept, [folder, *([stem("name")] if by_stem else []), "name"], within=folder).select(folder, "pos", "name")
-    return out if not most or most <= 0 else out.where(F.col("pos") < most)
+    order = [*([stem("name")] if by_stem else []), "name"]
+    if most and most > 0:
+        # a limit on the rank of a row lets Spark keep that many rows of a folder in each task before the shuffle
+        rank = F.row_number().over(Window.partitionBy(folder).orderBy(*order))
+        return kept.withColumn("_n", rank).where(F.col("_n") <= most).select(folder, (F.col("_n") - 1).cast("long").alias("pos"), "name")
+    return numbered(kept, [folder, *order], within=folder).select(folder, "pos", "name")
 
 
 def deep_listing(files: DataFrame, extensions: tuple[str, ...], folder: str = "folder") -> DataFrame:
@@ -134,6 +138,70 @@ def resolved(path: Column | str, roots: list[str]) -> Column:
     return F.when(p.startswith("/"), F.array(p)).otherwise(F.array(*(F.concat(F.lit(r.rstrip("/") + "/"), p) for r in roots)))
 
 
+def resolve_existing(wanted: DataFrame, existing: DataFrame, roots: list[str], path: str = "path") -> DataFrame:
+    """``wanted`` with ``resolved``, the first of a path's candidates that is among ``existing`` (path), or else an ``error``."""
+    key = "_wanted"
+    named = wanted.withColumn(key, F.col(path))
+    tried = named.select(key).distinct().select(key, F.posexplode(resolved(F.coalesce(F.col(key), F.lit("")), roots)).alias("_i", "_candidate"))
+    there = tried.join(existing.select(F.col("path").alias("_candidate")), "_candidate", "left_semi")
+    first = there.groupBy(F.col(key).alias("_of")).agg(F.min(F.struct("_i", "_candidate"))["_candidate"].alias("resolved"))
+    out = named.join(first, F.col(key) == F.col("_of"), "left").drop(key, "_of")
+    empty = unquoted(F.coalesce(F.col(path), F.lit(""))) == ""
+    error = F.when(empty, "the path is empty").when(F.col("resolved").isNull(), F.concat(F.lit("the file is not found: "), unquoted(path)))
+    return out.withColumn("error", error).withColumn("resolved", F.when(F.col("error").isNull(), F.col("resolved")))
+
+
+def rename_steps(plan: DataFrame, folder: str = "folder") -> DataFrame:
+    """(folder, step, action, old_name, new_name): a plan of changes in an order in which no file is overwritten.
+
+    ``plan`` has (folder, action, old_name, new_name), old names and new names
+    without repeats, and new names that no file has which stays as it is. Deletions are step 0. A
+    rename waits for the one that frees its new name, so a step's number is one
+    more than how many renames have to come before it. Renames that free one another's names in a
+    circle are broken at the smallest old name: that file first gets a temporary
+    name, and its new name last. Names that stay have no step.
+
+    Which renames form circles, their smallest names, and how many come before
+    each, are found by pointer doubling along new name -> old name: rounds of
+    joins, as many as the logarithm of the longest chain, in which every rename
+    learns of twice as many.
+    """
+    moves = cut(plan.where("action = 'rename' and old_name <> new_name").select(folder, "old_name", "new_name"), "renames")
+    longest = moves.groupBy(folder).count().agg(F.max("count")).first()[0] or 0
+
+    # where a chain has no end after as many steps as there are names, it is a circle
+    at = cut(_followers(moves, folder).withColumn("least", F.col("old_name")), "circles")
+    span = 1
+    while span < 2 * longest:
+        ahead = at.select(folder, F.col("old_name").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"))
+        before, at = at, cut(at.join(ahead, [folder, "next"], "left").select(folder, "old_name", F.col("_next").alias("next"), F.least("least", F.coalesce("_least", "least")).alias("least")), "circles")
+        discard(before)
+        span *= 2
+    broken = cut(at.where((F.col("next").isNotNull()) & (F.col("old_name") == F.col("least"))).select(folder, F.col("old_name").alias("_broken")), "broken")
+
+    # the name that is broken out is free at once, so the rename onto it waits for none
+    follow = _followers(moves, folder).join(broken, (F.col("next") == F.col("_broken")) & (broken[folder] == moves[folder]), "left").select(moves[folder], "old_name", F.when(F.col("_broken").isNull(), F.col("next")).alias("next"))
+    at = cut(follow.withColumn("n", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long")), "chains")
+    while not at.where("next is not null").isEmpty():
+        ahead = at.select(folder, F.col("old_name").alias("next"), F.col("next").alias("_next"), F.col("n").alias("_n"))
+        before, at = at, cut(at.join(ahead, [folder, "next"], "left").select(folder, "old_name", F.col("_next").alias("next"), (F.col("n") + F.coalesce("_n", F.lit(0).cast("long"))).alias("n")), "chains")
+        discard(before)
+
+    first = broken.select(folder, F.col("_broken").alias("old_name"), F.lit(True).alias("_circle"))
+    numbered_ = moves.join(at.select(folder, "old_name", "n"), [folder, "old_name"]).join(first, [folder, "old_name"], "left")
+    apart = F.concat(F.lit("_tmp_"), "old_name")
+    renames = numbered_.select(folder, (F.col("n") + 2).alias("step"), F.lit("rename").alias("action"), F.when(F.col("_circle"), apart).otherwise(F.col("old_name")).alias("old_name"), "new_name")
+    aside = numbered_.where("_circle").select(folder, F.lit(1).cast("long").alias("step"), F.lit("rename").alias("action"), "old_name", apart.alias("new_name"))
+    gone = plan.where("action = 'delete'").select(folder, F.lit(0).cast("long").alias("step"), "action", "old_name", "new_name")
+    return renames.unionByName(aside).unionByName(gone)
+
+
+def _followers(moves: DataFrame, folder: str) -> DataFrame:
+    """(folder, old_name, next): each rename with the old name of the one that has to come before it, the one that frees its new name."""
+    freed = moves.select(F.col(folder).alias("_folder"), F.col("old_name").alias("next"))
+    return moves.join(freed, (moves[folder] == F.col("_folder")) & (F.col("new_name") == F.col("next")), "left").select(moves[folder], "old_name", "next")
+
+
 def mime_kind(mime: Column | str) -> Column:
     """'audio' or 'video'; null for anything else."""
     m = F.col(mime) if isinstance(mime, str) else mime

@@ -6,8 +6,13 @@ JSON array has no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from cuesheet.functions.scalars import affixed
 
@@ -131,17 +136,57 @@ def parse_timeline(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
     return rows.select(*keys, (F.col("pos") + 1).cast("long").alias("seq"), *cols)
 
 
-def parse_keyframes(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
-    """(keys, pos, sec) from an array of seconds, or the ``keyframes`` of an object; not below 0."""
-    v = F.try_parse_json(F.col(json_col))
-    both = df.select(*keys, F.coalesce(F.try_variant_get(v, "$.keyframes", "array<double>"), F.try_variant_get(v, "$", "array<double>")).alias("_a"))
+def _keyframes(json: Column) -> tuple[Column, Column]:
+    """(list, shape): the variant that should be a list of seconds, and what it is; null without one in an object."""
+    v = F.try_parse_json(json)
+    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    found = F.when(is_object, F.try_variant_get(v, "$.keyframes", "variant")).otherwise(v)
+    return found, F.schema_of_variant(found)
+
+
+def _seconds(value: Column) -> Column:
+    """Numbers, true and false, and numbers spelled as text, as seconds; null for anything else."""
+    text = F.try_variant_get(value, "$", "string")
+    shape = F.schema_of_variant(value)
+    spelled = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    number = F.when(spelled.rlike(NUMBER), F.replace(spelled, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(shape == "STRING", number).when(shape == "BOOLEAN", (text == "true").cast("double")).otherwise(F.try_variant_get(value, "$", "double"))
+
+
+def keyframe_problem(json: Column) -> Column:
+    """Why a text has no list of seconds; null if it has one, is empty, or is an object without ``keyframes``."""
+    found, shape = _keyframes(json)
+    listed = F.try_variant_get(found, "$", "array<variant>")
+    bad = F.exists(F.transform(listed, _seconds), lambda x: x.isNull())
+    empty = F.trim(F.coalesce(json, F.lit(""))) == ""
+    no_list = (shape.isNotNull() & ~shape.startswith("ARRAY")) | (shape == "VOID")
+    return (
+        F.when(empty, F.lit(None).cast("string"))
+        .when(F.try_parse_json(json).isNull(), "the keyframes are no JSON")
+        .when(no_list, "the keyframes are no list")
+        .when(bad, "a keyframe is no number")
+    )
+
+
+def parse_keyframes(df: DataFrame, json_col: str, *keys: str, strict: bool = True) -> DataFrame:
+    """(keys, pos, sec) from an array of seconds, or the ``keyframes`` of an object; not below 0.
+
+    What ``keyframe_problem`` names is an error; without ``strict``, lists that
+    can't be read are empty, and elements that are no numbers are left out. Empty text has no keyframes.
+    Where rows have been checked and filtered before, read without ``strict``: Spark may evaluate the error before the filter.
+    """
+    found, _ = _keyframes(F.col(json_col))
+    listed = F.transform(F.try_variant_get(found, "$", "array<variant>"), _seconds)
+    if strict:
+        problem = keyframe_problem(F.col(json_col))
+        listed = F.when(problem.isNotNull(), F.raise_error(problem).cast("array<double>")).otherwise(listed)
+    both = df.select(*keys, listed.alias("_a"))
     return both.select(*keys, F.posexplode("_a").alias("pos", "sec")).where("sec is not null").select(*keys, F.col("pos").cast("long").alias("pos"), F.greatest("sec", F.lit(0.0)).alias("sec"))
 
 
 def input_problem(file: Column, found: Column, keyframes: Column) -> Column:
     """What is wrong with a run's inputs before it begins; null where nothing is. No file and no keyframes are fine."""
-    unread = (F.trim(F.coalesce(keyframes, F.lit(""))) != "") & F.try_parse_json(keyframes).isNull()
-    return F.when((F.coalesce(file, F.lit("")) != "") & ~found, "the file is not found").when(unread, "the keyframes are no JSON")
+    return F.when((F.coalesce(file, F.lit("")) != "") & ~found, "the file is not found").otherwise(keyframe_problem(keyframes))
 
 
 def reduced(row: Column, reuse: Column) -> Column:
@@ -193,3 +238,77 @@ def delete_row(rows: DataFrame, item: int, group: str = "group_id", pos: str = "
 
 def with_affixes(df: DataFrame, prefix: str, suffix: str, text: str = "prompt") -> DataFrame:
     return df.withColumn(text, affixed(F.lit(prefix), F.col(text), F.lit(suffix)))
+
+
+def replay(rows: DataFrame, log: DataFrame, group: str = "group_id") -> DataFrame:
+    """(group, pos, item): the ``rows`` (group, pos, item) of each group after all edits of its ``log`` (group, seq, op, item, step).
+
+    In order of ``seq``: ``move`` swaps an item with its neighbour before it
+    (step -1) or behind it (1), if there is one; ``delete`` takes an item out, but a group's last one stays;
+    ``insert`` puts a new item at the end. An edit of an item that isn't
+    there, or an insert of one that is, does nothing. Items of a group are
+    distinct, and nothing else of a row takes part: join the rest by item.
+
+    Edits depend on those before, so a group is replayed in one go: its items
+    as a chain in which every edit changes a few links, whatever the length. Rows come sorted, so a task holds one group's items, and streams its edits.
+    """
+    kind = rows.schema["item"].dataType
+    start = rows.select(group, F.lit(0).alias("_kind"), F.col("pos").cast("long").alias("_at"), F.lit("insert").alias("op"), F.col("item").cast(kind), F.lit(0).alias("step"))
+    edits = log.select(group, F.lit(1).alias("_kind"), F.col("seq").cast("long").alias("_at"), "op", F.col("item").cast(kind), F.col("step").cast("int"))
+    ordered = start.unionByName(edits).repartition(group).sortWithinPartitions(group, "_kind", "_at").select(group, "op", "item", "step")
+    fields = {f.name: f.dataType.simpleString() for f in ordered.schema}
+    return ordered.mapInArrow(_replay(group, ordered.schema), f"{group} {fields[group]}, pos long, item {fields['item']}")
+
+
+def _replay(group: str, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    types = {f.name: to_arrow_type(f.dataType) for f in schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, here = Chain(), None
+
+        def give() -> Iterator[pa.RecordBatch]:
+            items = list(chain)
+            if items:
+                yield pa.RecordBatch.from_arrays([pa.array([here[0]] * len(items), types[group]), pa.array(range(len(items)), pa.int64()), pa.array(items, types["item"])], [group, "pos", "item"])
+
+        for batch in batches:
+            for g, op, item, step in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != (g,):
+                    if here:
+                        yield from give()
+                    chain, here = Chain(), (g,)
+                chain.edit(op, item, step)
+        if here:
+            yield from give()
+
+    return run
+
+
+class Chain:
+    """Distinct items in an order, as links; the class itself stands before the first and behind the last one."""
+
+    def __init__(self) -> None:
+        self.after: dict[object, object] = {Chain: Chain}
+        self.before: dict[object, object] = {Chain: Chain}
+
+    def __iter__(self) -> Iterator[object]:
+        item = self.after[Chain]
+        while item is not Chain:
+            yield item
+            item = self.after[item]
+
+    def _join(self, *items: object) -> None:
+        for a, b in zip(items, items[1:], strict=False):
+            self.after[a], self.before[b] = b, a
+
+    def edit(self, op: str, item: object, step: int | None) -> None:
+        there = item in self.after
+        if op == "insert" and not there:
+            self._join(self.before[Chain], item, Chain)
+        elif op == "delete" and there and len(self.after) > 2:
+            self._join(self.before.pop(item), self.after.pop(item))
+        elif op == "move" and there and step in (-1, 1):
+            a = item if step == 1 else self.before[item]
+            b = self.after[a]
+            if a is not Chain and b is not Chain:
+                self._join(self.before[a], b, a, self.after[b])

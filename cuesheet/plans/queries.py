@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cuesheet.functions import scalars
 from cuesheet.operators import audio, frames, geometry, library, relay, scenes, segments, timeline, tokens
 from cuesheet.plans import tables as t
-from cuesheet.sources import sinks
-from cuesheet.sources.shared import numbered
+from cuesheet.sources import sinks, wav
+from cuesheet.sources.shared import cut, numbered, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,6 +120,35 @@ def loop_window(spark: SparkSession, d: str) -> DataFrame:
     return segments.loop_window(c, k % 2 == 0, k % 5, k % 7).select("o_custkey", "n", "start", "loops")
 
 
+@query(f"""WITH {_PLAN}, z AS (SELECT asset_id, (trunc(total * 100))::BIGINT AS n_samples FROM a),
+x AS (SELECT asset_id, idx, d, frames, n_samples, least(trunc(start * 100)::BIGINT, n_samples) AS first_sample FROM plan JOIN z USING (asset_id) WHERE asset_id % 3 <> 0)
+SELECT asset_id, idx, first_sample, least(first_sample + trunc((d + 0.5::DOUBLE) * 100)::BIGINT, n_samples) AS end_sample, frames FROM x
+UNION ALL SELECT asset_id, NULL, 0, n_samples, 1 FROM z WHERE asset_id % 3 = 0""")
+def segment_audio(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of each segment, and all of them for a third of the assets, which have no segments."""
+    n = t.assets(spark, d).select("asset_id", scalars.truncated(F.col("total") * 100).alias("n_samples"))
+    plan = segments.frame_plan(_built(spark, d).where("asset_id % 3 <> 0"))
+    return segments.whole_or_windows(segments.sample_window(plan.join(n, "asset_id"), 100), n)
+
+
+_SOUND = """s AS (SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS number, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample_idx,
+  trunc(greatest(least(((value - 200 * floor(value / 200)) / 100 - 1)::FLOAT, 1), -1) * 32767::FLOAT) / 32768 AS value FROM events)"""
+
+
+@query(f"WITH {_SOUND} SELECT number, sample_idx, sample_idx / 100.0::DOUBLE AS second, value::DOUBLE AS value FROM s WHERE sample_idx < 30 AND sample_idx >= 12")
+def saved_audio(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's values as a numbered WAV file in the shared folder, and a part of every file, read by its seconds."""
+    value = F.col("value") - 200 * F.floor(F.col("value") / 200)
+    sound = t.samples(spark, d).withColumn("value", (value / 100 - 1).cast("float"))
+    whole = sound.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("x"))
+    rows = numbered(whole.select("asset_id", F.transform("x", lambda r: r["value"]).alias("samples")), "asset_id").select(F.lit("sound").alias("folder"), "pos", "samples")
+    path = scratch(spark, "audio")
+    sinks.save_audio(rows, path, 100)
+    read = wav.read_wav(spark, f"{path}/sound", duration=0.3).where("second >= 0.12")
+    number = scalars.leading_number(F.element_at(F.split("path", "/"), -1))
+    return read.select(number.alias("number"), "sample_idx", "second", F.col("value").cast("double").alias("value"))
+
+
 # JSON tables and lookups ---------------------------------------------------
 
 
@@ -289,6 +318,40 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "conversations").select("conv_id", "turn", pos.cast("long").alias("pos"))
 
 
+_LOG = """e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE (conv_id + turn) % 4 WHEN 2 THEN 'delete' WHEN 3 THEN 'insert' ELSE 'move' END AS op,
+  CASE WHEN (conv_id + turn) % 4 = 3 THEN 100 + turn % 2 ELSE (turn * 5 + conv_id) % 8 END AS item, CASE (conv_id + turn) % 4 WHEN 0 THEN -1 ELSE 1 END AS step FROM conversations)"""
+
+
+@query(f"""WITH RECURSIVE {_LOG}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1),
+r AS (SELECT conv_id, list(turn ORDER BY turn) AS l, 0::BIGINT AS k FROM conversations GROUP BY 1 UNION ALL
+  SELECT r.conv_id, CASE WHEN op = 'insert' AND NOT list_contains(l, item) THEN list_append(l, item) WHEN op = 'delete' AND list_contains(l, item) AND len(l) > 1 THEN list_filter(l, lambda x: x <> item)
+    WHEN op = 'move' AND list_contains(l, item) AND list_position(l, item) + step BETWEEN 1 AND len(l)
+      THEN list_transform(l, lambda x, i: CASE WHEN i = list_position(l, item) THEN l[i + step] WHEN i = list_position(l, item) + step THEN item ELSE x END) ELSE l END, r.k + 1
+  FROM r JOIN e ON e.conv_id = r.conv_id AND e.k = r.k + 1)
+SELECT conv_id, unnest(range(0, len(l))) AS pos, unnest(l) AS item FROM r JOIN n USING (conv_id) WHERE k = n""")
+def edit_log(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation's turns after as many moves, deletions and insertions."""
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    op = F.when(kind == 2, "delete").when(kind == 3, "insert").otherwise("move")
+    item = F.when(kind == 3, 100 + F.col("turn") % 2).otherwise((F.col("turn") * 5 + F.col("conv_id")) % 8)
+    log = t.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), op.alias("op"), item.alias("item"), F.when(kind == 0, -1).otherwise(1).alias("step"))
+    return scenes.replay(_turns(spark, d).select("conv_id", "pos", F.col("turn").alias("item")), log, "conv_id")
+
+
+_KEYFRAMES = ("[1, \"2.5\", true, -3]", "[1, \"x\"]", "5", "{\"keyframes\": null}", "{\"other\": 1}", "[1,", "", "{\"keyframes\": [0.5, null]}")
+
+
+@query("""SELECT event_id, [NULL, 'a keyframe is no number', 'the keyframes are no list', 'the keyframes are no list', NULL, 'the keyframes are no JSON', NULL, 'a keyframe is no number'][event_id % 8 + 1] AS problem,
+  CASE WHEN event_id % 8 = 0 THEN 4 ELSE 0 END::BIGINT AS n_keyframes FROM events""")
+def keyframe_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What a run is told about its keyframes before it begins, and how many can be read."""
+    json = F.element_at(F.array(*(F.lit(x) for x in _KEYFRAMES)), (F.col("event_id") % 8 + 1).cast("int"))
+    e = t.table(spark, d, "events").select("event_id", json.alias("json"))
+    e = e.withColumn("problem", scenes.keyframe_problem(F.col("json")))
+    read = scenes.parse_keyframes(e.where("problem is null"), "json", "event_id", strict=False).groupBy("event_id").agg(F.count("*").alias("n_keyframes"))
+    return e.select("event_id", "problem").join(read, "event_id", "left").na.fill({"n_keyframes": 0})
+
+
 # timelines -----------------------------------------------------------------
 
 _TIMED = """f AS (SELECT conv_id AS scene_idx, turn AS seq, round_even(turn * 2.5::DOUBLE * 24, 0)::BIGINT AS s0, round_even((turn + 1) * 2.5::DOUBLE * 24, 0)::BIGINT AS "end", text AS prompt FROM conversations WHERE text <> ''),
@@ -609,6 +672,40 @@ def prompt_files(spark: SparkSession, d: str) -> DataFrame:
     return library.prompt_file(p).select("p_partkey", "error", "saved_as")
 
 
+_STEPS = """f AS (SELECT p_brand AS folder, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, p_size, p_partkey FROM part),
+g AS (SELECT folder, i, printf('%03d', i) || ['.png', '.jpg'][i % 3 // 2 + 1] AS name, p_size, p_partkey FROM f),
+p AS (SELECT folder, name AS o, printf('%03d', row_number() OVER (PARTITION BY folder ORDER BY p_size, p_partkey) - 1) || ['.png', '.jpg'][i % 3 // 2 + 1] AS w FROM g WHERE i % 11 <> 5),
+r AS (SELECT * FROM p WHERE o <> w)"""
+
+
+@query(f"""WITH RECURSIVE {_STEPS},
+k AS (SELECT folder, o AS start, o AS cur, 0 AS n FROM r UNION ALL SELECT k.folder, start, x.o, n + 1 FROM k JOIN r c ON c.folder = k.folder AND c.o = cur JOIN r x ON x.folder = k.folder AND x.o = c.w WHERE x.o <> start),
+z AS (SELECT k.folder, start, max(n) AS most, bool_or(c.w = start) AS circle, min(cur) AS least FROM k JOIN r c ON c.folder = k.folder AND c.o = cur GROUP BY 1, 2),
+m AS (SELECT z.folder, z.start, circle AND z.start = least AS broken, CASE WHEN circle AND z.start <> least THEN k.n - 1 ELSE most END AS n FROM z LEFT JOIN k ON circle AND k.folder = z.folder AND k.start = z.start AND k.cur = least)
+SELECT m.folder, (n + 2)::BIGINT AS step, 'rename' AS action, CASE WHEN broken THEN '_tmp_' || o ELSE o END AS old_name, w AS new_name FROM m JOIN r ON r.folder = m.folder AND o = start
+UNION ALL SELECT folder, 1, 'rename', start, '_tmp_' || start FROM m WHERE broken UNION ALL SELECT folder, 0, 'delete', name, NULL FROM g WHERE i % 11 = 5""")
+def rename_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered files put into another order, where most new names are taken: chains and circles of renames."""
+    i = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    ext = F.when(F.col("i") % 3 == 2, ".jpg").otherwise(".png")
+    parts = t.table(spark, d, "part").select(F.col("p_brand").alias("folder"), i.alias("i"), "p_size", "p_partkey")
+    have = cut(parts.select("folder", "i", F.concat(scalars.pad3("i"), ext).alias("name"), "p_size", "p_partkey"), "files")
+    wanted = have.where("i % 11 <> 5").select("folder", (F.col("p_size").cast("long") * 1_000_000_000 + F.col("p_partkey")).alias("pos"), "name")
+    return library.rename_steps(library.reconcile_plan(have.select("folder", "name"), wanted))
+
+
+@query("""WITH w AS (SELECT p_partkey AS k, p_name || '_' || p_partkey AS n FROM part) SELECT k AS p_partkey,
+  CASE WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN CASE WHEN k % 5 = 0 THEN '/abs/' || n END WHEN k % 3 = 0 THEN 'input/' || n WHEN k % 3 = 1 THEN 'more/' || n END AS resolved,
+  CASE WHEN k % 7 = 0 THEN 'the path is empty' WHEN k % 2 = 0 AND k % 5 <> 0 THEN 'the file is not found: /abs/' || n WHEN k % 2 = 1 AND k % 3 = 2 THEN 'the file is not found: ' || n END AS error FROM w""")
+def resolve_existing(spark: SparkSession, d: str) -> DataFrame:
+    """Paths as they are given, among the files that are there."""
+    k, name = F.col("p_partkey"), F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string"))
+    p = t.table(spark, d, "part").select("p_partkey", name.alias("name"))
+    there = p.select(F.explode(F.array(F.when(k % 3 == 0, F.concat(F.lit("input/"), "name")).when(k % 3 == 1, F.concat(F.lit("more/"), "name")), F.when(k % 3 == 0, F.concat(F.lit("more/"), "name")), F.when(k % 5 == 0, F.concat(F.lit("/abs/"), "name")))).alias("path")).where("path is not null")
+    path = F.when(k % 7 == 0, F.lit(' "" ')).when(k % 2 == 0, F.concat(F.lit('"/abs/'), "name", F.lit('"'))).otherwise(F.concat(F.lit(" "), "name"))
+    return library.resolve_existing(p.select("p_partkey", path.alias("path")), there, ["input/", "more"]).select("p_partkey", "resolved", "error")
+
+
 # sizes and scalars ---------------------------------------------------------
 
 _SIZES = "z AS (SELECT p_partkey AS id, p_size * 37 + 41 AS w, floor(p_retailprice)::BIGINT + 17 AS h FROM part)"

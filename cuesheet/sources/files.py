@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +15,21 @@ def _named(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("name", F.element_at(F.split(path, "/"), -1)).withColumn("folder", F.regexp_replace(path, "/[^/]*$", ""))
 
 
-def file_listing(spark: SparkSession, folder: str, extensions: tuple[str, ...], recursive: bool = False) -> DataFrame:
-    """(folder, name, path, length, modified) of the files with one of the extensions; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+def file_listing(spark: SparkSession, folder: str, extensions: tuple[str, ...], recursive: bool = False, required: bool = False) -> DataFrame:
+    """(folder, name, path, length, modified) of the files with one of the extensions; contents are not read.
+
+    A folder that doesn't exist has no files; if they are ``required``, that, and a folder without any, is an error.
+    """
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        if required:
+            raise FileNotFoundError(f"the folder doesn't exist: {folder}") from e
+        found = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    if required and found.where(has_extension(F.element_at(F.split("path", "/"), -1), extensions)).isEmpty():
+        raise FileNotFoundError(f"the folder has no file that ends in one of {', '.join(extensions)}: {folder}")
     return _named(found).where(has_extension("name", extensions)).select("folder", "name", "path", "length", F.col("modificationTime").alias("modified"))
 
 

@@ -71,6 +71,14 @@ def _release_all() -> None:
             pass
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared one, for files that are no table; removed like ``cut``'s tables."""
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for record in _RECORDS:
+        record.append(path)
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -78,9 +86,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     lineage, and work used twice is done once. The table stays until
     ``discard``, ``release`` or the end of the driver's process.
     """
-    path = f"{_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    for record in _RECORDS:
-        record.append(path)
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
