@@ -54,6 +54,19 @@ def next_number_count(files: DataFrame, folder: str = "folder") -> DataFrame:
     return files.groupBy(folder).agg(F.count("*").alias("next_number"))
 
 
+def free_numbers(files: DataFrame, new: DataFrame, folder: str = "folder") -> DataFrame:
+    """``new`` (folder, pos, ...) with ``number``: one after the other, each takes the smallest number that no file's name begins with.
+
+    The ``j``-th used number ``k`` of a folder has ``k - j`` free ones before it,
+    so it comes before the new file number ``k - j``. In that common order, a new file's place is its number.
+    """
+    used = files.select(folder, leading_number("name").alias("k")).where("k is not null").distinct()
+    before = numbered(used, [folder, "k"], "j", within=folder).select(folder, (F.col("k") - F.col("j")).alias("_at"), F.lit(0).alias("_new"), F.lit(None).cast(new.select(F.struct(*new.columns).alias("r")).schema["r"].dataType).alias("_row"))
+    ahead = numbered(new.select(folder, "pos", F.struct(*new.columns).alias("_row")), [folder, "pos"], "_at", within=folder).select(folder, "_at", F.lit(1).alias("_new"), "_row")
+    placed = numbered(before.unionByName(ahead), [folder, "_at", "_new"], "number", within=folder)
+    return placed.where("_new = 1").select("_row.*", "number")
+
+
 def saved_names(new: DataFrame, numbers: DataFrame, folder: str = "folder", suffix: str = ".png") -> DataFrame:
     """New rows (folder, pos) with the names ``NNN`` + suffix, from the folder's next number on."""
     return new.join(numbers, folder).select(folder, "pos", F.concat(pad3(F.col("next_number") + F.col("pos")), F.lit(suffix)).alias("name"))

@@ -612,6 +612,16 @@ def next_number_count(spark: SparkSession, d: str) -> DataFrame:
     return library.next_number_count(t.files(spark, d))
 
 
+@query(f"""WITH {_FILES}, u AS (SELECT DISTINCT folder, regexp_extract(name, '^(\\d+)', 1)::BIGINT AS k FROM fl WHERE p_partkey % 3 <> 0),
+g AS (SELECT folder, k, row_number() OVER (PARTITION BY folder ORDER BY k) - 1 AS n FROM (SELECT DISTINCT folder FROM fl), range(0, (SELECT 1000 + count(*) FROM fl)) r(k) WHERE (folder, k) NOT IN (SELECT (folder, k) FROM u)),
+w AS (SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY p_partkey) - 1 AS n, p_partkey AS pos FROM fl)
+SELECT w.folder, pos, k AS number FROM w JOIN g USING (folder, n)""")
+def upload_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """As many uploads as a folder had files, each into the smallest number that is free among two thirds of them."""
+    f = t.files(spark, d).withColumn("pos", F.regexp_extract("name", r"_(\d+)\.", 1).cast("long"))
+    return library.free_numbers(f.where("pos % 3 <> 0"), f.select("folder", "pos")).select("folder", "pos", "number")
+
+
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
     """What each folder should hold: two of three files in reversed order, and one that doesn't exist."""
     key = F.regexp_extract("name", r"_(\d+)\.", 1).cast("long")
