@@ -11,7 +11,8 @@ Of all places of template pairs in all texts, pairs are counted. A template of
 ``m`` pairs can only reach the threshold ``t`` in windows that have
 ``t / (2 - t)`` of them, and so must have one of its rarest, of which there are
 just too few for that to be avoided: a text without one of those is no
-candidate for the template, and windows below the size bound are none either.
+candidate for the template. Nor is a text, or a window at its end, of fewer pairs
+than that bound: its pairs are left out before anything is grouped.
 Candidates get all their pairs by equi-joins.
 
 Each place of a text belongs to the best window over it: of windows that reach
@@ -90,7 +91,11 @@ def find_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     candidates = cut(hits.join(small(needed), "pair").select("rid", "template").distinct(), "candidates")
     both = hits.join(candidates, "rid").join(small(pairs), ["template", "pair"])
     first = F.greatest(F.ceil((F.col("pos") - F.col("n") + 2) / F.col("step")), F.lit(0).cast("long"))
-    placed = both.select("rid", "id", "words", "license", "template", "n", "pair", "c", F.explode(F.sequence(first, F.floor(F.col("pos") / F.col("step")))).alias("k"), "step")
+    # a window of fewer words can't reach the threshold, so none begins later; nor has a text of fewer words any
+    least = F.ceil((F.col("n") - 1) * threshold / (2 - threshold) - 1e-9) + 1
+    last = F.least(F.floor(F.col("pos") / F.col("step")), F.floor((F.col("words") - least) / F.col("step")))
+    fits = both.withColumns({"first": first, "last": last}).where("first <= last")
+    placed = fits.select("rid", "id", "words", "license", "template", "n", "pair", "c", F.explode(F.sequence("first", "last")).alias("k"), "step")
     window = ["rid", "id", "words", "license", "template", "n", "step", "k"]
     shared = placed.groupBy(*window, "pair").agg(F.least(F.count("*"), F.first("c")).alias("x")).groupBy(*window).agg(F.sum("x").alias("shared"))
     start = F.col("k") * F.col("step")

@@ -1,7 +1,15 @@
-"""License notices and grants, by identifier."""
+"""License notices, grants and whole texts, by identifier.
+
+The whole texts are files of ``license_texts``, verbatim as their licences ask,
+each named by its identifier. A text with a heading for its terms is also there in parts: what
+stands before the terms, the terms, and what stands behind them.
+"""
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 _WARRANTY = """The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the
 warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright
 holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from,
@@ -31,18 +39,18 @@ consequential damages or any damages whatsoever resulting from loss of use, data
 negligence or other tortious action, arising out of or in connection with the use or performance of this software."""
 
 
-def _program(name: str, version: str, later: str) -> str:
+def _program(name: str, version: str, later: str, thing: str = "program") -> str:
     """The notice that the GNU licenses ask for."""
-    return f"""This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the
-Free Software Foundation, {version}{later}. This program is distributed in the hope that it will be useful, but without any warranty;
+    return f"""This {thing} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the
+Free Software Foundation, {version}{later}. This {thing} is distributed in the hope that it will be useful, but without any warranty;
 without even the implied warranty of merchantability or fitness for a particular purpose. See the {name} for more details. You should
-have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+have received a copy of the {name} along with this {thing}. If not, see <https://www.gnu.org/licenses/>."""
 
 
 _LATER = ", or (at your option) any later version"
 
 #: Usual notices and whole grants.
-TEMPLATES = [
+NOTICES = [
     ("0BSD", f"{_ISC}. {_ISC_WARRANTY}"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("AGPL-3.0", _program("GNU Affero General Public License", "either version 3 of the License", _LATER)),
@@ -52,6 +60,7 @@ TEMPLATES = [
 License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
 in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
 express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("BSD-1-Clause", f"{_BSD[: _BSD.index(' 2. ')]} {_BSD_WARRANTY}"),
     ("BSD-2-Clause", "Use of this source code is governed by a BSD 2-Clause license."),
     ("BSD-2-Clause", f"{_BSD} {_BSD_WARRANTY}"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
@@ -69,8 +78,10 @@ express or implied. See the License for the specific language governing permissi
     ("ISC", f"{_ISC}."),
     ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_WARRANTY}"),
     ("LGPL-2.1", _program("GNU Lesser General Public License", "either version 2.1 of the License", _LATER)),
+    ("LGPL-2.1", _program("GNU Lesser General Public License", "either version 2.1 of the License", _LATER, "library")),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("LGPL-3.0", _program("GNU Lesser General Public License", "either version 3 of the License", _LATER)),
+    ("LGPL-3.0", _program("GNU Lesser General Public License", "either version 3 of the License", _LATER, "library")),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MIT", f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
@@ -96,3 +107,24 @@ misrepresented; you must not claim that you wrote the original software. If you
 product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
 misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
 ]
+
+#: What may follow ``SPDX-License-Identifier:``, and the license that stands for.
+TAGS = [
+    *((name, name) for name in ("0BSD", "Apache-2.0", "Artistic-1.0", "BSD-1-Clause", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense", "WTFPL", "Zlib")),
+    *((name, f"{name}{kind}") for name in ("AGPL-3.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0") for kind in ("", "-only", "-or-later")),
+]
+
+
+def parts_of(text: str) -> list[str]:
+    """A whole text, and where it has a heading for its terms, the parts before, between and behind."""
+    parts = re.split(r"(?m)^\s*(?:END OF )?TERMS AND CONDITIONS.*$", text)
+    return [text, *(p for p in parts if len(p.split()) >= 100)] if len(parts) > 1 else [text]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [(f.stem, part) for f in files for part in parts_of(f.read_text(encoding="utf-8"))]
+
+
+#: All built-in templates: (license, text).
+TEMPLATES = [*NOTICES, *((name, f"SPDX-License-Identifier: {tag}") for name, tag in TAGS), *whole_texts()]

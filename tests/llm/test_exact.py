@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cuesheet.llm import common, decontaminate, license_scan, line_dedup, lm_score, media, secret_scan, simhash
+from cuesheet.llm.licenses import NOTICES, TAGS, whole_texts
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -205,13 +206,13 @@ def matched(docs, templates):
 
 
 def test_licenses(spark, make):
-    templates = license_scan.builtin_templates(spark)
+    templates = license_scan.builtin_templates(spark, NOTICES)
     texts = [*ODD, "Some text. Released under the MIT license.\nMore", "released UNDER the  MIT-License", "Released under a license", "This work is licensed under the GNU General Public License, version 2.\n" * 2]
     texts += ["// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\nint x;", "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted.\n"]
     docs = make(texts).withColumn("license", F.lit("x")).withColumn("pair", F.lit("y"))
     got = matched(docs, templates)
     assert sorted((r[0], r[1], round(r[5], 3)) for r in got) == [(7, "MIT", 1.0), (8, "MIT", 1.0), (10, "GPL-2.0", 1.0), (10, "GPL-2.0", 1.0), (11, "BSD-3-Clause", 1.0), (12, "ISC", 1.0)]
-    assert got == plain_licenses(texts, license_scan.TEMPLATES)
+    assert got == plain_licenses(texts, NOTICES)
     assert license_scan.find_licenses(docs.limit(0), templates).count() == 0
     assert license_scan.find_licenses(docs, templates.limit(0)).count() == 0
 
@@ -228,12 +229,36 @@ def wrapped(r, body):
 
 def test_wrapped_licenses(spark, make, corpus):
     r = random.Random(9)
-    texts = [f"{r.choice(corpus)}\n{wrapped(r, body)}\n{r.choice(corpus)}" for _, body in license_scan.TEMPLATES for _ in range(3)]
-    texts += ["\n".join(wrapped(r, body) for _, body in license_scan.TEMPLATES), *corpus[:10]]
-    got = matched(make(texts), license_scan.builtin_templates(spark))
-    assert got == plain_licenses(texts, license_scan.TEMPLATES)
-    n = len(license_scan.TEMPLATES)
-    assert sum((k, license_scan.TEMPLATES[k // 3][0]) in {x[:2] for x in got} for k in range(3 * n)) > 2.4 * n
+    texts = [f"{r.choice(corpus)}\n{wrapped(r, body)}\n{r.choice(corpus)}" for _, body in NOTICES for _ in range(3)]
+    texts += ["\n".join(wrapped(r, body) for _, body in NOTICES), *corpus[:10]]
+    got = matched(make(texts), license_scan.builtin_templates(spark, NOTICES))
+    assert got == plain_licenses(texts, NOTICES)
+    n = len(NOTICES)
+    assert sum((k, NOTICES[k // 3][0]) in {x[:2] for x in got} for k in range(3 * n)) > 2.4 * n
+
+
+def test_whole_license_texts(spark, make, corpus):
+    """Files of thousands of words, whole, in parts, and cut off, against all windows of all texts; and notices besides."""
+    r = random.Random(12)
+    texts = dict(whole_texts()[::-1])
+    assert len(texts) >= 13 and len(texts["GPL-3.0"].split()) > 5000
+    docs = [f"{corpus[0]}\n{wrapped(r, texts['Apache-2.0'])}\n{corpus[1]}", texts["GPL-2.0"], texts["GPL-2.0"][:9000], "# " + texts["MPL-2.0"].replace("\n", "\n# "), texts["CC0-1.0"] + texts["LGPL-3.0"]]
+    names = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0", "LGPL-3.0")
+    some = [x for x in whole_texts() if x[0] in names]
+    got = matched(make(docs), license_scan.builtin_templates(spark, some))
+    assert got == plain_licenses(docs, some)
+    found = {k: {x[1] for x in got if x[0] == k} for k in range(5)}
+    assert found[0] == {"Apache-2.0"} and found[1] == found[2] == {"GPL-2.0"} and found[3] == {"MPL-2.0"} and found[4] == {"CC0-1.0", "LGPL-3.0"}
+    every = license_scan.builtin_templates(spark)
+    tagged = [f"int main() {{}} // SPDX-License-Identifier: {tag}\n{corpus[2]}" for _, tag in TAGS]
+    best = {}
+    for x in matched(make(tagged), every):
+        best.setdefault(x[0], set()).add(x[1])
+    assert best == {k: {name} for k, (name, _) in enumerate(TAGS)}
+    library = next(body for name, body in NOTICES if name == "LGPL-2.1" and "library is free" in body)
+    preamble = texts["GPL-3.0"][texts["GPL-3.0"].index("Preamble") : texts["GPL-3.0"].index("TERMS AND COND")]
+    one = next(body for name, body in NOTICES if name == "BSD-1-Clause")
+    assert [{x[1] for x in matched(make([t]), every)} for t in (wrapped(r, library), preamble, one)] == [{"LGPL-2.1"}, {"GPL-3.0"}, {"BSD-1-Clause"}]
 
 
 def test_many_templates_from_files(spark, make, tmp_path, corpus, monkeypatch):
