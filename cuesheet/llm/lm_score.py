@@ -4,13 +4,15 @@ Words and word pairs of the training texts are counted over all of them. The
 counts are quantised on a log scale and put into a Bloom filter: an n-gram of
 level q is inserted q times, as (n-gram, 1) to (n-gram, q), so that a count is
 read back by probing level after level until a miss. The filter is built in
-blocks, one for each share of the n-gram hashes, sized by what falls into it.
+blocks, one for each share of the n-gram hashes, sized by what falls into it. In
+a block an n-gram is 48 bits of its hash, which tell its few million apart.
 
 Every score comes from probes of these blocks. While they are ``max_filter_mb``
 or less together they are broadcast; beyond that they stay where they are, and
-the texts' n-grams go to them: each group of texts sends its distinct n-grams
-to their blocks by an exchange, the same bits are probed there, and the levels
-go back to the group. Scores are the same either way.
+the texts' n-grams go to them: each team of texts, ``TEAM_BYTES`` of them, sends its distinct n-grams
+to their blocks by an exchange, six bytes each, and the same bits are probed there. One
+byte for each goes back, its level, in the order in which the team finds its n-grams
+again. Scores are the same either way.
 
     P(w | h) = k * min(c(hw), c(h)) / c(h) + (1 - k) * (c(w) + 1) / (N + V + 1)
     k = WEIGHT * c(h) / (c(h) + 5)
@@ -54,8 +56,10 @@ MAX_FILTER_MB = 256
 BLOCK_TOKENS = 1_000_000
 #: Blocks that answer probes together.
 SHELF = 16
-#: Bits of a row's number that its group of texts leaves out.
-GROUP_BITS = 8
+#: Bytes of text that share their probes; a longer text is a team of its own.
+TEAM_BYTES = 1 << 23
+#: Bytes of a hash that tell the n-grams of a block apart.
+KEY_BYTES = 6
 CHUNK = 1 << 17
 #: Texts looked at together.
 GROUP = 200
@@ -137,6 +141,32 @@ def _values() -> np.ndarray:
 VALUES = _values()
 
 
+def rest_of(keys: np.ndarray) -> np.ndarray:
+    """What an n-gram is in its block: 48 bits that don't depend on the block's number."""
+    return mix(keys ^ _MIX[0]) >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def packed_keys(rests: np.ndarray) -> bytes:
+    return np.ascontiguousarray(rests).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count, and four more, behind them all, for each that needs them."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.uint32).tobytes()
+
+
+def unpacked_counts(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[n:], np.uint32)
+    return counts
+
+
 def bit_hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each key, from which ``bit_place`` makes as many as are needed."""
     return mix(keys ^ _MIX[1]), mix(keys ^ _MIX[2]) | np.uint64(1)
@@ -148,7 +178,7 @@ def bit_place(one: np.ndarray, two: np.ndarray, n: int, sizes: np.ndarray) -> np
 
 
 def block_of(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """The filter's block for these n-grams and counts."""
+    """The filter's block for these n-grams, as they are in it, and counts."""
     levels = levels_of(counts)
     size = -(-max(1, int(levels.sum()) * BITS_PER_ENTRY) // 64) * 64
     bits = np.zeros(size, bool)
@@ -172,10 +202,13 @@ class BloomCounts:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key; 0 for a key that was never inserted (but for false positives)."""
-        levels = np.zeros(len(keys), np.uint8)
-        for lo in range(0, len(keys), CHUNK):
-            part = keys[lo : lo + CHUNK]
-            block = (part % np.uint64(self.n_blocks)).astype(np.int64) - self.first
+        return self.levels_at((keys % np.uint64(self.n_blocks)).astype(np.int64) - self.first, rest_of(keys))
+
+    def levels_at(self, blocks: np.ndarray, rests: np.ndarray) -> np.ndarray:
+        """The levels of n-grams as they are in their blocks."""
+        levels = np.zeros(len(rests), np.uint8)
+        for lo in range(0, len(rests), CHUNK):
+            part, block = rests[lo : lo + CHUNK], blocks[lo : lo + CHUNK]
             alive, starts, sizes = np.arange(lo, lo + len(part)), self.starts[block], self.sizes[block]
             one, two = bit_hashes(part)
             for level in range(1, LEVELS + 1):
@@ -238,10 +271,10 @@ def pair_shares(texts: DataFrame, n_blocks: int, text_col: str = "text") -> Data
             block = (keys % np.uint64(n_blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(n_blocks + 1))
-            keys, counts = keys[order], counts[order].astype(np.uint32)
+            rests, counts = rest_of(keys[order]), counts[order]
             parts = [k for k in range(n_blocks) if cuts[k] < cuts[k + 1]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), *(pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in parts], pa.binary()) for x in (keys, counts))], ["block", "keys", "counts"]
+                [pa.array(parts, pa.int32()), *(pa.array([pack(x[cuts[k] : cuts[k + 1]]) for k in parts], pa.binary()) for x, pack in ((rests, packed_keys), (counts, packed_counts)))], ["block", "keys", "counts"]
             )
 
         for b in batches:
@@ -262,9 +295,9 @@ def pair_shares(texts: DataFrame, n_blocks: int, text_col: str = "text") -> Data
 
 def _unpacked(parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a block and their counts, each once."""
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in parts["keys"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in parts["counts"].to_pylist()])
-    keys, where = np.unique(keys, return_inverse=True)
+    held = [unpacked_keys(k) for k in parts["keys"].to_pylist()]
+    counts = np.concatenate([unpacked_counts(c, len(k)) for c, k in zip(parts["counts"].to_pylist(), held, strict=True)])
+    keys, where = np.unique(np.concatenate(held), return_inverse=True)
     return keys, np.bincount(where, weights=counts).astype(np.int64)
 
 
@@ -356,8 +389,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(cols[k], t) for k, t in kinds.items())], [*head.schema.names, *kinds])
 
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (~train).alias("held_out"), _raw(text_col).alias("text"))
+    teams = None
     if not fits:
-        slim = cut(slim, "texts")  # read twice, so numbered once
+        teams = cut(teamed(slim), "texts")  # read twice, so numbered once
+        slim = teams.drop("team")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
     seen = slim.mapInArrow(look, f"{schema}, n_tokens long, n_known long, base double, score double, word string, times long")
     counted = seen.join(vocabulary, "word", "left")
@@ -368,7 +403,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         F.sum("score").alias("score"),
     )
     if not fits:
-        out = out.drop("score").join(exchanged_scores(slim, blocks, n_blocks, n, v), "rid")
+        out = out.drop("score").join(exchanged_scores(teams, blocks, n_blocks, n, v), "rid")
     return out.select(
         "rid", "id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
@@ -388,31 +423,78 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int,
                 last = value
 
 
-def exchanged_scores(slim: DataFrame, blocks: DataFrame, n_blocks: int, n: int, v: int) -> DataFrame:
-    """(rid, score) of written texts (rid, text), whose n-grams go to the filter's blocks and come back with levels.
+def teamed(slim: DataFrame) -> DataFrame:
+    """``slim`` with ``team``: the first ``rid`` of as many neighbouring texts as have ``TEAM_BYTES``."""
+    most = TEAM_BYTES
 
-    Each group of neighbouring texts asks for an n-gram once, so no block gets
-    more than one probe of it from each group, however frequent it is. Rows
-    come sorted behind an exchange, so a task holds one shelf of blocks, or the
-    answers to one group, at a time.
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        team, size = None, 0
+        for b in batches:
+            teams = []
+            for rid, text in zip(b.column("rid").to_pylist(), b.column("text"), strict=True):
+                n = len(text.as_buffer())
+                if team is None or size + n > most:
+                    team, size = rid, 0
+                size += n
+                teams.append(team)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(teams, pa.int64())], [*b.schema.names, "team"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema)
+    return slim.mapInArrow(number, f"{schema}, team long")
+
+
+def team_grams(texts: list[bytes], words: Words) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Hashes of words and pairs, and where texts begin, ``GROUP`` texts at a time; and the n-grams of all, each once and in order."""
+    groups = []
+    for lo in range(0, len(texts), GROUP):
+        split = [tokens_of(t) for t in texts[lo : lo + GROUP]]
+        number, firsts = words.numbers(split), firsts_of(split)
+        word = words.hashes[number]
+        groups.append((word, pair_keys(word, firsts), firsts))
+    return groups, np.unique(np.concatenate([*(x for word, pair, _ in groups for x in (word, pair)), [START_KEY]]))
+
+
+def exchanged_scores(teams: DataFrame, blocks: DataFrame, n_blocks: int, n: int, v: int) -> DataFrame:
+    """(rid, score) of written texts (rid, text, team), whose n-grams go to the filter's blocks and come back as levels.
+
+    A team asks for an n-gram once, so no block gets more than one probe of it
+    from each team, however frequent it is. Rows come sorted behind an exchange,
+    so a task holds one shelf of blocks, or one team and its answers, at a time.
     """
     shelves = -(-n_blocks // SHELF)
+    shelf_size = SHELF
+
+    def by_block(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a team's n-grams in the order of blocks, and the blocks."""
+        block = (keys % np.uint64(n_blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        return order, block[order]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for group, _, rows in _runs(batches, "team"):
-            texts = [tokens_of(t) for t in rows.column("text").to_pylist()]
-            number = words.numbers(texts)
-            word = words.hashes[number]
-            keys = np.unique(np.concatenate([word, pair_keys(word, firsts_of(texts)), [START_KEY]]))
-            shelf = (keys % np.uint64(n_blocks)).astype(np.int64) // SHELF
-            order = np.argsort(shelf, kind="stable")
-            cuts = np.searchsorted(shelf[order], np.arange(shelves + 1))
-            keys, parts = keys[order], np.nonzero(cuts[1:] > cuts[:-1])[0].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), pa.array(np.full(len(parts), -1), pa.int32()), pa.array(np.full(len(parts), group), pa.int64()), pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in parts], pa.binary())],
-                ["shelf", "block", "team", "data"],
-            )
+        words, texts, here = Words(), [], None
+
+        def give() -> Iterator[pa.RecordBatch]:
+            _, keys = team_grams(texts, words)
+            order, block = by_block(keys)
+            rests = rest_of(keys[order])
+            parts, data = [], []
+            cuts = np.searchsorted(block, np.arange(shelves + 1) * shelf_size)
+            for k in np.nonzero(cuts[1:] > cuts[:-1])[0].tolist():
+                own = slice(cuts[k], cuts[k + 1])
+                sizes = np.bincount(block[own] - k * shelf_size, minlength=shelf_size).astype(np.uint32)
+                parts.append(k)
+                data.append(sizes.tobytes() + packed_keys(rests[own]))
+            rows = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(rows, -1), pa.int32()), pa.array(np.full(rows, here), pa.int64()), pa.array(data, pa.binary())], ["shelf", "block", "team", "data"])
+
+        for team, new, rows in _runs(batches, "team"):
+            if new and texts:
+                yield from give()
+                texts = []
+            here = team
+            texts += rows.column("text").to_pylist()
+        if texts:
+            yield from give()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bloom = {}, None
@@ -425,41 +507,48 @@ def exchanged_scores(slim: DataFrame, blocks: DataFrame, n_blocks: int, n: int,
                     held[block] = data
                     continue
                 if bloom is None:
-                    first = shelf * SHELF
-                    bloom = BloomCounts([held.get(k, bytes(8)) for k in range(first, min(n_blocks, first + SHELF))], n_blocks, first)
-                out.append((team, data, bloom.levels(np.frombuffer(data, np.uint64)).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["team", "data", "levels"])
+                    first = shelf * shelf_size
+                    bloom = BloomCounts([held.get(k, bytes(8)) for k in range(first, min(n_blocks, first + shelf_size))], n_blocks, first)
+                sizes = np.frombuffer(data, np.uint32, shelf_size)
+                out.append((team, shelf, bloom.levels_at(np.repeat(np.arange(shelf_size), sizes), unpacked_keys(data[4 * shelf_size :])).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["team", "shelf", "data"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, keys, levels = Words(), [], None, None
+        words, rids, texts, answers = Words(), [], [], []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            groups, keys = team_grams(texts, words)
+            order, _ = by_block(keys)
+            count = np.empty(len(keys))
+            count[order] = VALUES[np.frombuffer(b"".join(answers), np.uint8)]
+            of = lambda k: count[np.searchsorted(keys, k)]
+            started, done = of(np.array([START_KEY]))[0], 0
+            for word, pair, firsts in groups:
+                own = of(word)
+                logs = log_probabilities(own, shifted(own, firsts, started), of(pair), n, v)
+                yield pa.RecordBatch.from_arrays([pa.array(rids[done : done + len(firsts)], pa.int64()), pa.array(np.add.reduceat(logs, firsts))], ["rid", "score"])
+                done += len(firsts)
+
         for _, new, rows in _runs(batches, "team"):
-            if new:
-                known, keys = [], None
-            rids = rows.column("rid").to_pylist()
-            asked = [i for i, rid in enumerate(rids) if rid is None]  # answers come before texts
-            known += [(rows.column("data")[i].as_py(), rows.column("levels")[i].as_py()) for i in asked]
-            rest = rows.slice(len(asked))
-            if not rest.num_rows:
-                continue
-            if keys is None:
-                keys, where = np.unique(np.frombuffer(b"".join(k for k, _ in known), np.uint64), return_index=True)
-                levels = np.frombuffer(b"".join(x for _, x in known), np.uint8)[where]
-            count = lambda k: VALUES[levels[np.searchsorted(keys, k)]]  # noqa: B023, E731
-            texts = [tokens_of(t) for t in rest.column("data").to_pylist()]
-            number, firsts = words.numbers(texts), firsts_of(texts)
-            word = words.hashes[number]
-            started = count(np.array([START_KEY]))[0]
-            logs = log_probabilities(count(word), shifted(count(word), firsts, started), count(pair_keys(word, firsts)), n, v)
-            yield pa.RecordBatch.from_arrays([rest.column("rid"), pa.array(np.add.reduceat(logs, firsts))], ["rid", "score"])
-
-    team = F.shiftright("rid", GROUP_BITS).alias("team")
-    probes = slim.select(team, "text").mapInArrow(ask, "shelf int, block int, team long, data binary")
+            if new and texts:
+                yield from give()
+                rids, texts, answers = [], [], []
+            for rid, data in zip(rows.column("rid").to_pylist(), rows.column("data").to_pylist(), strict=True):
+                if rid is None:  # answers come before texts, in the order of shelves
+                    answers.append(data)
+                else:
+                    rids.append(rid)
+                    texts.append(data)
+        if texts:
+            yield from give()
+
+    probes = teams.select("team", "text").mapInArrow(ask, "shelf int, block int, team long, data binary")
     bits = blocks.select(F.floor(F.col("block") / SHELF).cast("int").alias("shelf"), "block", F.lit(-1).cast("long").alias("team"), F.col("bits").alias("data"))
     # blocks have numbers from 0 and probes have -1, so blocks are sorted to the front
     met = bits.union(probes).repartition("shelf").sortWithinPartitions("shelf", F.col("block").desc())
-    answers = met.mapInArrow(answer, "team long, data binary, levels binary").select("team", F.lit(None).cast("long").alias("rid"), "data", "levels")
-    texts = slim.select(team, "rid", F.col("text").alias("data"), F.lit(None).cast("binary").alias("levels"))
-    back = answers.union(texts).repartition("team").sortWithinPartitions("team", F.col("rid").asc_nulls_first())
+    answers = met.mapInArrow(answer, "team long, shelf int, data binary").select("team", F.lit(None).cast("long").alias("rid"), "shelf", "data")
+    texts = teams.select("team", "rid", F.lit(None).cast("int").alias("shelf"), F.col("text").alias("data"))
+    back = answers.union(texts).repartition("team").sortWithinPartitions("team", F.col("rid").asc_nulls_first(), "shelf")
     return back.mapInArrow(gather, "rid long, score double")
 
 

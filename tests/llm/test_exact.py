@@ -465,7 +465,7 @@ def test_lm_scores_are_probes_of_the_filter(spark, make, corpus, monkeypatch):
     """The broadcast filter, the exchange of probes, and a filter of plain sets of bits give the same scores."""
     monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 90)
     monkeypatch.setattr(lm_score, "SHELF", 3)
-    monkeypatch.setattr(lm_score, "GROUP_BITS", 2)
+    monkeypatch.setattr(lm_score, "TEAM_BYTES", 700)
     texts = ODD + corpus + [None]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     a, b = ({r.id: r for r in lm_score.score_texts(make(texts), common.crc_mod("doc_id", 7) != 2, max_filter_mb=mb).collect()} for mb in (256, 0))
@@ -484,7 +484,7 @@ def test_lm_scores_are_probes_of_the_filter(spark, make, corpus, monkeypatch):
     v = len({w for ws, out in zip(grams, held, strict=True) if not out for w in ws})
 
     def place(key, n, size):
-        one, two = lm_score.bit_hashes(np.array([key], np.uint64))
+        one, two = lm_score.bit_hashes(lm_score.rest_of(np.array([key], np.uint64)))
         return int(lm_score.bit_place(one, two, n, np.array([size]))[0])
 
     level = {k: 1 + int(np.floor(np.log(m) / np.log(lm_score.BASE) + 1e-9)) for k, m in c.items()}
@@ -513,6 +513,24 @@ def test_lm_scores_are_probes_of_the_filter(spark, make, corpus, monkeypatch):
         assert tuple(a[i])[1:-1] == tuple(b[i])[1:-1]
 
 
+def test_very_long_texts_are_scored_alike(spark, make):
+    """A text of a million characters, many short ones, and counts of more than a byte."""
+    r = random.Random(3)
+    long = " ".join(f"w{int(r.paretovariate(0.6)) % 50_000}" for _ in range(180_000))
+    docs = make([long, None, "", long[:5000], *(f"w{k % 7} w{k % 5}" for k in range(600))])
+    a, b = ({x.id: x for x in lm_score.score_texts(docs, common.crc_mod("doc_id", 7) != 2, max_filter_mb=mb).collect()} for mb in (256, 0))
+    assert all(b[i].score == pytest.approx(a[i].score, rel=1e-12) for i in a) and len(a) == len(b) == 604
+    assert a[0].n_tokens == 180_001
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(4)
+    counts = np.concatenate([r.integers(1, 300, 50), [254, 255, 256, 2**31]])
+    assert lm_score.unpacked_counts(lm_score.packed_counts(counts), len(counts)).tolist() == counts.tolist()
+    rests = lm_score.rest_of(r.integers(0, 1 << 63, 100, np.uint64))
+    assert lm_score.unpacked_keys(lm_score.packed_keys(rests)).tolist() == rests.tolist() and len(lm_score.packed_keys(rests)) == 600
+
+
 def test_lm_of_empty_tables(spark, make):
     docs = make(["a"]).limit(0)
     for mb in (256, 0):
@@ -523,7 +541,7 @@ def test_filter_counts_are_never_low():
     r = np.random.default_rng(2)
     keys = lm_score.mix(np.arange(5000, dtype=np.uint64))
     counts = np.ceil(r.pareto(1, 5000) + 0.01).astype(np.int64)
-    got = lm_score.BloomCounts([lm_score.block_of(keys, counts)]).counts(keys)
+    got = lm_score.BloomCounts([lm_score.block_of(lm_score.rest_of(keys), counts)]).counts(keys)
     want = lm_score.VALUES[lm_score.levels_of(counts)]
     assert (got >= want).all() and (got == want).mean() > 0.9
 
