@@ -45,7 +45,7 @@ def next_number_mex(files: DataFrame, folder: str = "folder") -> DataFrame:
     Numbers are made distinct and ranked by folder; the first one above its rank leaves a gap before it.
     """
     used = files.select(folder, leading_number("name").alias("k")).where("k is not null").distinct()
-    ranked = used.withColumn("r", F.row_number().over(Window.partitionBy(folder).orderBy("k")) - 1)
+    ranked = numbered(used, [folder, "k"], "r", within=folder)
     dense = ranked.groupBy(folder).agg(F.count(F.when(F.col("k") == F.col("r"), 1)).alias("n"))
     return files.select(folder).distinct().join(dense, folder, "left").select(folder, F.coalesce("n", F.lit(0).cast("long")).alias("next_number"))
 
@@ -122,9 +122,7 @@ def reconcile_plan(existing: DataFrame, ordered: DataFrame, folder: str = "folde
     ``guard_empty`` leaves folders alone for which nothing is listed.
     """
     kept = ordered.join(existing.select(folder, "name"), [folder, "name"], "left_semi")
-    idx = F.row_number().over(Window.partitionBy(folder).orderBy("pos")) - 1
-    first = F.row_number().over(Window.partitionBy(folder, "name").orderBy("pos"))
-    safe = kept.select(folder, "name", idx.alias("idx"), first.alias("nth")).where("nth = 1")
+    safe = numbered(kept, [folder, "pos"], "idx", within=folder).groupBy(folder, "name").agg(F.min("idx").alias("idx"))
     new = numbered_name("idx", "name") if keep_names else F.concat(pad3("idx"), extension("name"))
     renames = safe.select(folder, F.lit("rename").alias("action"), F.col("name").alias("old_name"), new.alias("new_name"))
     gone = existing.join(safe.select(folder, "name"), [folder, "name"], "left_anti")

@@ -659,8 +659,7 @@ def saved_names(spark: SparkSession, d: str) -> DataFrame:
 SELECT folder, pos, printf('%03d', k + pos) || '_clip' || doc_id || '.mp4' AS name FROM n JOIN c USING (folder)""")
 def uploaded_names(spark: SparkSession, d: str) -> DataFrame:
     docs = t.table(spark, d, "documents").select(F.col("source").alias("folder"), "doc_id")
-    pos = F.row_number().over(Window.partitionBy("folder").orderBy("doc_id")) - 1
-    new = docs.select("folder", pos.cast("long").alias("pos"), F.concat(F.lit('clip:?"'), F.col("doc_id").cast("string"), F.lit("*.mp4")).alias("name"))
+    new = numbered(docs, ["folder", "doc_id"], within="folder").select("folder", "pos", F.concat(F.lit('clip:?"'), F.col("doc_id").cast("string"), F.lit("*.mp4")).alias("name"))
     return library.uploaded_names(new, library.next_number_count(docs))
 
 
@@ -669,8 +668,8 @@ u AS (SELECT p_brand AS folder, row_number() OVER (PARTITION BY p_brand ORDER BY
 SELECT folder, pos, CASE WHEN k = 5 THEN 'name is empty' END AS error, CASE WHEN k < 5 THEN printf('%03d', c + pos) || ['.png', '.jpg', '.webp', '.png', '.png'][k + 1] END AS name FROM u JOIN n USING (folder)""")
 def uploaded_images(spark: SparkSession, d: str) -> DataFrame:
     names = F.element_at(F.array(*(F.lit(x) for x in ("a.PNG", "b?.x.Jpg", "webp", "c.gif", "no extension", "?*"))), (F.col("p_partkey") % 6 + 1).cast("int"))
-    pos = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    new = t.table(spark, d, "part").select(F.col("p_brand").alias("folder"), pos.cast("long").alias("pos"), names.alias("name"))
+    parts = numbered(t.table(spark, d, "part").select(F.col("p_brand").alias("folder"), "p_partkey"), ["folder", "p_partkey"], within="folder")
+    new = parts.select("folder", "pos", names.alias("name"))
     return library.uploaded_images(new, library.next_number_count(t.files(spark, d)))
 
 

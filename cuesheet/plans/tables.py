@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuesheet.sources.shared import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,9 +53,9 @@ def order_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, frame_idx, vec_id, value): embeddings of a label as a sequence of frames."""
-    e = table(spark, sf_dir, "embeddings")
-    i = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return e.select(F.col("label").alias("seq_id"), i.cast("long").alias("frame_idx"), "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("value"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("seq_id"), "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("value"))
+    # a few labels hold all rows
+    return numbered(e, ["seq_id", "vec_id"], "frame_idx", within="seq_id").select("seq_id", "frame_idx", "vec_id", "value")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
