@@ -50,6 +50,8 @@ MAX_BYTES = 1 << 28
 BLOCK = 1 << 16
 #: Characters looked at together, whatever the length of a text.
 CHUNK = 1 << 20
+#: N-grams that are counted together (8 bytes each).
+COUNTED = 1 << 22
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
@@ -64,22 +66,37 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
     """64-bit hashes of a text's n-grams, in chunks; none if it has no letter.
 
     Runs of anything but letters are one space, and a space stands at both ends;
-    a shorter text is filled up with spaces to one n-gram.
+    a shorter text is filled up with spaces to one n-gram. Whatever the length
+    of a text, arrays are made of ``CHUNK`` characters at a time.
     """
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[codes]
-    if not letter.any():
-        return
-    codes = np.concatenate([[32], np.where(letter, codes, 32), [32]]).astype(np.uint64)
-    codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
-    codes = np.concatenate([codes, np.full(max(0, N - len(codes)), 32, np.uint64)])
-    for lo in range(0, len(codes) - N + 1, CHUNK):
-        c = codes[lo : lo + CHUNK + N - 1]
-        h = np.zeros(len(c) - N + 1, np.uint64)
-        for k in range(N):
-            h = h * _MIX[2] + c[k : k + len(h)]
-            h ^= h >> np.uint64(29)
-        yield h
+    low = (text or "").lower()
+    space = np.array([32], np.uint64)
+    kept, letters, given = space, False, False
+    for lo in range(0, len(low), CHUNK):
+        codes = np.frombuffer(low[lo : lo + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[codes]
+        letters |= bool(letter.any())
+        codes = np.concatenate([kept, np.where(letter, codes, 32).astype(np.uint64)])
+        codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+        if len(codes) >= N:
+            yield _hashed(codes)
+            given = True
+        kept = codes[-(N - 1) :]
+    if letters:
+        codes = kept if kept[-1] == 32 else np.concatenate([kept, space])
+        if not given:
+            codes = np.concatenate([codes, np.full(max(0, N - len(codes)), 32, np.uint64)])
+        if len(codes) >= N:
+            yield _hashed(codes)
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """The hash of each n-gram of a chunk."""
+    h = np.zeros(len(codes) - N + 1, np.uint64)
+    for k in range(N):
+        h = h * _MIX[2] + codes[k : k + len(h)]
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def slots_of(codes: np.ndarray, k: int, slots: int) -> np.ndarray:
@@ -120,16 +137,27 @@ class LanguageFilter:
 
 
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, code, n) over all texts, counted in each batch before the shuffle."""
+    """(lang, code, n) over all texts, counted for every ``COUNTED`` n-grams before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).extend(grams(text))
+        by: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in by.items():
-                codes, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+                codes, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
+            by.clear()
+
+        for b in batches:
+            for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for codes in grams(text.as_py()):
+                    by.setdefault(lang, []).append(codes)
+                    size += len(codes)
+                    if size >= COUNTED:
+                        yield from flush()
+                        size = 0
+        yield from flush()
 
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")

@@ -60,22 +60,31 @@ def bands_of(hashes: np.ndarray) -> list[int]:
 def forest(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
     """Links of the components of sets with Jaccard ``similar`` or more; each set is linked once at most."""
     sizes = np.array([len(s) for s in sets])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    own = [codes[a : a + n] for a, n in zip(starts, sizes, strict=True)]
-    mark = np.zeros(int(codes.max()) + 1, bool)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum(sizes)
+    own = [flat[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
+    mark = np.zeros(int(flat.max()) + 1, np.int32)
     rest, out = np.arange(len(sets)), []
+
+    def without(gone: np.ndarray) -> None:
+        """Takes sets out of ``rest``, and their shingles out of ``flat``."""
+        nonlocal rest, flat
+        flat, rest = flat[~np.repeat(gone, sizes[rest])], rest[~gone]
+
     while rest.size:
-        edge, rest = [int(rest[0])], rest[1:]
+        edge = [int(rest[0])]
+        without(np.arange(rest.size) == 0)
         while edge and rest.size:
             x = edge.pop()
-            mark[own[x]] = True
-            both = np.add.reduceat(mark[np.concatenate([own[k] for k in rest])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[rest])[:-1]]))
-            mark[own[x]] = False
+            mark[own[x]] = 1
+            both = np.add.reduceat(mark[flat], np.cumsum(sizes[rest]) - sizes[rest])
+            mark[own[x]] = 0
             near = both >= similar * (sizes[x] + sizes[rest] - both) - 1e-9
-            out += [(x, int(k)) for k in rest[near]]
-            edge += rest[near].tolist()
-            rest = rest[~near]
+            if near.any():
+                found = rest[near].tolist()
+                out += [(x, k) for k in found]
+                edge += found
+                without(near)
     return out
 
 
