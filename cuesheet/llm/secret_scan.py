@@ -11,7 +11,7 @@ never overlaps a base span. Null texts are empty; empty texts have no spans;
 each row is scanned alone, whatever its length, and repeated rows give equal
 spans. Columns of the input pass through. Places are running sums of lengths,
 and overlaps are found by running maxima over the sorted spans, made in chunks
-of ``CHUNK`` elements, so the work on a text is near to linear in its spans.
+as long as the root of their number, so the work on a text grows little faster than its spans.
 """
 
 from __future__ import annotations
@@ -39,16 +39,17 @@ MARGIN = 0.6
 #: Documents whose words are the sample of ordinary identifiers, at most.
 SAMPLE_DOCS = 2000
 RANDOM_STRINGS = 4000
+#: Tasks that take the sample apart.
+SAMPLE_TASKS = 16
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-CHUNK = 64
 FAR = 2**31 - 1
 
 
-def running(values: Column, step: Callable[[Column, Column], Column], zero: int, depth: int = 3) -> Column:
+def running(values: Column, step: Callable[[Column, Column], Column], zero: int, depth: int = 2) -> Column:
     """For each element of an array of ints, all up to it folded by the associative ``step``.
 
-    Appending to an array copies it, so the fold goes over chunks, over chunks of
-    their last elements, and so on, ``depth`` times.
+    Appending to an array copies it, so the fold goes over chunks, as long as the
+    root of the array is, then over their last elements; ``depth`` says which root, and how often.
     """
 
     def append(acc: Column, x: Column) -> Column:
@@ -58,19 +59,21 @@ def running(values: Column, step: Callable[[Column, Column], Column], zero: int,
         """The zero, and the fold up to each element."""
         return F.aggregate(xs, F.array(F.lit(zero)), append)
 
-    if depth == 1:
-        return F.slice(plain(values), 2, F.size(values))
+    def ahead(xs: Column, depth: int) -> Column:
+        """The same by chunks."""
+        return plain(xs) if depth == 1 else F.concat(F.array(F.lit(zero)), running(xs, step, zero, depth))
 
     def whole(xs: Column) -> Column:
-        cuts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
-        return once(F.transform(cuts, lambda k: plain(F.slice(xs, k * CHUNK + 1, F.lit(CHUNK)))), join)
+        length = F.ceil(F.pow(F.size(xs).cast("double"), F.lit(1.0 / depth))).cast("int")
+        return once(length, lambda n: once(F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / n).cast("int")), lambda k: plain(F.slice(xs, k * n + 1, n))), join))
 
     def join(parts: Column) -> Column:
-        before = running(F.transform(parts, lambda p: F.element_at(p, -1)), step, zero, depth - 1)
-        shifted = F.concat(F.array(F.lit(zero)), before)
-        # there is one more in ``shifted`` than there are parts; its element is null in the parts
-        return F.flatten(F.filter(F.zip_with(parts, shifted, lambda p, b: F.transform(F.slice(p, 2, F.lit(CHUNK)), lambda x: step(b, x))), lambda p: p.isNotNull()))
+        before = ahead(F.transform(parts, lambda p: F.element_at(p, -1)), depth - 1)
+        # there is one more in ``before`` than there are parts; its element is null in the parts
+        return F.flatten(F.filter(F.zip_with(parts, before, lambda p, b: F.transform(F.slice(p, 2, F.size(p)), lambda x: step(b, x))), lambda p: p.isNotNull()))
 
+    if depth == 1:
+        return F.slice(plain(values), 2, F.size(values))
     return once(values, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(F.expr("cast(array() as array<int>)")))
 
 
@@ -115,7 +118,8 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     share = 1.0 if rows <= sample_docs else (sample_docs - 4 * sample_docs**0.5) / rows
     h = F.xxhash64(text_col)
     near = docs.where(F.col(text_col).isNotNull() & (h <= int(-(2**63) + share * (2**64 - 2**12)))).select(F.col(text_col).alias("t"), h.alias("h")).distinct()
-    few = near.orderBy("h", "t").limit(sample_docs)
+    # a limit leaves one task with all of them
+    few = near.orderBy("h", "t").limit(sample_docs).repartition(SAMPLE_TASKS)
     words = few.select(F.filter(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.rlike("[0-9]")).alias("ws"))
     second = lambda x, sep: F.concat(x["0"], F.lit(sep), x["1"])
 
@@ -136,12 +140,15 @@ def ratio_table(samples: DataFrame) -> np.ndarray:
     Pairs are counted in the samples by Spark; at most two counts for each
     possible pair reach the driver. A pair that neither sample has is neutral.
     """
-    at = F.explode(F.sequence(F.lit(1), F.length("value") - 1))
-    pairs = samples.where(F.length("value") >= 2).select("secret", "value", at.alias("at"))
-    pair = 128 * F.ascii(F.substring("value", F.col("at"), F.lit(1))) + F.ascii(F.substring("value", F.col("at") + 1, F.lit(1)))
+    codes = F.transform(F.split("value", ""), F.ascii)
+    n = F.size("codes") - 1
+    pairs = F.zip_with(F.slice("codes", 1, n), F.slice("codes", 2, n), lambda a, b: 128 * a + b)
+    # words come again and again, so each is taken apart once
+    words = samples.where(F.length("value") >= 2).groupBy("secret", "value").agg(F.count("*").alias("times")).select("secret", "times", codes.alias("codes"))
+    counted = words.select("secret", "times", F.explode(pairs).alias("pair")).where("pair < 16384").groupBy("secret", "pair").agg(F.sum("times").alias("n"))
     counts = np.zeros((2, 128, 128))
-    for r in pairs.select("secret", pair.alias("pair")).where("pair < 16384").groupBy("secret", "pair").count().collect():
-        counts[int(r.secret), r.pair // 128, r.pair % 128] = r["count"]
+    for r in counted.collect():
+        counts[int(r.secret), r.pair // 128, r.pair % 128] = r.n
     # where a model has seen little after a character, it falls back on how frequent the next one is
     single = (counts.sum(1, keepdims=True) + 0.5) / (counts.sum((1, 2), keepdims=True) + 64)
     probability = (counts + 8 * single) / (counts.sum(2, keepdims=True) + 8)

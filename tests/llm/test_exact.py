@@ -170,11 +170,13 @@ def test_markov_spans_of_plain_python(spark, make, corpus):
 
 
 def test_running(spark):
-    for n in (0, 1, 2, 63, 64, 65, 4096, 5000):
+    for n in (0, 1, 2, 3, 4, 5, 63, 64, 65, 4096, 5000, 300_000):
         xs = [(7 * k) % 11 for k in range(n)]
         df = spark.createDataFrame([(xs,)], "xs array<int>")
         got = df.select(secret_scan.running(F.col("xs"), lambda a, b: a + b, 0).alias("s"), secret_scan.running(F.col("xs"), F.greatest, 0, 2).alias("m")).first()
         assert got.s == np.cumsum(xs).tolist() if n else got.s == []
+        deep = df.select(secret_scan.running(F.col("xs"), lambda a, b: a + b, 0, 3).alias("s")).first()
+        assert deep.s == got.s
         assert got.m == (np.maximum.accumulate(xs).tolist() if n else [])
 
 
