@@ -182,8 +182,8 @@ def crossed(cells: DataFrame, tile: int = TILE, weight: int = WEIGHT) -> DataFra
     """
     outer = F.col("root") != F.col("pivot_root")
     tiles = lambda own: F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.when(own, 1)) / tile), F.ceil(F.sum(F.when(own, F.col("n")).otherwise(0)) / weight)).cast("long")
-    plan = cells.groupBy("cell").agg(tiles(outer).alias("outers"), tiles(~outer).alias("inners")).where(F.lit(True))
-    rows = cells.join(plan, "cell").withColumn("outer", outer)
+    plan = cut(cells.groupBy("cell").agg(tiles(outer).alias("outers"), tiles(~outer).alias("inners")), "plan")
+    rows = cells.join(few(plan), "cell").withColumn("outer", outer)
     place = F.pmod(F.xxhash64(F.lit(11), "row"), F.when(F.col("outer"), F.col("outers")).otherwise(F.col("inners")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -195,26 +195,35 @@ def crossed(cells: DataFrame, tile: int = TILE, weight: int = WEIGHT) -> DataFra
     return rows.withColumn("place", place).select("cell", F.explode(to).alias("t"), "row", "root", "outer").select("cell", "t.*", "row", "root", "outer")
 
 
-def set_links(sent: DataFrame, sets: DataFrame, percent: int = PERCENT, tile: int = TILE, weight: int = WEIGHT) -> DataFrame:
-    """(node, root): components of the rows of ``sent`` (cell, row, n) whose ``sets`` (row, shingles) are alike; rows without a link are left out."""
-    shared = sent.groupBy("cell").agg(F.count("*").alias("rows"), F.min(F.struct("row", "n")).alias("pivot")).where("rows > 1").select("cell", F.col("pivot.row").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
-    cells = cut(shared, "cells")
-    met = cut(sent.join(cells, "cell"), "met")
+def meetings(sent: DataFrame) -> DataFrame:
+    """(cell, row, n, pivot, pivot_n): the rows of ``sent`` (cell, row, n) in cells of several, with the first row of the cell."""
+    first = F.min(F.struct("row", "n")).alias("pivot")
+    shared = sent.groupBy("cell").agg(F.count("*").alias("rows"), first).where("rows > 1")
+    cells = cut(shared.select("cell", F.col("pivot.row").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "cells")
+    out = cut(sent.join(few(cells), "cell"), "met")
+    discard(cells)
+    return out
+
+
+def set_links(met: DataFrame, sets: DataFrame, percent: int = PERCENT, tile: int = TILE, weight: int = WEIGHT) -> DataFrame:
+    """(node, root): components of the rows of ``met`` (cell, row, n, pivot, pivot_n) whose ``sets`` (row, shingles) are alike; rows without a link are left out."""
     star = met.where((F.col("row") != F.col("pivot")) & alike_sizes(F.col("n"), F.col("pivot_n"), percent)).select(F.col("row").alias("x"), F.col("pivot").alias("y")).distinct()
-    first = cut(verified(cut(star, "stars"), sets, percent), "links")
+    stars = cut(star, "stars")
+    first = cut(verified(stars, sets, percent), "links")
     roots = components(first)
-    rooted = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+    rooted = lambda c, name: few(roots).select(F.col("node").alias(c), F.col("root").alias(name))
     named = met.join(rooted("row", "root"), "row", "left").join(rooted("pivot", "pivot_root"), "pivot", "left")
     marked = cut(named.select("cell", "row", "n", F.coalesce("root", "row").alias("root"), F.coalesce("pivot_root", "pivot").alias("pivot_root")), "marked")
     # cells of one component are done, and of cells with the same rows one is enough
     open_ = marked.groupBy("cell").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"), *(F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"m{k}") for k in range(2)))
     left = cut(open_.where("low <> high").groupBy("rows", "m0", "m1").agg(F.min("cell").alias("cell")).select("cell"), "open")
-    dealt = crossed(cut(marked.join(left, "cell", "left_semi"), "crossed"), tile, weight)
+    rest = cut(marked.join(few(left), "cell", "left_semi"), "rest")
+    dealt = crossed(rest, tile, weight)
     columns = ["cell", "kind", "i", "j", "row", "root", "outer", "shingles"]
     tiles = dealt.join(sets, "row").select(*columns).repartition("cell", "kind", "i", "j").sortWithinPartitions("cell", "kind", "i", "j")
     second = cut(tiles.mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
     out = components(first.union(second)) if not second.isEmpty() else roots
-    discard(cells, met, first, marked, left, second)
+    discard(stars, first, marked, left, rest, second)
     return out
 
 
@@ -240,12 +249,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = cut(marked.where("n > 0").groupBy("set").agg(F.min("rid").alias("row")), "sets")
     chosen = marked.join(one.select(F.col("row").alias("rid")), "rid", "left_semi")
     sent = cut(chosen.select(F.col("rid").alias("row"), "n", F.explode("bands").alias("cell")), "bands")
-    twice = sent.groupBy("cell").count().where("count > 1").select("cell")
-    involved = cut(sent.join(twice, "cell", "left_semi").select(F.col("row").alias("rid")).distinct(), "involved")
+    met = meetings(sent)
+    discard(sent)
+    involved = cut(met.select(F.col("row").alias("rid")).distinct(), "involved")
     sets = cut(rows.join(few(involved), "rid", "left_semi").select(F.col("rid").alias("row"), hashes(text).alias("shingles")), "shingles")
     discard(rows)
-    roots = set_links(sent, sets, percent, tile, weight).withColumnRenamed("node", "row")
-    discard(sent, sets, involved)
+    roots = set_links(met, sets, percent, tile, weight).withColumnRenamed("node", "row")
+    discard(met, sets, involved)
     named = one.join(roots, "row", "left").select("set", F.coalesce("root", "row").alias("root"))
     found = cut(marked.select("rid", "id", "set", "n").join(named, "set", "left").select("rid", "id", "n", F.coalesce("root", "rid").alias("root")), "found")
     least = found.groupBy("root").agg(F.min("id").alias("component"))

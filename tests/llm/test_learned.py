@@ -1,5 +1,6 @@
 """Trained operators by held-out accuracy, the schedule by its bounds, and the pipeline against plain Python."""
 
+import os
 import random
 import re
 import time
@@ -13,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuesheet.llm import language_id, mixing, toxicity
+from cuesheet.llm import common, language_id, mixing, toxicity
+from cuesheet.sources import shared
 from tests.llm.test_exact import ODD, lpf, save
 from tests.llm.test_near_dedup import kept as near_kept
 
@@ -131,6 +133,20 @@ def test_toxicity(spark, tmp_path):
     assert got[606].predicted == 1  # in the last window of a long text
 
 
+def test_toxicity_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    network = toxicity.Network({b"scum": 1, b"idiot": 2})
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(["you scum", None, "", "fine words", "fine words"])], "doc_id long, text string, toxicity string, score int")
+    scores = {x.doc_id: x.s for x in toxicity.score(docs, network, "text", "s").collect()}
+    assert toxicity.score(docs, network, "text", "s").columns == [*docs.columns, "s"]
+    limit = sorted(scores.values())[2]
+    kept = toxicity.drop_toxic(docs, network, threshold=limit)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted(k for k, s in scores.items() if s < limit)
+    assert toxicity.drop_toxic(docs.limit(0), network).count() == 0
+    save(docs.limit(0).select("doc_id", "text"), tmp_path, "documents")
+    save(spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    assert toxicity.op1_toxicity(spark, str(tmp_path)).count() == 0
+
+
 def test_gradients_equal_differences():
     net = toxicity.Network({b"a": 1, b"b": 2})
     net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
@@ -357,6 +373,30 @@ def test_more_sources_than_places(spark, monkeypatch):
     assert mixing.mix(docs).count() == 2400
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    save(spark.createDataFrame([], DOC), tmp_path, "documents")
+    save(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_remove_the_tables_of_the_one_before(spark, tmp_path):
+    """Once their documents no longer read them."""
+    made = []
+
+    @corpus_pipeline.one_at_a_time
+    def stage(spark_, docs, sf_dir):
+        out = common.cut(docs, "stage-test")
+        made.append(shared._PATHS[out])
+        return out
+
+    first = stage(spark, spark.range(3).toDF("doc_id"), "")
+    second = stage(spark, first, "")  # reads the first one's table
+    assert all(os.path.isdir(p) for p in made)
+    second.write.parquet(str(tmp_path / "out"))
+    third = stage(spark, spark.read.parquet(str(tmp_path / "out")), "")
+    assert [os.path.isdir(p) for p in made] == [False, False, True] and third.count() == 3
+
+
 def test_pipeline(spark, tmp_path, corpus):
     r = random.Random(6)
     texts = [prose(r, "aa", r.randint(30, 90)) for _ in range(40)]

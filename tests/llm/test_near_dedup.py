@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuesheet.llm import near_dedup
+from cuesheet.llm import decontaminate, near_dedup, simhash
 from tests.llm.test_exact import ODD
 
 
@@ -47,6 +47,23 @@ def test_near_copies_go(spark, make, corpus):
     assert near_dedup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_texts_of_a_million_characters(spark, make):
+    """Whole texts are compared: what differs at the end counts as much as what differs at the beginning."""
+    r = random.Random(11)
+    long = " ".join(f"w{r.randrange(90_000)}" for _ in range(170_000))
+    other = " ".join(f"w{r.randrange(90_000)}" for _ in range(60_000))
+    half = long[: len(long) // 2] + " " + other
+    texts = [long, long + " end", half, varied(r, long, 3000), "x" * 1_000_000, "y " * 500_000]
+    got = [x.doc_id for x in near_dedup.keep_one(make(texts)).collect()]
+    assert sorted(got) == sorted(kept(texts)) == [0, 2, 4, 5]
+    fps = {x.id: x.fp for x in simhash.near_components(make(texts)).collect()}
+    assert fps[0] != fps[2] and len(fps) == len(texts)
+    windows = make([(0, long), (1, other + " " + " ".join(long.split()[-30:]))])
+    items = spark.createDataFrame([(7, " ".join(long.split()[-12:]))], "item_id long, text string")
+    found = {x.c0: x.items for x in decontaminate.contamination(windows, items, carry=("doc_id",)).collect()}
+    assert found == {0: ["7"], 1: ["7"]}
+
+
 @pytest.mark.parametrize("tile", [1024, 3])
 def test_tiles_agree(spark, make, corpus, tile):
     r = random.Random(7)
