@@ -113,12 +113,12 @@ def sample_window(plan: DataFrame, rate: int, n_samples: str = "n_samples", pad:
 
 
 def whole_or_windows(windows: DataFrame, assets: DataFrame, overlap: int = 1, n_samples: str = "n_samples", asset: str = "asset_id") -> DataFrame:
-    """(asset, idx, first_sample, end_sample, frames): ``windows``, and for assets without any segment all samples and ``overlap`` frames.
+    """(asset, idx, first_sample, end_sample, frames): ``windows``, and for assets without any segment, as segment 0, all samples and ``overlap`` frames.
 
     ``windows`` are those of ``sample_window``; ``assets`` have (asset, n_samples).
     """
     none = assets.join(windows.select(asset).distinct(), asset, "left_anti")
-    whole = none.select(asset, F.lit(None).cast("long").alias("idx"), F.lit(0).cast("long").alias("first_sample"), F.col(n_samples).cast("long").alias("end_sample"), F.lit(overlap).cast("long").alias("frames"))
+    whole = none.select(asset, F.lit(0).cast("long").alias("idx"), F.lit(0).cast("long").alias("first_sample"), F.col(n_samples).cast("long").alias("end_sample"), F.lit(overlap).cast("long").alias("frames"))
     return windows.select(asset, "idx", "first_sample", "end_sample", "frames").unionByName(whole)
 
 

@@ -123,7 +123,7 @@ def loop_window(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_PLAN}, z AS (SELECT asset_id, (trunc(total * 100))::BIGINT AS n_samples FROM a),
 x AS (SELECT asset_id, idx, d, frames, n_samples, least(trunc(start * 100)::BIGINT, n_samples) AS first_sample FROM plan JOIN z USING (asset_id) WHERE asset_id % 3 <> 0)
 SELECT asset_id, idx, first_sample, least(first_sample + trunc((d + 0.5::DOUBLE) * 100)::BIGINT, n_samples) AS end_sample, frames FROM x
-UNION ALL SELECT asset_id, NULL, 0, n_samples, 1 FROM z WHERE asset_id % 3 = 0""")
+UNION ALL SELECT asset_id, 0, 0, n_samples, 1 FROM z WHERE asset_id % 3 = 0""")
 def segment_audio(spark: SparkSession, d: str) -> DataFrame:
     """The samples of each segment, and all of them for a third of the assets, which have no segments."""
     n = t.assets(spark, d).select("asset_id", scalars.truncated(F.col("total") * 100).alias("n_samples"))

@@ -165,4 +165,4 @@ def test_keyframes_that_are_none(spark):
 def test_assets_without_segments_are_whole(spark):
     windows = spark.createDataFrame([(1, 1, 5, 9, 41)], "asset_id long, idx long, first_sample long, end_sample long, frames long")
     assets = spark.createDataFrame([(1, 100), (2, 70)], "asset_id long, n_samples long")
-    assert sorted(map(tuple, segments.whole_or_windows(windows, assets, 3).collect())) == [(1, 1, 5, 9, 41), (2, None, 0, 70, 3)]
+    assert sorted(map(tuple, segments.whole_or_windows(windows, assets, 3).collect())) == [(1, 1, 5, 9, 41), (2, 0, 0, 70, 3)]
