@@ -4,7 +4,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from cuesheet.operators import frames, ordered, relay, scenes
 from cuesheet.sources import sinks
