@@ -14,7 +14,9 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Event
 
 from pyarrow import fs
 from pyspark import TaskContext
@@ -24,6 +26,9 @@ from pyspark.sql.types import StructType
 
 from cuesheet.sources.wav import located
 
+#: Files that the driver moves at once; a move is a request to the file system.
+MOVERS = 16
+
 
 @dataclass
 class Staged(WriterCommitMessage):
@@ -86,19 +91,33 @@ class FileWriter(DataSourceWriter):
                 if target in moves:
                     raise FileExistsError(f"two files are called {target}")
                 moves[target] = path
-        there = [t for t in moves if system.get_file_info(t).type != fs.FileType.NotFound]
+        folders = {t.rsplit("/", 1)[0] for t in moves}
+        known = {i.path for f in folders for i in system.get_file_info(fs.FileSelector(f, allow_not_found=True))}
+        there = moves.keys() & known
         if there and not self.overwrite:
-            raise FileExistsError(f"{len(there)} files are there already, as {there[0]}")
-        replaced, done = set(there), []
-        try:
-            for k, (target, path) in enumerate(moves.items()):
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                if target in replaced:
+            raise FileExistsError(f"{len(there)} files are there already, as {min(there)}")
+        done: list[tuple[str, str]] = []
+        failed = Event()
+
+        def place(k: int, target: str) -> None:
+            if failed.is_set():
+                return
+            try:
+                if target in there:
                     kept = f"{staging}/replaced-{k}"
                     system.move(target, kept)
                     done.append((kept, target))
-                system.move(path, target)
-                done.append((target, path))
+                system.move(moves[target], target)
+                done.append((target, moves[target]))
+            except Exception:
+                failed.set()
+                raise
+
+        try:
+            for folder in sorted(folders):
+                system.create_dir(folder, recursive=True)
+            with ThreadPoolExecutor(MOVERS) as pool:
+                list(pool.map(place, *zip(*enumerate(moves), strict=True)) if moves else [])
         except Exception:
             for now, before in reversed(done):
                 system.move(now, before)

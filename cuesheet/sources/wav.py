@@ -3,7 +3,8 @@
 ``spark.read.format("cuesheet_wav")`` gives (path, sample_rate, channel,
 sample_idx, second, value), with values from -1 to 1. A file is split into
 ranges of ``splitBytes``, whatever its length; a task reads the header and then
-the samples that begin in its range, block by block. Filters on path, channel,
+the samples that begin in its range, block by block. Files that are one range share
+tasks, as many as fit ``splitBytes`` when each has ``OPEN_BYTES`` more. Filters on path, channel,
 sample_idx and second are pushed down: files are left out, and only the bytes of the
 samples asked for are read. Options:
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,8 @@ from cuesheet.operators.audio import decode_pcm
 
 SCHEMA = "path string, sample_rate int, channel int, sample_idx long, second double, value float"
 SPLIT_BYTES = 1 << 26
+#: What opening a file counts as, in bytes, when files are dealt to tasks.
+OPEN_BYTES = 1 << 17
 #: Frames (a sample of every channel) that are read at once.
 BLOCK = 1 << 16
 #: Fixed values of the format: plain PCM, and PCM behind an extended header.
@@ -99,7 +102,7 @@ def header_of(f: pa.NativeFile, size: int) -> Header:
 
 
 @dataclass
-class Part(InputPartition):
+class Part:
     """The samples of a file that begin in a range of its bytes."""
 
     path: str
@@ -108,6 +111,29 @@ class Part(InputPartition):
     high: int
 
 
+@dataclass
+class Parts(InputPartition):
+    """What one task reads: a range of a long file, or short files."""
+
+    parts: list[Part]
+
+
+def dealt(parts: Iterable[Part], most: int) -> list[Parts]:
+    """One task for each range of a split file; whole files together, up to ``most`` bytes with what opening them counts."""
+    alone, together, full = [], [[]], 0
+    for p in parts:
+        if (p.low, p.high) != (0, p.size):
+            alone.append(Parts([p]))
+            continue
+        cost = p.size + OPEN_BYTES
+        if together[-1] and full + cost > most:
+            together.append([])
+            full = 0
+        together[-1].append(p)
+        full += cost
+    return alone + [Parts(some) for some in together if some]
+
+
 class WavReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         get = lambda name, default: options.get(name, default)
@@ -147,7 +173,7 @@ class WavReader(DataSourceReader):
                 continue
             cuts = [*range(0, max(info.size, 1), self.split), info.size]
             parts += [Part(uri, info.size, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return parts or [Part("", 0, 0, 0)]
+        return dealt(parts, self.split) or [Parts([])]
 
     def window(self, h: Header) -> tuple[int, int]:
         """The samples of a file that options and filters leave: a range that may be a sample too wide at its ends."""
@@ -166,24 +192,35 @@ class WavReader(DataSourceReader):
                 last = min(last, math.ceil(at) + 2)
         return first, last
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        system, path = located(partition.path)
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for part in partition.parts:
+            for batch in self._samples(part):
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= BLOCK:
+                    yield pa.concat_batches(held)
+                    held, rows = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def _samples(self, part: Part) -> Iterator[pa.RecordBatch]:
+        system, path = located(part.path)
         with system.open_input_file(path) as f:
             try:
-                h = header_of(f, partition.size)
+                h = header_of(f, part.size)
             except InvalidWav as e:
                 if self.skip:
                     return
-                raise InvalidWav(f"{partition.path}: {e}") from e
+                raise InvalidWav(f"{part.path}: {e}") from e
             first, last = self.window(h)
             at = lambda byte: max(0, -(-(byte - h.start) // h.frame_bytes))
-            first, last = max(first, at(partition.low)), min(last, at(partition.high))
+            first, last = max(first, at(part.low)), min(last, at(part.high))
             for low in range(first, last, BLOCK):
                 high = min(low + BLOCK, last)
                 f.seek(h.start + low * h.frame_bytes)
-                yield from self._rows(partition.path, h, low, f.read((high - low) * h.frame_bytes))
+                yield from self._rows(part.path, h, low, f.read((high - low) * h.frame_bytes))
 
     def _rows(self, path: str, h: Header, low: int, raw: bytes) -> Iterator[pa.RecordBatch]:
         value = decode_pcm(raw, h.width).reshape(-1, h.channels)

@@ -188,3 +188,36 @@ def test_a_move_that_fails_is_undone(tmp_path, monkeypatch):
     assert sorted(p.name for p in staged.iterdir()) == ["a", "b", "c"]
     writer.abort([])
     assert list(tmp_path.iterdir()) == []
+
+
+def test_short_files_share_tasks(tmp_path):
+    for k in range(40):
+        write(tmp_path / f"{k:02d}.wav", bytes(60), rate=100)
+    write(tmp_path / "long.wav", bytes(3 * wav.OPEN_BYTES * 10), rate=100)
+    reader = wav.WavReader({"path": str(tmp_path), "splitBytes": str(10 * wav.OPEN_BYTES + 2000)})
+    tasks = reader.partitions()
+    assert sorted(len(t.parts) for t in tasks) == [1, 1, 1, 10, 10, 10, 10]  # one task for each file before
+    batches = [b for t in tasks for b in reader.read(t)]
+    assert sum(b.num_rows for b in batches) == 40 * 30 + 3 * wav.OPEN_BYTES * 5
+    short = [list(reader.read(t)) for t in tasks if len(t.parts) > 1]
+    assert all(len(some) == 1 for some in short) and len({p for some in short for p in some[0].column("path").to_pylist()}) == 40
+
+
+def test_many_files_are_placed_with_few_looks(spark, tmp_path, monkeypatch):
+    """One listing for each folder, not a look and a folder made for each file."""
+    writer = file_sink.FileWriter(str(tmp_path), ["folder", "name", "content"], False)
+    staged = tmp_path / writer.staging.rsplit("/", 1)[1] / "0-0" / "f"
+    staged.mkdir(parents=True)
+    for n in range(50):
+        (staged / f"{n}.bin").write_text(str(n))
+    local, calls = pa.fs.LocalFileSystem(), []
+
+    class Watched:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(local, name)
+
+    monkeypatch.setattr(file_sink, "located", lambda uri: (Watched(), uri))
+    writer.commit([file_sink.Staged("0-0", 50)])
+    assert sorted(int(p.stem) for p in (tmp_path / "f").iterdir()) == list(range(50))
+    assert calls.count("move") == 50 and len(calls) < 60
