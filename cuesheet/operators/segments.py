@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions.scalars import align_down, align_up, half_even, truncated
+from cuesheet.sources.shared import cut, dealt
 
 MOST_MARKERS = 64
 SHORTEST_TAIL = 0.1
@@ -51,10 +52,10 @@ def trim_edges(segments: DataFrame, skip_first: bool = False, keep_tail: bool =
 
 def or_whole(segments: DataFrame, assets: DataFrame, asset: str = "asset_id") -> DataFrame:
     """(asset, idx, s, e): an asset that has no segment left is one segment."""
-    kept = segments.select(asset, "s", "e")
-    left = assets.join(kept.select(asset).distinct(), asset, "left_anti").select(asset, F.lit(0.0).alias("s"), F.greatest("total", F.lit(0.0)).alias("e"))
+    both = assets.select(asset, F.greatest("total", F.lit(0.0)).alias("_end")).join(segments.select(asset, "s", "e"), asset, "full")
     order = Window.partitionBy(asset).orderBy("s")
-    return kept.unionByName(left).select(asset, F.row_number().over(order).cast("long").alias("idx"), "s", "e")
+    filled = both.select(asset, F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("e", "_end").alias("e"))
+    return filled.select(asset, F.row_number().over(order).cast("long").alias("idx"), "s", "e")
 
 
 def cut_points(step: float) -> Callable[[Column, Column], Column]:
@@ -82,8 +83,12 @@ def average_split(segments: DataFrame, step: float, asset: str = "asset_id") ->
 
 
 def build_segments(assets: DataFrame, markers: DataFrame, skip_first: bool = False, keep_tail: bool = True, step: float | None = None, most: int = MOST_MARKERS, asset: str = "asset_id") -> DataFrame:
-    """(asset, idx, s, e) from raw markers: all of the above in order."""
-    kept = first_markers(dedup_markers(markers, asset), most, asset)
+    """(asset, idx, s, e) from raw markers: all of the above in order.
+
+    Assets and the markers kept are written first, and dealt to as many tasks as their rows ask for.
+    """
+    assets, kept = cut(assets, "assets"), cut(first_markers(dedup_markers(markers, asset), most, asset), "markers")
+    assets, kept = dealt(asset, 2 * assets.count() + kept.count(), assets, kept)
     out = or_whole(trim_edges(intervals(assets, kept, asset), skip_first, keep_tail), assets, asset)
     return out if step is None or step <= 0 else or_whole(average_split(out, step, asset), assets, asset)
 
@@ -117,9 +122,10 @@ def whole_or_windows(windows: DataFrame, assets: DataFrame, overlap: int = 1, n_
 
     ``windows`` are those of ``sample_window``; ``assets`` have (asset, n_samples).
     """
-    none = assets.join(windows.select(asset).distinct(), asset, "left_anti")
-    whole = none.select(asset, F.lit(0).cast("long").alias("idx"), F.lit(0).cast("long").alias("first_sample"), F.col(n_samples).cast("long").alias("end_sample"), F.lit(overlap).cast("long").alias("frames"))
-    return windows.select(asset, "idx", "first_sample", "end_sample", "frames").unionByName(whole)
+    both = assets.select(asset, F.col(n_samples).cast("long").alias("_all")).join(windows.select(asset, "idx", "first_sample", "end_sample", "frames"), asset, "full")
+    long = lambda v: F.lit(v).cast("long")
+    whole = {"idx": long(0), "first_sample": long(0), "end_sample": F.col("_all"), "frames": long(overlap)}
+    return both.select(asset, *(F.when(F.col("idx").isNull(), v).otherwise(F.col(c)).alias(c) for c, v in whole.items()))
 
 
 def slice_bounds(start: Column, end: Column) -> tuple[Column, Column]:

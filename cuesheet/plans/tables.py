@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesheet.sources.shared import numbered
+from cuesheet.sources.shared import dealt, numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,11 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markers(spark: SparkSession, sf_dir: str, event_type: str = "purchase") -> DataFrame:
     """(asset_id, pos, sec, total): a user's events of one type as markers, in order of time."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == event_type).select(F.col("user_id").alias("asset_id"), "ts", "event_id", micros().alias("us"))
+    events = table(spark, sf_dir, "events")
+    e = events.where(F.col("event_type") == event_type).select(F.col("user_id").alias("asset_id"), "ts", "event_id", micros().alias("us"))
+    e, spans = dealt("asset_id", events.count(), e, assets(spark, sf_dir))
     pos = F.row_number().over(Window.partitionBy("asset_id").orderBy("ts", "event_id")) - 1
-    return e.join(assets(spark, sf_dir), "asset_id").select("asset_id", pos.cast("long").alias("pos"), ((F.col("us") - F.col("t0")) / F.lit(1e6)).alias("sec"), "total")
+    return e.join(spans, "asset_id").select("asset_id", pos.cast("long").alias("pos"), ((F.col("us") - F.col("t0")) / F.lit(1e6)).alias("sec"), "total")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

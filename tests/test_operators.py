@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import scalars
 from cuesheet.operators import audio, frames, geometry, library, relay, scenes, segments, timeline
+from cuesheet.sources import shared
 
 
 def rows(df, *cols):
@@ -169,3 +170,17 @@ def test_wav_round_trip(spark):
     assert len(got) == 1 and got[0].sample_rate == 8000
     assert got[0].samples == pytest.approx([0.0, 0.5, -1.0], abs=1e-3)
     assert audio.decode_pcm(b"\xff\xff\xff\x00\x00\x40", 3).tolist() == pytest.approx([-1 / 8388608, 0.5])
+
+
+def test_segments_are_dealt_by_rows(spark, monkeypatch):
+    """Spark merges small partitions into one task, however many rows a task should get."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    assets = spark.range(600).selectExpr("id as asset_id", "id % 5 * 10d as total").repartition(3)
+    markers = assets.selectExpr("asset_id", "0L as pos", "3d as sec", "total")
+    out = segments.build_segments(assets, markers)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 600 + 480 and max(sizes) < 250
+    n = assets.selectExpr("asset_id", "cast(total as long) as n_samples")
+    windows = segments.sample_window(segments.frame_plan(out.where("asset_id % 3 <> 0")).join(n, "asset_id"), 100)
+    whole = segments.whole_or_windows(windows, n)
+    assert whole.where("idx = 0").count() == 200 == whole.where("asset_id % 3 = 0 and idx = 0 and first_sample = 0 and frames = 1").count()
