@@ -78,14 +78,22 @@ def segment_windows(shares: DataFrame, epsilon: float = 1e-3, group: str = "grou
     return placed.select(group, "pos", share, mid.alias("mid"), F.greatest(F.floor(F.col(share) / 2) - 2, F.lit(0).cast("long")).alias("win"), F.lit(sigma_of(epsilon)).alias("sigma"))
 
 
-def temporal_cost(windows: DataFrame, frames: int, group: str = "group_id") -> DataFrame:
-    """(group, frame, pos, cost): each segment with each frame, the squared distance outside its window.
+def temporal_cost(windows: DataFrame, frames: int, group: str = "group_id", places: int | None = None) -> DataFrame:
+    """(group, frame, pos, cost): each segment with each frame, the squared distance outside its window; rounded, with ``places``.
 
-    A segment makes its own frames, so there is no join; rows are segments times ``frames``.
+    A segment makes its own frames, so there is no join; rows are segments times
+    ``frames``. Distances are whole, so a row takes its cost from a list by
+    distance, which Spark makes once where sigma is a constant; windows farther than ``frames`` from a frame have theirs worked out.
     """
-    spread = windows.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))))
-    far = F.greatest(F.abs(F.col("frame") - F.col("mid")) - F.col("win"), F.lit(0).cast("long")).cast("double")
-    return spread.select(group, "frame", "pos", (far * far / (2 * F.col("sigma") * F.col("sigma"))).alias("cost"))
+
+    def paid(far: Column) -> Column:
+        cost = far * far / (2 * F.col("sigma") * F.col("sigma"))
+        return cost if places is None else F.round(cost, places)
+
+    listed = windows.withColumn("_costs", F.array(*(paid(F.lit(float(k))) for k in range(frames))))
+    spread = listed.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))))
+    far = F.greatest(F.abs(F.col("frame") - F.col("mid")) - F.col("win"), F.lit(0).cast("long"))
+    return spread.select(group, "frame", "pos", F.when(far < frames, F.get("_costs", far.cast("int"))).otherwise(paid(far.cast("double"))).alias("cost"))
 
 
 def query_frame(q: Column, tokens_per_frame: int | None = None, latent_frames: int | None = None, n_queries: int | None = None) -> Column:

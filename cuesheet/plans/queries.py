@@ -417,8 +417,7 @@ def segment_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_WINDOWS}, q AS (SELECT group_id, pos, sigma, frame, greatest(abs(frame - mid) - win, 0)::DOUBLE AS far FROM w, range(0, 31) r(frame)) SELECT group_id, frame, pos, round(far * far / (2 * sigma * sigma), 6) AS cost FROM q")
 def temporal_cost(spark: SparkSession, d: str) -> DataFrame:
-    out = relay.temporal_cost(relay.segment_windows(relay.largest_remainder(t.order_lengths(spark, d), 8, 31)), 31)
-    return out.withColumn("cost", F.round("cost", 6))
+    return relay.temporal_cost(relay.segment_windows(relay.largest_remainder(t.order_lengths(spark, d), 8, 31)), 31, places=6)
 
 
 @query("""SELECT o_orderkey, CASE WHEN lq = lk OR o_orderstatus = 'P' OR lk = 496 OR lk < 8 THEN NULL WHEN lq = 496 THEN 'video' ELSE 'scaled' END AS mode

@@ -172,6 +172,23 @@ def test_wav_round_trip(spark):
     assert audio.decode_pcm(b"\xff\xff\xff\x00\x00\x40", 3).tolist() == pytest.approx([-1 / 8388608, 0.5])
 
 
+def test_costs_are_listed_once_for_all_rows(spark):
+    """Rounded or not as row by row before, also for windows far from all frames; no row works its cost out."""
+    rows = [(1, 0, 3, 1, 0), (1, 1, 7, 6, 1), (2, 0, 1, 90, 3)]
+    windows = spark.createDataFrame(rows, "group_id long, pos long, share long, mid long, win long").withColumn("sigma", F.lit(relay.sigma_of(1e-3)))
+    for places in (None, 6):
+        out = relay.temporal_cost(windows, 10, places=places)
+        got = {(r.group_id, r.pos, r.frame): r.cost for r in out.collect()}
+        assert len(got) == 30
+        for g, pos, _, mid, win in rows:
+            for frame in range(10):
+                far = max(abs(frame - mid) - win, 0.0)
+                want = far * far / (2 * relay.sigma_of(1e-3) * relay.sigma_of(1e-3))
+                assert got[g, pos, frame] == (want if places is None else pytest.approx(want, abs=5.1e-7))
+    plan = relay.temporal_cost(windows, 10, places=6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("round(") <= 1  # the windows that are too far
+
+
 def test_segments_are_dealt_by_rows(spark, monkeypatch):
     """Spark merges small partitions into one task, however many rows a task should get."""
     monkeypatch.setattr(shared, "TASK_ROWS", 100)
