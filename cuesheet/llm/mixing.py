@@ -20,11 +20,13 @@ brought to whole numbers, and so are all of these sums.
 The schedule is made on the driver from one count for each source. It has
 ``SLOTS`` slots at most, besides one for each source: a block has ``BLOCK``
 documents, or as many times that as are needed for so few slots. Documents find
-their slots by a join on the source and the number of the block, with a table
-that this bounds. Of more than ``MAX_SOURCES`` sources those with equal hashes
-share a place in the schedule, by the sum of their weights, and within it their
+their slots by a join on the place and the number of the block, with a table
+that this bounds. What is scheduled are ``MAX_SOURCES`` places: a source's hash
+is its place, however few or many sources there are, so nothing changes at some
+number of them. Sources in one place, as all are at times beyond that number and
+two of ``k`` in about ``k * k / (2 * MAX_SOURCES)`` cases, have the sum of their weights, and their
 documents follow one another by virtual time: document ``n`` of a source with
-weight ``w`` comes at ``(n + 1/2) / w``.
+weight ``w`` comes at ``(n + 1/2) / w``. The bound of one block is a place's, and so that of a source alone in its own.
 
 Numbers within a source come from a range sort: no task has all documents of a
 source, nor all copies of one document. Documents with equal ids and texts are
@@ -133,25 +135,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     spark = docs.sparkSession
     s, h, tie, n, j, slot, group = fresh([*docs.columns, slot_col, order_col], "s", "h", "tie", "n", "j", "slot", "group")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    counts = docs.groupBy(source.alias("s")).count()
-    of_group = lambda c: F.pmod(F.xxhash64(c), F.lit(MAX_SOURCES)).cast("string")
-    sizes = {r[0]: r[1] for r in counts.limit(MAX_SOURCES + 1).collect()}
-    many = len(sizes) > MAX_SOURCES
-    if many:
-        weighed = _weighed(counts, weights).groupBy(of_group("s").alias("group"))
-        groups = weighed.agg(F.sum("count").alias("size"), F.sum("weight").alias("weight")).collect()
-        sizes, shares = {r.group: r["size"] for r in groups}, {r.group: r.weight for r in groups}
-    else:
-        shares = {name: size**TEMPERATURE for name, size in sizes.items()} if weights is None else weights
-    block *= max(1, -(-sum(sizes.values()) // (block * SLOTS)))
-    rows = [(name, i, at) for at, (name, i) in enumerate(schedule({name: -(-size // block) for name, size in sizes.items()}, shares))]
-    slots = spark.createDataFrame(pd.DataFrame(rows, columns=[group, j, slot]), f"{group} string, {j} long, {slot} long")
     # written once, so that a row keeps its number, which also parts copies of one document
     rows_ = cut(docs.withColumn(tie, F.monotonically_increasing_id()), "rows")
+    counts = rows_.groupBy(source.alias("s")).count()
+    of_place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAX_SOURCES)).cast("string")
+    sources = cut(_weighed(counts, weights), "sources")
+    # weights are added in the order of names, whatever the order of rows; a place goes by its first name
+    listed = sources.groupBy(of_place("s").alias("place")).agg(F.sum("count").alias("size"), F.array_sort(F.collect_list(F.struct("s", "weight"))).alias("of"))
+    total = F.aggregate("of", F.lit(0.0), lambda acc, x: acc + x["weight"])
+    places_ = {r.name: r for r in listed.select("place", "size", total.alias("weight"), F.col("of")[0]["s"].alias("name")).collect()}
+    block *= max(1, -(-sum(r["size"] for r in places_.values()) // (block * SLOTS)))
+    order = schedule({name: -(-r["size"] // block) for name, r in places_.items()}, {name: r.weight for name, r in places_.items()})
+    rows = [(places_[name].place, i, at) for at, (name, i) in enumerate(order)]
+    slots = spark.createDataFrame(pd.DataFrame(rows, columns=[group, j, slot]), f"{group} string, {j} long, {slot} long")
     marked = rows_.select(tie, source.alias(s), F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)).alias(h))
-    placed = numbered(marked, [s, h, tie], n, within=s).withColumn(group, of_group(s) if many else F.col(s))
-    if many:
-        placed = _taking_turns(placed, _weighed(counts, weights), s, n, group)
+    placed = numbered(marked, [s, h, tie], n, within=s).withColumn(group, of_place(s))
+    placed = _taking_turns(placed, sources, s, n, group)
     found = placed.withColumn(j, F.floor(F.col(n) / block)).join(F.broadcast(slots), [group, j])
     places = cut(found.select(tie, F.col(slot).alias(slot_col), (F.col(slot) * block + F.col(n) % block).alias(order_col)), "places")
     return rows_.join(few(places), tie).select(*(F.col(c) for c in docs.columns), slot_col, order_col)

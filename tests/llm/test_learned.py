@@ -373,6 +373,22 @@ def test_more_sources_than_places(spark, monkeypatch):
     assert mixing.mix(docs).count() == 2400
 
 
+def test_a_place_does_not_depend_on_the_number_of_sources(spark, monkeypatch):
+    """Sources with equal hashes share a place also where there are fewer sources than places."""
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 50)
+    names = [f"s{k}" for k in range(40)]
+    place = dict(spark.createDataFrame([(n,) for n in names], "s string").select("s", F.pmod(F.xxhash64("s"), F.lit(50))).collect())
+    a, b = next((x, y) for x in names for y in names if x < y and place[x] == place[y])
+    other = next(n for n in names if place[n] != place[a])
+    docs = spark.createDataFrame([(k, str(k), "en", (a, b, other)[k % 3], 9) for k in range(240)], DOC)
+    got = mixing.mix(docs, {a: 1, b: 1, other: 2}, block=2).collect()
+    slots = {}
+    for x in got:
+        slots.setdefault(x.mix_slot, set()).add(x.source)
+    assert len({x.mix_order for x in got}) == 240
+    assert {frozenset(v) for v in slots.values()} == {frozenset((a, b)), frozenset((other,))}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     save(spark.createDataFrame([], DOC), tmp_path, "documents")
     save(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
